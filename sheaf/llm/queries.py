@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import decontaminate, langid, simhash, toxicity
+from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        line_dedup.op1_line_dedup,
         toxicity.op2_toxicity,
         decontaminate.op5_benchmark_decontamination,
         simhash.op8_simhash_near_dedup,
+        mixing.op9_mixing,
         langid.op10_language_id,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
 }
