@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, toxicity
+from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_dedup.op1_line_dedup,
         toxicity.op2_toxicity,
         decontaminate.op5_benchmark_decontamination,
+        token_store.op7_token_output,
         simhash.op8_simhash_near_dedup,
         mixing.op9_mixing,
         langid.op10_language_id,
