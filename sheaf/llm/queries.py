@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, token_store, toxicity
+from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, token_count, token_store, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         line_dedup.op1_line_dedup,
         toxicity.op2_toxicity,
+        token_count.op3_token_counts,
+        topk.op4_exact_topk,
         decontaminate.op5_benchmark_decontamination,
         token_store.op7_token_output,
         simhash.op8_simhash_near_dedup,
@@ -23,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_exact_topk": topk.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
 }
