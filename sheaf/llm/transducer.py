@@ -22,7 +22,7 @@ import numpy as np
 from sheaf.llm.common import steps
 
 #: Bytes of text that are worked on together.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: FEW: up to so many tokens with a common beginning, it is told apart which of them may follow.
 STATES, CHUNK, FEW = 60_000, 256, 100
 
