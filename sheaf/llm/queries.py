@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, token_count, token_store, topk, toxicity
+from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_count.op3_token_counts,
         topk.op4_exact_topk,
         decontaminate.op5_benchmark_decontamination,
+        substring_dedup.op6_substring_dedup,
         token_store.op7_token_output,
         simhash.op8_simhash_near_dedup,
         mixing.op9_mixing,
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op4_exact_topk": topk.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
 }
