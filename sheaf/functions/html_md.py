@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "table", "figure", "dl", "dd", "dt", "form", "body", "html"}
 WRAP = {"strong": "**", "b": "**", "em": "_", "i": "_", "code": "`"}
@@ -96,6 +97,6 @@ def markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(markdown, na_action="ignore")

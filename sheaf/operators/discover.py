@@ -29,7 +29,7 @@ def every(pattern: str, body: Column | str = "body") -> Column:
     return F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(url: pd.Series, base: pd.Series) -> pd.Series:
     """Relative to absolute URL: there is no built-in function for it."""
 

@@ -1,11 +1,11 @@
 """Splitters: one bundled text dump to pages, (source, path, content) rows.
 
-Each works within its row by array functions; no line leaves the row before it belongs to a page.
+The pieces of a dump are numbered rows; windows over one source's pieces tell which belong together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import replace, slugify, trim
@@ -52,49 +52,40 @@ def heading_split(bundles: DataFrame) -> DataFrame:
     return pages.select("source", F.concat(name, F.lit(".md")).alias("path"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "body").alias("content"))
 
 
-def frontmatter_blocks(content: Column) -> Column:
-    """Array of (title, lines) of the pages behind frontmatter blocks that have a title, by one fold over the text's --- marks.
+def frontmatter_split(bundles: DataFrame) -> DataFrame:
+    """bundles(source, content): a page for each frontmatter block with a title. A repeated title gets the page's number behind its name.
 
-    Pieces between marks are metadata if a page's marks close around them with a title: line inside; any other mark belongs to the text.
+    A piece between two --- marks with a title: line is metadata, unless its first mark already closed another one: of neighbouring
+    candidates every other one counts. Any other mark is a rule within the text.
     """
-    pieces = F.split(F.concat(F.lit("\n"), content, F.lit("\n")), r"(?<=\n)---[ \t\r]*(?=\n)", -1)
-    title = F.regexp_extract
-    start = F.struct(F.array().cast("array<struct<title:string,body:string>>").alias("pages"), F.lit(True).alias("closed"))
-    numbered = F.transform(pieces, lambda x, i: F.struct(x.alias("text"), i.alias("i"), title(x, r"(?md)^title:[ \t]*([^\n]+)$", 1).alias("title")))
-    last = F.size(pieces) - 1
-
-    def step(acc: Column, p: Column) -> Column:
-        pages = acc["pages"]
-        # between two marks, the first of which closed nothing, with a title: metadata
-        meta = acc["closed"] & (p["i"] > 0) & (p["i"] < last) & (p["title"] != "")
-        end = F.size(pages)
-        tail = F.element_at(pages, -1)
-        glue = F.when((p["i"] > 0) & acc["closed"], F.lit("---")).otherwise(F.lit(""))
-        grown = F.when(end > 0, F.concat(F.slice(pages, F.lit(1), end - 1), F.array(F.struct(tail["title"].alias("title"), F.concat(tail["body"], glue, p["text"]).alias("body"))))).otherwise(pages)
-        new = F.concat(pages, F.array(F.struct(trim(replace(p["title"], r"""\A["']|["']\z""")).alias("title"), F.lit("").alias("body"))))
-        return F.struct(F.when(meta, new).otherwise(grown).alias("pages"), (~meta).alias("closed"))
-
-    return F.aggregate(numbered, start, step, lambda acc: acc["pages"])
-
-
-def frontmatter_split(bundles: DataFrame) -> DataFrame:
-    """bundles(source, content): a page for each titled frontmatter block. A repeated title gets the page's number behind its name."""
-    rows = bundles.select("source", F.posexplode(frontmatter_blocks(F.col("content"))).alias("n", "page"))
-    rows = rows.select("source", "n", F.col("page.title").alias("title"), trim("page.body").alias("body")).where("body <> '' AND title <> ''").withColumn("slug", slugify("title"))
+    pieces = F.split(F.concat(F.lit("\n"), "content", F.lit("\n")), r"(?<=\n)---[ \t\r]*(?=\n)", -1)
+    rows = bundles.select("source", F.posexplode(pieces).alias("k", "text"))
+    order = Window.partitionBy("source").orderBy("k")
+    title = F.regexp_extract("text", r"(?md)^title:[ \t]*([^\n]+)$", 1)
+    last = F.lead("k").over(order).isNull()
+    rows = rows.select("source", "k", "text", F.when((F.col("k") > 0) & ~last, title).otherwise("").alias("title"))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("title") == "", 1).otherwise(0)).over(order))
+    nth = F.row_number().over(Window.partitionBy("source", "run", F.col("title") != "").orderBy("k"))
+    rows = rows.withColumn("meta", (F.col("title") != "") & (nth % 2 == 1))
+    rows = rows.withColumns({"n": F.sum(F.col("meta").cast("int")).over(order) - 1, "glue": F.when(F.lag("meta").over(order), "").otherwise("---")})
+    piece = F.when(~F.col("meta"), F.struct("k", F.concat("glue", "text").alias("text")))
+    pages = rows.where("n >= 0").groupBy("source", "n").agg(F.max(F.when(F.col("meta"), F.col("title"))).alias("title"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    body = trim(F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
+    pages = pages.select("source", "n", trim(replace("title", r"""\A["']|["']\z""")).alias("title"), body.alias("body")).where("body <> '' AND title <> ''").withColumn("slug", slugify("title"))
     again = F.row_number().over(Window.partitionBy("source", "slug").orderBy("n")) > 1
     name = F.when(F.col("slug") == "", F.format_string("page-%d", "n")).when(again, F.format_string("%s-%d", "slug", "n")).otherwise(F.col("slug"))
-    return rows.withColumn("name", name).select("source", F.concat("name", F.lit(".md")).alias("path"), F.col("body").alias("content"))
-
-
-def style_of(content: Column) -> Column:
-    """How a dump is laid out: meta, frontmatter or heading."""
-    by_front = F.size(F.filter(frontmatter_blocks(content), lambda p: (trim(p["body"]) != "") & (p["title"] != "")))
-    by_head = F.size(F.filter(F.slice(F.split(F.concat(F.lit("\n"), content), "\n(?=# [^\n])"), F.lit(2), F.lit(1 << 30)), lambda s: trim(replace(s, r"\A# [^\n]+\n?")) != ""))
-    return F.when(content.rlike(META_STYLE), "meta").when(by_front > MANY_PAGES, "frontmatter").when(by_head > by_front, "heading").otherwise("frontmatter")
+    return pages.withColumn("name", name).select("source", F.concat("name", F.lit(".md")).alias("path"), F.col("body").alias("content"))
 
 
 def split(bundles: DataFrame) -> DataFrame:
-    """bundles(source, base_url, content): pages by each dump's own layout."""
-    rows = bundles.withColumn("__style", style_of(F.col("content")))
-    out = meta_split(rows.where("__style = 'meta'").drop("__style"))
-    return out.unionByName(frontmatter_split(rows.where("__style = 'frontmatter'"))).unionByName(heading_split(rows.where("__style = 'heading'")))
+    """bundles(source, base_url, content): pages by each dump's own layout.
+
+    Dash lines with metadata decide first; then frontmatter if that gives many pages; then whichever of headings and frontmatter gives more.
+    """
+    marked = bundles.withColumn("__meta", F.col("content").rlike(META_STYLE))
+    other = marked.where("NOT __meta")
+    front, head = frontmatter_split(other), heading_split(other)
+    counts = front.groupBy("source").agg(F.count("*").alias("f")).join(head.groupBy("source").agg(F.count("*").alias("h")), "source", "full_outer")
+    f, h = F.coalesce("f", F.lit(0)), F.coalesce("h", F.lit(0))
+    by_head = counts.where((f <= MANY_PAGES) & (h > f)).select("source")
+    return meta_split(marked.where("__meta")).unionByName(front.join(by_head, "source", "left_anti")).unionByName(head.join(by_head, "source", "left_semi"))
