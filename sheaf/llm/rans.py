@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES, CHECK, LOW = 512, 128, 1 << 31
+LANES, CHECK, LOW = 2048, 128, 1 << 31
 U = np.uint64
 
 

@@ -15,7 +15,10 @@ each other, in order of a hash of their ids; an empty table gives no files and n
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,19 @@ from pyspark.sql import types as T
 from sheaf.llm import rans
 from sheaf.llm.common import read, shared_path, stored, text_steps
 
-BLOCK_IDS, CACHE = 1 << 18, 300_000
+BLOCK_IDS, CACHE = 1 << 19, 600_000
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
-#: ASCII punctuation but for the apostrophe, which can begin a token of letters.
-MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+#: Letters that one code point writes and lower-casing keeps single: A-Z, a-z, and Latin beyond ASCII but for the dotted capital I.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+UNUSUAL = re.compile(f"[^\\x00-\\x7f{LATIN}]")
+#: The pre-tokens of PLAIN_SPLIT in lower-cased text of such letters and ASCII.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\t-\\r 0-9{LATIN}]+|\\n")
+#: The settings of the vocabulary file that the pre-tokens above follow from.
+PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 @functools.cache
@@ -44,37 +56,58 @@ def library(path: str):
 
 
 class Pieces:
-    """Ids of pieces without white space, as little-endian bytes of `kind`; the table is emptied when it is full."""
+    """Words between white space -> their ids, as bytes of the array type `kind`. Full tables are emptied.
+
+    Words that aren't known and have only ASCII and Latin letters are lower-cased and cut into the vocabulary's own pre-tokens, of which few are different;
+    the library encodes each one that isn't known, and any other word as it is.
+    """
 
     def __init__(self, path: str, kind: str, most: int = CACHE):
-        self.path, self.kind, self.most, self.known = path, kind, most, {}
-
-    def add(self, words: set[bytes]) -> None:
-        """Encode the words by the library; a plain word with marks behind it is the word's ids, then the marks'."""
-        known, split, new = self.known, {}, set()
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core and len(core) < len(w) and (text := core.decode()).isalpha() and max(text) < "ɐ":
-                split[w] = core, w[len(core) :]
-                new.update(x for x in split[w] if x not in known)
-            else:
-                new.add(w)
-        new = list(new)
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, library(self.path).encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        for w, (core, marks) in split.items():
-            known[w] = known[core] + known[marks]
+        self.library, self.kind, self.most = library(path), kind, most
+        settings = json.load(open(path, encoding="utf-8"))
+        self.plain = settings["pre_tokenizer"] == PLAIN_SPLIT and settings["normalizer"] == PLAIN_NORMALIZER
+        #: stands for the line breaks between words; no id is so large
+        self.mark = array(kind, [(1 << 8 * array(kind).itemsize) - 1]).tobytes()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": self.mark}
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(texts), 4096):
+            out += [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
+        return out
+
+    def add(self, new: list[bytes]) -> None:
+        joined = b"\n".join(new).decode()
+        if not self.plain or "<|" in joined or UNUSUAL.search(joined):
+            odd = [w for w in new if not self.plain or b"<|" in w or UNUSUAL.search(w.decode())]
+            self.words.update(zip(odd, self.by_library([w.decode() for w in odd]), strict=True))
+            new = list(set(new).difference(odd))
+            joined = b"\n".join(new).decode()
+        if not new:
+            return
+        pieces = PIECE.findall(joined.lower())
+        different = set(pieces)
+        unknown = list(different.difference(self.parts))
+        if len(self.parts) + len(unknown) > self.most:
+            self.parts = {"\n": self.mark}
+            unknown = list(different.difference(self.parts))
+        self.parts.update(zip(unknown, self.by_library(unknown), strict=True))
+        ids = b"".join(map(self.parts.__getitem__, pieces))
+        width = len(self.mark)
+        ends = (np.flatnonzero(np.frombuffer(ids, f"u{width}") == (1 << 8 * width) - 1) * width).tolist()
+        self.words.update(zip(new, [ids[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         split = [t.split() for t in texts]
         words = set().union(*split)
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        if new := words.difference(self.known):
-            self.add(new)
-        find = self.known.__getitem__
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+            new = words
+        if new:
+            self.add(list(new))
+        find = self.words.__getitem__
         return [b"".join(map(find, x)) + end for x in split]
 
 
@@ -91,9 +124,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> tuple[D
         raise ValueError("this tokenizer has tokens that reach over white space")
     kind = "<u2" if size <= 1 << 16 else "<u4"
     end = np.array([] if end_id is None else [end_id], kind).tobytes()
+    code = "H" if size <= 1 << 16 else "I"
 
     def scan(batches):
-        coder = pieces(path, kind)
+        coder = pieces(path, code)
         for batch in batches:
             for i, texts in text_steps(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(coder.encode(texts, end), pa.binary())], names=["doc_id", "ids"])
