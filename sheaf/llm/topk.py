@@ -1,12 +1,13 @@
 """Exact top-k inner products by no-random-access (NRA) aggregation of sorted lists.
 
-Vectors become integers, floor(SCALE * x). Each block of candidates has a list per dimension, sorted by component. For a query the lists are
-read sequentially in step, from the end that suits the sign of its component. What was read bounds every candidate's
-score from below (unread components at the list's far end) and above (at the place read last). Reading stops when only few candidates could
-still reach the k-th best lower bound, which earlier blocks have raised already; those few are resolved exactly.
+Vectors become integers, floor(SCALE * x). Each block of candidates has a list per dimension, sorted by component. The lists are
+read sequentially in step, from both ends: a query uses the end that suits the sign of its component. What was read bounds every candidate's
+score from below (unread components at the list's far end) and above (at the place read last). Reading stops when few candidates could
+still reach the k-th best lower bound, which starts from the scores of the block of queries among each other and grows from block to block; those
+few are resolved exactly. The bounds of all queries of a block are sums over read entries, so they come from matrix products.
 
 Queries are taken in blocks of QUERY_BLOCK, each broadcast (a proven bound) and read against all candidates; per
-partition and query k rows go on to the final ranking.
+partition and query k rows go on to the final ranking. The work is that of queries times candidates, here a fiftieth of the square of the rows.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors
 are padded with zeros; rows that repeat an id are candidates each, and as a query an id's smallest vector counts; a candidate
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import read
 
-K, SCALE, EVERY, QUERY_BLOCK, FIRST_READ = 5, 256, 50, 4096, 16
-#: Integers up to here are added exactly by doubles.
-EXACT = 1 << 22
+K, SCALE, EVERY, QUERY_BLOCK, TOGETHER = 5, 256, 50, 4096, 256
+#: Reading stops at this share of candidates left; each round reads up to these parts of the lists.
+FEW, ROUNDS = 0.05, (0.75, 0.875, 1.0)
+#: Sums of products up to here are exact in single and in double precision.
+EXACT = {np.float32: 1 << 24, np.float64: 1 << 53}
 NONE = -(1 << 62)
 
 
@@ -44,40 +47,68 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def kind_of(*tables: np.ndarray):
+    """The smallest float type that is exact for inner products of rows of the tables; None if there is none."""
+    most = max([1.0, *(np.abs(t).max(initial=0) for t in tables)])
+    width = max(t.shape[1] for t in tables)
+    return next((k for k, limit in EXACT.items() if most * most * width < limit), None)
+
+
 class Lists:
     """A block of candidates as a sorted list per dimension."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
-
-    def top(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of all candidates that may be among the k best, if the k-th best so far is `floor`; their scores are exact."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        q, up = query[used], query[used] > 0
-        worst = np.where(up, self.sorted[0, used], self.sorted[-1, used]) * q
-        low = np.full(n, worst.sum())
-        low[self.ids == own] = -np.inf
-        seen = np.zeros((n, len(used)))
-        place, step = 0, FIRST_READ
-        alive = np.flatnonzero(self.ids != own)
-        while place < n and len(used):
-            end = min(n, place + step)
-            # the next entries of each list, best first
-            rows = np.where(up, n - 1 - np.arange(place, end)[:, None], np.arange(place, end)[:, None])
-            who, what = self.order[rows, used], self.sorted[rows, used] * q
-            low += np.bincount(who.ravel(), (what - worst).ravel(), n)
-            seen[who, np.arange(len(used))] = 1
-            place, step = end, step * 2
-            need = max(floor, np.partition(low, n - k)[n - k] if n >= k else -np.inf)
-            # what an unread component may still add
-            more = what[-1] - worst
-            alive = alive[low[alive] + more.sum() >= need]
-            alive = alive[low[alive] + more.sum() - seen[alive] @ more >= need]
-            if len(alive) <= 4 * k:
+    def __init__(self, ids: np.ndarray, values: np.ndarray, kind):
+        self.ids, self.values = ids, values.astype(kind)
+        order = np.argsort(self.values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.values, order, axis=0)
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(len(ids))[:, None], axis=0)
+        self.reads: dict = {}
+
+    def read(self, depth: int):
+        """What the first `depth` entries of each list give, from its upper and its lower end: components read, and which they are."""
+        if depth not in self.reads:
+            high, low = self.place >= len(self.ids) - depth, self.place < depth
+            seen = np.hstack((high, low)).astype(self.values.dtype)
+            self.reads = {depth: (np.hstack((self.values, self.values)) * seen, seen)}
+        return self.reads[depth]
+
+    def survivors(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) of all pairs that may be among the query's k best, if the k-th best so far is floor."""
+        n, d = self.values.shape
+        ends = np.hstack((np.maximum(queries, 0), np.minimum(queries, 0))).T
+        same = self.ids[:, None] == own[None, :]
+        far = np.concatenate((self.sorted[0], self.sorted[-1]))[:, None] * ends
+        for part in ROUNDS:
+            depth = max(1, round(n * part))
+            components, seen = self.read(depth)
+            known = components @ ends
+            # unread components stand between the far end of the list and the entry read last
+            last = np.concatenate((self.sorted[n - depth], self.sorted[depth - 1]))[:, None] * ends
+            low = known - seen @ far + far.sum(axis=0)
+            low[same] = -np.inf
+            if n >= k:
+                floor = np.maximum(floor, np.partition(low, n - k, axis=0)[n - k])
+            up = known - seen @ last + last.sum(axis=0)
+            up[same] = -np.inf
+            left = up >= np.where(np.isneginf(floor), np.finfo(up.dtype).min, floor)[None, :]
+            if left.sum() <= max(FEW * left.size, 4 * k * left.shape[1]):
                 break
-        return self.ids[alive], self.values[alive] @ query if len(alive) else np.zeros(0)
+        return np.nonzero(left)
+
+
+def first_floor(names: np.ndarray, table: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best score: that among the other queries, which are candidates too."""
+    out = np.full(len(names), -np.inf)
+    kind = kind_of(table)
+    if kind is None or len(names) <= k:
+        return out
+    table = table.astype(kind)
+    for a in range(0, len(names), TOGETHER):
+        scores = table[a : a + TOGETHER] @ table.T
+        scores[np.arange(len(scores)), a + np.arange(len(scores))] = -np.inf
+        out[a : a + TOGETHER] = np.partition(scores, len(names) - k, axis=1)[:, len(names) - k]
+    return out
 
 
 def exact(values: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -86,55 +117,44 @@ def exact(values: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([max(NONE + 1, min(-NONE, x)) for x in out], dtype=np.int64)
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """vectors(vec_id, embedding), queries(vec_id, embedding) -> query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    rows = integers(vectors)
-    asked = integers(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // query_block))
-    found = None
-    for b in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        width = max([0, *(len(r.v) for r in got)])
-        table = np.zeros((len(got), width))
-        for i, r in enumerate(got):
-            table[i, : len(r.v)] = np.floor(r.v)
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in got], np.int64), table))
-        part = rows.mapInArrow(reader(shared, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def merged(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query; ties go to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.searchsorted(query, query, side="left")
+    keep = np.arange(len(query)) - first < k
+    return query[keep], ids[keep], scores[keep]
 
 
 def reader(shared, k: int):
     def scan(batches):
         names, table = shared.value
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+        query, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        floor = first_floor(names, table, k)
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
             ids, values = batch.column(0).to_numpy(), matrix(batch.column(1), table.shape[1])
             asked = np.pad(table, ((0, 0), (0, values.shape[1] - table.shape[1])))
-            small = max(np.abs(values).max(initial=0), np.abs(asked).max(initial=0)) < EXACT
-            lists = Lists(ids, values) if small else None
-            for i, own in enumerate(names.tolist()):
-                held, scores = best[i]
-                if small:
-                    new, score = lists.top(asked[i], own, k, float(scores[k - 1]) if len(scores) == k else -np.inf)
-                    score = score.astype(np.int64)
+            kind = kind_of(values, asked)
+            lists = Lists(ids, values, kind) if kind else None
+            for a in range(0, len(names), TOGETHER):
+                some, own = asked[a : a + TOGETHER], names[a : a + TOGETHER]
+                if kind:
+                    row, q = lists.survivors(some.astype(kind), own, k, floor[a : a + TOGETHER].astype(kind))
+                    score = np.concatenate([np.einsum("ij,ij->i", lists.values[row[i : i + 65536]], some[q[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)]).astype(np.int64)
                 else:
-                    other = np.flatnonzero(ids != own)
-                    new, score = ids[other], exact(values[other], asked[i])
-                best[i] = best_of(np.concatenate((held, new)), np.concatenate((scores.astype(np.int64), score)), k)
-        sizes = [len(x) for x, _ in best]
-        if sum(sizes):
-            columns = [np.repeat(names, sizes), np.concatenate([x for x, _ in best]), np.concatenate([s for _, s in best]).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+                    row, q = np.nonzero(ids[:, None] != own[None, :])
+                    score = np.concatenate([exact(values[row[q == i]], some[i]) for i in range(len(own))])
+                    order = np.argsort(q, kind="stable")
+                    row, q = row[order], q[order]
+                query, found, scores = merged(np.concatenate((query, q + a)), np.concatenate((found, ids[row])), np.concatenate((scores, score)), k)
+            n = np.bincount(query, minlength=len(names))
+            last = np.cumsum(n) - 1
+            full = n >= k
+            floor[full] = np.maximum(floor[full], scores[last[full]])
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return scan
 
