@@ -38,7 +38,7 @@ WINDOW, GRAM, ROWS = 50, 8, 2
 LEAST_CELLS, MOST_CELLS, CELLS_PER_ANCHOR, BLOCK_CELLS = 1 << 16, 1 << 26, 4, 1 << 16
 #: Bits of the bitmaps of documents.
 MARKS = 1 << 24
-STEP = 2 << 20
+STEP = 512 << 10
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 

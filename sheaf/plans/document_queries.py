@@ -289,3 +289,27 @@ def meta_split(spark, sf_dir):
 @query(META_SQL)
 def split_detected(spark, sf_dir):
     return split.split(bundles(spark, sf_dir, meta_page(), "\n"))
+
+
+# --- API specifications -------------------------------------------------------------------------------------------------------
+def specs(spark, sf_dir):
+    """A specification per source, with an operation per document: its language is the tag."""
+    item = F.struct(F.struct(
+        F.concat(F.lit("Get "), F.col("doc_id").cast("string")).alias("summary"), F.array("lang").alias("tags"),
+        F.array(F.struct(F.lit("q").alias("name"), F.lit("query").alias("in"), F.struct(F.lit("string").alias("type")).alias("schema"))).alias("parameters"),
+        F.create_map(F.lit("200"), F.struct(F.lit("ok").alias("description"))).alias("responses"),
+    ).alias("get"))
+    entry = F.struct(F.concat(F.lit("/d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("key"), item.alias("value"))
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("paths"))
+    return rows.select("source", F.to_json(F.struct(F.struct("source", F.col("source").alias("title"), F.lit("1").alias("version")).alias("info"), "paths")).alias("raw"))
+
+
+@query("""WITH d AS (SELECT source, lang, doc_id, '## GET /d/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(10) || chr(10) || 'Get ' || doc_id || chr(10) || chr(10) || 'Parameters:' || chr(10) || '- `q` (query, string)' || chr(10) || chr(10)
+  || 'Responses:' || chr(10) || '- `200`: ok' AS block FROM documents),
+t AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first, string_agg(block, chr(10) || chr(10) ORDER BY doc_id) AS blocks FROM d GROUP BY ALL)
+SELECT source, lang || '.md' AS path, '# ' || lang || chr(10) || chr(10) || blocks || chr(10) AS content FROM t
+UNION ALL SELECT source, 'overview.md', '# ' || source || chr(10) || chr(10) || 'Version: 1' || chr(10) || chr(10) || string_agg('- ' || lang || ': ' || n || ' operations', chr(10) ORDER BY first) FROM t GROUP BY source""")
+def openapi_files(spark, sf_dir):
+    from sheaf.operators import openapi
+
+    return openapi.to_files(specs(spark, sf_dir))
