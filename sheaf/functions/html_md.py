@@ -47,7 +47,7 @@ class Writer(HTMLParser):
             self.block("> ")
         elif tag in ("ul", "ol"):
             self.lists.append([tag, 0])
-            self.out.append("\n\n" if len(self.lists) == 1 else "\n")
+            self.out.append("\n\n" if len(self.lists) == 1 else "")
         elif tag == "li":
             own = self.lists[-1] if self.lists else ["ul", 0]
             own[1] += 1
@@ -74,7 +74,7 @@ class Writer(HTMLParser):
             self.out.append(WRAP[tag])
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
-            self.out.append("\n" if self.lists else "\n\n")
+            self.out.append("" if self.lists else "\n\n")
         elif tag in ("td", "th"):
             self.out.append(" |")
         elif tag == "a" and self.links:

@@ -69,7 +69,7 @@ def sitemap(responses: DataFrame) -> DataFrame:
 def keywords_of(url_pattern: str) -> list[str]:
     """The alternatives of a pattern's first group."""
     inside = url_pattern.partition("(")[2].partition(")")[0].removeprefix("?:")
-    return [w.lower() for w in inside.split("|") if w] if "|" in inside else []
+    return [w.lower() for w in inside.split("|") if w]
 
 
 def has_keyword(url: Column, words: list[str]) -> Column:

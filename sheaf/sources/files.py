@@ -77,4 +77,4 @@ def retry_delay(attempt: int, retry_after=None, base_s: float = 1.0, most_s: flo
     text = F.col(retry_after)
     date = F.try_to_timestamp(F.regexp_extract(text, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
     wait = F.coalesce(text.try_cast("double"), (F.unix_seconds(date) - F.unix_seconds(F.current_timestamp())).cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(cap_s), wait)), backoff)
+    return F.when(wait.isNull(), backoff).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(cap_s), wait)))
