@@ -11,7 +11,7 @@ partition and query k rows go on to the final ranking. The work is that of queri
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors
 are padded with zeros; rows that repeat an id are candidates each, and as a query an id's smallest vector counts; a candidate
-with the query's id is left out; ties go to the smaller id; with fewer than k candidates all are returned.
+with the query's id is left out; ties go to the smaller id; with fewer than k candidates all are returned; scores beyond a long are held to its range.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ K, SCALE, EVERY, QUERY_BLOCK, TOGETHER = 5, 256, 50, 4096, 256
 FEW, ROUNDS = 0.05, (0.75, 0.875, 1.0)
 #: Sums of products up to here are exact in single and in double precision.
 EXACT = {np.float32: 1 << 24, np.float64: 1 << 53}
-NONE = -(1 << 62)
+LONG = (1 << 63) - 1
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def first_floor(names: np.ndarray, table: np.ndarray, k: int) -> np.ndarray:
 def exact(values: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products of integers of any size, held to the range of a long."""
     out = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in values]
-    return np.array([max(NONE + 1, min(-NONE, x)) for x in out], dtype=np.int64)
+    return np.array([max(-LONG, min(LONG, x)) for x in out], dtype=np.int64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:

@@ -81,6 +81,7 @@ def split_table() -> tuple[np.ndarray, np.ndarray]:
                 else:  # the apostrophe stood alone, and a letter began a pre-token
                     m = BEFORE | (0 if c in letters else HERE)
             nxt[c, s], mark[c, s] = to, m
+    mark[RESET, [AP_R, AP_V, AP_L]] = BEFORE  # the text ended before the contraction did
     return nxt, mark  # RESET leads to START
 
 
@@ -324,7 +325,7 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     closing = np.cumsum(sizes + 1)[:-1] - 1  # byte of the separator behind each text but the last
     cls[np.searchsorted(offset, closing)] = RESET
-    begin = boundaries(cls)
+    begin = boundaries(np.append(cls, np.uint8(RESET)))
     starts = offset[begin]
     text = np.searchsorted(closing, starts, side="right")
     stop = np.append(closing, len(joined))[text]
@@ -345,11 +346,13 @@ def heads(text: bytes, piece: int):
         while text[cut] & 0xC0 == 0x80:
             cut -= 1
         _, starts, _, _ = spans([text[:cut]])
-        if len(starts) < 4:
+        # not behind white space: where a run of it ends the text, it isn't cut as it is before a letter
+        good = (int(s) for s in starts[-2:0:-1] if classes()[ord(text[max(0, s - 4) : s].decode("utf-8", "ignore")[-1])] not in (SPACE, WHITE))
+        if (at := next(good, 0)) < size // 2:
             size *= 2
             continue
-        yield text[: starts[-2]]
-        text, size = text[starts[-2] :], piece
+        yield text[:at]
+        text, size = text[at:], piece
     yield text
 
 

@@ -130,8 +130,11 @@ def test_topk(spark):
     assert found == brute_topk(rows, [r for r in rows if r[0] % 50 == 0], 5)
     few = spark.createDataFrame([(0, [0.1, 0.2]), (50, [0.3]), (51, [])], "vec_id long, embedding array<float>")
     assert [(r[0], r[2]) for r in sorted(table(topk.search(few, few.where("vec_id % 50 = 0"))))] == [(0, 50), (0, 51), (50, 0), (50, 51)]
-    huge = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, -1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert sorted(table(topk.search(huge, huge.where("vec_id = 0"), 2))) == brute_topk([(0, [1e9, 1.0]), (1, [1e9, -1.0]), (2, [1.0, 1.0])], [(0, [1e9, 1.0])], 2)
+    for x, held in ((1e7, False), (1e9, True)):  # beyond doubles' exact range; beyond a long
+        rows_ = [(0, [x, 1.0]), (1, [x, -1.0]), (2, [1.0, 1.0])]
+        huge = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+        expected = brute_topk(rows_, rows_[:1], 2)
+        assert sorted(table(topk.search(huge, huge.where("vec_id = 0"), 2))) == [(*r[:3], min(r[3], (1 << 63) - 1)) for r in expected] and (expected[0][3] >= 1 << 63) == held
     assert topk.search(vectors.where("false"), vectors.where("false")).count() == 0
     # blocks of queries
     assert sorted(table(topk.search(vectors, vectors.where("vec_id % 50 = 0"), query_block=2))) == found
@@ -281,13 +284,13 @@ def test_fingerprints_and_classes(spark, tricky, empty):
     assert {r.doc_id for r in kept.collect()} == {None, *(i for i in known if found[i].component_id == i)}
 
 
-@pytest.mark.parametrize("group", [2048, 3])
+@pytest.mark.parametrize("group", [2048, 12])
 def test_near_links(spark, group):
-    """All pairs within two bits are connected, also when groups are dealt again."""
+    """All pairs within two bits are connected, also when groups are dealt again (each time in three parts: rows grow with a small `group`)."""
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(60)}
-    for f in list(fps)[:12]:
-        for _ in range(12):
+    for f in sorted(fps)[:5]:
+        for _ in range(40):
             fps.add(f ^ 1 << rng.randrange(64) ^ (1 << rng.randrange(64) if rng.random() < 0.6 else 0))
     fps = dict(enumerate(sorted(fps)))
     nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "node long, fp long")
