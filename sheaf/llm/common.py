@@ -20,7 +20,13 @@ SPACES = b"\t\n\v\f\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, unless the session says otherwise: Arrow buffers stand beside the heap.
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(64 << 20):  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

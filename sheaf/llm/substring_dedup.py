@@ -35,7 +35,7 @@ from sheaf.llm.common import read, stored, text_steps
 
 WINDOW, GRAM, ROWS = 50, 8, 2
 #: Cells of a row of the sketch: a power of two with CELLS_PER_ANCHOR cells for each expected anchor, within bounds.
-LEAST_CELLS, MOST_CELLS, CELLS_PER_ANCHOR, BLOCK_CELLS = 1 << 16, 1 << 26, 4, 1 << 16
+LEAST_CELLS, MOST_CELLS, CELLS_PER_ANCHOR, BLOCK_CELLS = 1 << 16, 1 << 26, 2, 1 << 16
 #: Bits of the bitmaps of documents.
 MARKS = 1 << 24
 STEP = 512 << 10
