@@ -77,6 +77,18 @@ class Pieces:
             out += [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
         return out
 
+    def by_library_joined(self, parts: list[str]) -> list[bytes]:
+        """Like by_library for pre-tokens of letters or of marks: many in one text with a digit, a pre-token and a token of its own, between them."""
+        digit = self.by_library(["0"])[0]
+        if len(digit) != len(self.mark) or any(p.isdigit() for p in parts):
+            return self.by_library(parts)
+        width, out = len(digit), []
+        for e in self.library.encode_batch_fast(["0".join(parts[a : a + 1024]) for a in range(0, len(parts), 1024)], add_special_tokens=False):
+            ids = array(self.kind, e.ids).tobytes()
+            at = (np.flatnonzero(np.frombuffer(ids, f"u{width}") == np.frombuffer(digit, f"u{width}")[0]) * width).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(e + width for e in at)], [*at, len(ids)], strict=True)]
+        return out
+
     def add(self, new: list[bytes]) -> None:
         joined = b"\n".join(new).decode()
         if not self.plain or "<|" in joined or UNUSUAL.search(joined):
@@ -92,7 +104,10 @@ class Pieces:
         if len(self.parts) + len(unknown) > self.most:
             self.parts = {"\n": self.mark}
             unknown = list(different.difference(self.parts))
-        self.parts.update(zip(unknown, self.by_library(unknown), strict=True))
+        digits = [p for p in unknown if p.isdigit()]
+        self.parts.update(zip(digits, self.by_library(digits), strict=True))
+        unknown = [p for p in unknown if p not in self.parts]
+        self.parts.update(zip(unknown, self.by_library_joined(unknown), strict=True))
         ids = b"".join(map(self.parts.__getitem__, pieces))
         width = len(self.mark)
         ends = (np.flatnonzero(np.frombuffer(ids, f"u{width}") == (1 << 8 * width) - 1) * width).tolist()
