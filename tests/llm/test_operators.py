@@ -405,7 +405,7 @@ def test_pipeline(spark, tricky, tmp_path):
         if k < 4:
             assert docs.columns == tricky.columns
         if k == 0:
-            assert ids == {r.doc_id for r in tricky.collect() if r.text and re.search("[^\\W\\d_]", r.text)}
+            assert ids == {r.doc_id for r in tricky.collect() if any(c.isalpha() for c in r.text or "")}
         if k == 1:
             fps = {r.doc_id: brute_fingerprint(r.text) for r in before.collect() if r.doc_id is not None}
             assert ids == {None, *(i for i, c in brute_classes(fps).items() if i == c)} and docs.where("doc_id IS NOT NULL").count() == len(ids) - 1
