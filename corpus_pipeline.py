@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, langid, mixing, simhash, token_store
+from sheaf.llm import decontaminate, langid, mixing, near_copies, simhash, token_store
 from sheaf.llm.common import read, shared_path
 
 
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near copies."""
-    return simhash.keep_one(docs)
+    """The first document of each class of near copies: five-word shingles, a similarity of 0.8 at least."""
+    return simhash.keep_first(docs, near_copies.near_copies(docs.select("doc_id", "text")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mixture),
     ("token-ID output", token_ids),

@@ -179,7 +179,12 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, m: int = M, shingle: int =
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the first document of each class; columns stay. Rows that repeat a kept id are dropped but for one."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs without all but the first document of each class of classes(doc_id, component_id), like keep_one."""
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(one_of("doc_id"))
     out = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
     return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
