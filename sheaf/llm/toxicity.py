@@ -3,8 +3,8 @@
 The classifier is fitted on a bounded sample: the SAMPLE labelled rows with the smallest hash of their id. Features are the presence of
 words and of word beginnings (PREFIX bytes), chosen by how strongly they go with label 1 (G statistic). The logistic loss gets two more
 terms: weight decay, and for each sentence with an identity term the squared score change when that term is swapped for
-another one of the list. The swap leaves all other features alone, so the second term draws the weights of the terms together and
-keeps neutral mentions of a group from raising the score.
+another one of the list, averaged over these sentences. A swap changes the words and their beginnings, so the second term draws the summed weights of
+the terms together and keeps neutral mentions of a group from raising the score.
 
 Defined cases: null and empty texts are scored by the intercept alone; with no labelled rows, or only one class, the score is the smoothed base rate of 0.5 or that
 class's; repeated label rows count each time; null labels are left out.
@@ -27,6 +27,7 @@ IDENTITY = (
     ("men", "women"), ("man", "woman"), ("boy", "girl"), ("male", "female"), ("black", "white", "asian", "latino"), ("gay", "lesbian", "straight", "bisexual"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("old", "young", "elderly"), ("deaf", "blind", "disabled"), ("immigrant", "native", "foreign"),
 )
+OTHERS = {t.encode(): [o.encode() for o in row if o != t] for row in IDENTITY for t in row}
 
 
 def features_of(text: bytes) -> set[bytes]:
@@ -67,36 +68,52 @@ def select_features(rows: DataFrame, most: int = FEATURES) -> list[bytes]:
     return sorted({bytes(r.f) for r in best.collect()} | {t.encode() for row in IDENTITY for t in row})
 
 
+def swaps(text: bytes, index: dict[bytes, int]) -> list[list[list[int]]]:
+    """[features that go, features that come] when all mentions of a term become another term of its row, for each term and other term; the same of the words without beginnings."""
+    words, out = set(text.translate(ALNUM).split()), []
+    for term in sorted(words & OTHERS.keys()):
+        had = features_of(text)
+        for other in OTHERS[term]:
+            # a beginning that another word has too stays, and one that the text has already doesn't come
+            has = features_of(b" ".join(words - {term} | {other}))
+            whole = [sorted(index[f] for f in had - has if f in index), sorted(index[f] for f in has - had if f in index)]
+            words_only = [[index[f] for f in (term,) if f in index], [index[f] for f in (other,) if f in index and other not in words]]
+            # the words alone too: other words have their beginnings, which then carry nothing either
+            out += [whole] if whole == words_only else [whole, words_only]
+    return out
+
+
 def indexed(rows: DataFrame, features: list[bytes], columns: list[str]) -> DataFrame:
-    """rows with columns kept and `at`: the indices of the features each text has."""
+    """rows with columns kept, `at`: the indices of the features each text has, and `swaps`: what swaps() changes in them."""
     shared = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
-    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("at", T.ArrayType(T.IntegerType()))])
+    indices = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("at", indices), T.StructField("swaps", T.ArrayType(T.ArrayType(indices)))])
 
     def scan(batches):
         known = shared.value
         for batch in batches:
-            at = [sorted(known[f] for f in features_of(t) if f in known) for _, texts in text_steps(batch, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(at, pa.list_(pa.int32()))], names=schema.names)
+            at, changes = [], []
+            for _, texts in text_steps(batch, "text"):
+                for t in texts:
+                    at.append(sorted(known[f] for f in features_of(t) if f in known))
+                    changes.append(swaps(t, known))
+            kinds = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(at, kinds), pa.array(changes, pa.list_(pa.list_(kinds)))], names=schema.names)
 
     return rows.select(*columns, "text").mapInArrow(scan, schema)
 
 
-def swaps(at: list[list[int]], features: list[bytes]) -> list[tuple[int, int]]:
-    """(index of a term, index of the term that it is swapped for) for each mention, with every other term of its row."""
-    index = {f: i for i, f in enumerate(features)}
-    others = {}
-    for row in IDENTITY:
-        own = [index[t.encode()] for t in row if t.encode() in index]
-        others |= {i: [j for j in own if j != i] for i in own}
-    return [(i, j) for x in at for i in x if i in others for j in others[i]]
-
-
-def train(at: list[list[int]], y: np.ndarray, features: list[bytes]) -> tuple[np.ndarray, float]:
-    """Weights and intercept, by gradient steps with momentum on the regularised loss."""
+def train(at: list[list[int]], y: np.ndarray, features: list[bytes], changes: list[tuple[int, list[int], list[int]]]) -> tuple[np.ndarray, float]:
+    """Weights and intercept, by gradient steps with momentum on the regularised loss; changes are (row, features that go, features that come)."""
     n, d = len(y), len(features)
     rows = np.repeat(np.arange(n), [len(x) for x in at])
     cols = np.array([i for x in at for i in x], np.int64)
-    pairs = np.array(swaps(at, features), np.int64).reshape(-1, 2)
+    # features of the swapped sentences less those of the sentences, and the weight of each swap: the sentences with a mention weigh alike
+    swap = np.repeat(np.arange(len(changes)), [len(out) + len(come) for _, out, come in changes])
+    moved = np.array([i for _, out, come in changes for i in (*out, *come)], np.int64)
+    sign = np.array([x for _, out, come in changes for x in (*[-1.0] * len(out), *[1.0] * len(come))])
+    of = np.array([i for i, _, _ in changes], np.int64)
+    share = 1 / (np.bincount(of, minlength=n)[of] * max(1, len(set(of.tolist()))))
     w, b = np.zeros(d), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     m, v, mb, vb, rate = np.zeros(d), np.zeros(d), 0.0, 0.0, 0.1
     # both classes weigh alike
@@ -105,9 +122,9 @@ def train(at: list[list[int]], y: np.ndarray, features: list[bytes]) -> tuple[np
         z = b + np.bincount(rows, w[cols], n)
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(cols, err[rows], d) + DECAY * w
-        if len(pairs):
-            change = 2 * COUNTERFACTUAL * (w[pairs[:, 0]] - w[pairs[:, 1]]) / n
-            g += np.bincount(pairs[:, 0], change, d) - np.bincount(pairs[:, 1], change, d)
+        if len(moved):
+            change = 2 * COUNTERFACTUAL * share * np.bincount(swap, sign * w[moved], len(changes))
+            g += np.bincount(moved, sign * change[swap], d)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         gb = err.sum()
@@ -128,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
         rate = rows.agg(F.avg("y")).first()[0]
         return [], np.zeros(0), {None: 0.0, 0.0: -2.0}.get(rate, 2.0)
     got = indexed(rows, features, ["doc_id", "y"]).orderBy("doc_id", "y", "at").collect()
-    w, b = train([r["at"] for r in got], np.array([r.y for r in got], float), features)
+    changes = [(n, go, come) for n, r in enumerate(got) for go, come in r.swaps]
+    w, b = train([r["at"] for r in got], np.array([r.y for r in got], float), features, changes)
     return features, w, b
 
 
