@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,27 +26,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(64 << 20):  # Spark's own default
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python workers batches of BATCH_BYTES, where the session has Spark's own default. The registered queries call it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(64 << 20):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all machines share; a temporary one only where none is set."""
+    """The folder named by spark.checkpoint.dir, which all machines share. Where none is set: the warehouse; for a local master a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
-    if not found:
+    if not found and sc.master.startswith("local"):
         found = "file://" + tempfile.mkdtemp(prefix="sheaf-checkpoint-")
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sheaf-checkpoint"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
 
 
+#: Paths that stored tables were written to, by application.
+_written: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/sheaf-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/sheaf-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the tables that this application's operators wrote to the shared folder; results that weren't written elsewhere go with them."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in map(hadoop, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -115,3 +138,54 @@ def run_ranges(lengths: np.ndarray) -> np.ndarray:
 
 def hash64(name: str, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(name), *columns)
+
+
+#: Words longer than this are hashed through a stand-in where hashing takes memory by the byte.
+LONG_WORD = 1 << 14
+_WHITE = re.compile(rb"[\t-\r ]")
+_LONG = re.compile(rb"[^\t-\r ]{%d,}" % LONG_WORD)
+
+
+def parts(text: bytes, size: int = STEP_BYTES, overlap: int = 0) -> Iterator[tuple[int, bytes]]:
+    """A text in parts of about `size` bytes that end where words end: (number of the part's first word, part).
+
+    Each part begins with the last `overlap` words of what came before. A single longer word stays whole. A short text is one part, as it is.
+    """
+    if len(text) <= size:
+        yield 0, text
+        return
+    at, seen, carry = 0, 0, []
+    while at < len(text):
+        edge = _WHITE.search(text, at + size) if at + size < len(text) else None
+        end = edge.start() if edge else len(text)
+        part = text[at:end]
+        if overlap:
+            words = part.split()
+            yield seen - len(carry), b" ".join((*carry, part))
+            carry = (carry + words)[-overlap:]
+            seen += len(words)
+        else:
+            yield seen, part
+        at = end
+
+
+def without_long_words(text: bytes) -> bytes:
+    """Each word of LONG_WORD bytes or more as a digest behind a byte that no UTF-8 text has; the number of words stays."""
+    if len(text) < LONG_WORD:
+        return text
+    return _LONG.sub(lambda m: b"\xff" + hashlib.blake2b(m.group(), digest_size=32).hexdigest().encode(), text)
+
+
+#: Keys with more than 1 / HEAVY of all rows (and LEAST_HEAVY rows) are joined by broadcast. There are fewer than HEAVY of them, whatever the data.
+HEAVY, LEAST_HEAVY = 1 << 16, 1000
+
+
+def join_by(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with per_key(keys, n, ...), one row for each key, which n of the `total` rows have; n is left out.
+
+    No task gathers a heavy key's rows: they meet their key, one of HEAVY at most, where they are.
+    """
+    heavy = F.col(n) > max(LEAST_HEAVY, total // HEAVY)
+    many, few = per_key.where(heavy).drop(n), per_key.where(~heavy).drop(n)
+    names = F.broadcast(many.select(*keys))
+    return rows.join(F.broadcast(many), keys).unionByName(rows.join(names, keys, "left_anti").join(few, keys))

@@ -32,8 +32,9 @@ from sheaf.llm.common import read, shared_path, stored, text_steps
 
 BLOCK_IDS, CACHE = 1 << 19, 600_000
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
-#: Letters that one code point writes and lower-casing keeps single: A-Z, a-z, and Latin beyond ASCII but for the dotted capital I.
-LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+#: Latin letters beyond ASCII, up to U+024F, that lower-case to one letter of this range: the closed set that the pre-tokens below are right for.
+BEYOND = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and 0xC0 <= ord(c.lower()) < 0x250)
+LATIN = f"A-Za-z{BEYOND}"
 UNUSUAL = re.compile(f"[^\\x00-\\x7f{LATIN}]")
 #: The pre-tokens of PLAIN_SPLIT in lower-cased text of such letters and ASCII.
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\t-\\r 0-9{LATIN}]+|\\n")
@@ -181,6 +182,8 @@ BLOCK_SCHEMA = T.StructType([
 def encode_blocks(rows: DataFrame, table: rans.Table, kind: str, block_ids: int = BLOCK_IDS) -> DataFrame:
     """rows(doc_id, ids), any order -> blocks in ascending order of doc_id."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
+    # rows that repeat an id may be dealt over several parts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     width = np.dtype(kind).itemsize
 
     def scan(batches):
@@ -205,7 +208,7 @@ def encode_blocks(rows: DataFrame, table: rans.Table, kind: str, block_ids: int
         if held:
             yield block()
 
-    return rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).mapInArrow(scan, BLOCK_SCHEMA)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, BLOCK_SCHEMA)
 
 
 ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64()]
