@@ -4,17 +4,22 @@ A window is WINDOW consecutive words. It stands for repeated text if its word se
 
 Windows are counted by anchors: the GRAM-word sequence with the least hash within a window is its anchor, and equal
 windows have equal anchors at the same place. Neighbouring windows mostly share one, so a text has about
-2 / (WINDOW - GRAM + 2) anchors per word.
-1. Each partition counts its anchors in a count-min sketch of a bounded number of cells; the sketches are merged cell by cell. An anchor's
-   count is never underestimated, and a window can't be in more documents than its anchor is in places.
-2. A second pass keeps only anchors that the sketch counts twice or more, each with the digest of its region: all words of the windows
-   that share this occurrence of it. Equal regions are grouped exactly: in all but the first document the whole region is repeated.
-3. An anchor that occurs in several different regions is looked at window by window, in the first document of each region: that loses no repeated window,
+2 / (WINDOW - GRAM + 2) anchors per word. A window can't begin in more places than its anchor stands in, so a count of
+anchors is an upper bound of the count of each window.
+1. One scan of the texts writes the anchors, each with the digest of its region: all words of the windows that share this occurrence of it.
+2. The anchors are counted in a count-min sketch whose blocks of CELLS cells are dealt over the cluster: each partition counts its anchors,
+   block by block, and the partial sketches are merged cell by cell. There are as many blocks as anchors call for (ANCHORS for each), so the sketch is as sharp
+   at any size. Anchors meet their block where both are shuffled to; nothing is broadcast. Counts are never underestimated.
+   Anchors that one partition has twice needn't be looked up, so a hot anchor is looked up once for each partition at most.
+3. A second pass keeps only anchors counted twice or more. Equal regions are grouped exactly: in all but the first document the whole region is repeated.
+4. An anchor that occurs in several different regions is looked at window by window, in the first document of each region: that loses no repeated window,
    as its first document is the first one of some region.
 What the sketch lets through wrongly has a count of one and falls away in the exact grouping; nothing repeated is lost however full it is.
 
-Texts are only shuffled for documents that have something to compare or to remove; these are marked in bitmaps of a fixed size (a bit
-may be shared, which costs a comparison and changes no result). Digests have 128 bits.
+Passages that very many documents share are keys with very many rows: these rows meet their key by broadcast (common.join_by), of a proven number of keys.
+Texts are only shuffled for documents that have something to compare or to remove; these are marked in bitmaps of bounded size (a bit
+may be shared, which costs a comparison and changes no result). Digests have 128 bits. Long texts are worked on in parts that overlap by a window:
+a region may be cut between parts, which makes it two regions and changes no result. Words of LONG_WORD bytes are hashed by a digest.
 
 Defined cases: null texts have no words; texts of fewer than WINDOW words keep all of them; documents with a null id are left as
 they are and count for no other; rows that repeat an id aren't compared with each other, and each is judged by its own text.
@@ -24,20 +29,21 @@ from __future__ import annotations
 
 import functools
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import read, stored, text_steps
+from sheaf.llm.common import join_by, parts, read, run_ranges, stored, text_steps, without_long_words
 
 WINDOW, GRAM, ROWS = 50, 8, 2
-#: Cells of a row of the sketch: a power of two with CELLS_PER_ANCHOR cells for each expected anchor, within bounds.
-LEAST_CELLS, MOST_CELLS, CELLS_PER_ANCHOR, BLOCK_CELLS = 1 << 16, 1 << 26, 2, 1 << 16
-#: Bits of the bitmaps of documents.
-MARKS = 1 << 24
+#: Cells of a block of the sketch (ROWS rows of them), and the anchors that a block is made for.
+CELLS, ANCHORS = 1 << 15, 1 << 13
+#: Cells that a task counts before it gives them away.
+HELD = 1 << 20
+#: Bounds of the bits of a bitmap of documents: 32 MB at most.
+LEAST_MARKS, MOST_MARKS = 1 << 20, 1 << 28
 STEP = 512 << 10
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -123,89 +129,120 @@ def least(a, at, b, bt):
     return np.where(take, b, a), np.where(take, bt, at)
 
 
-def cells_of(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each anchor in each row of the sketch, rows one after the other."""
-    return [(mix(anchors, 101 + r) & U(cells - 1)).astype(np.int64) + r * cells for r in range(ROWS)]
+def blocks_of(size: int, window: int, gram: int, anchors: int = ANCHORS) -> int:
+    """Blocks of the sketch for texts of so many bytes: one for each `anchors` expected anchors."""
+    return max(1, math.ceil(size / 6 * 2 / (window - gram + 2) / anchors))
 
 
-def sketch(docs: DataFrame, window: int, gram: int) -> tuple[int, np.ndarray]:
-    """(cells of a row, bit for each cell: counted twice or more) over all anchors of docs(text)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = size / 6 * 2 / (window - gram + 2)
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << math.ceil(math.log2(max(1, expected * CELLS_PER_ANCHOR)))))
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), "anchor"), F.lit(blocks))
+
+
+def cells_of() -> list[Column]:
+    """An anchor's cell in each row of its block."""
+    return [(F.pmod(F.xxhash64(F.lit(r), "anchor"), F.lit(CELLS)) + r * CELLS).cast("int") for r in range(ROWS)]
+
+
+def texts_of(batch: pa.RecordBatch):
+    """Yield (rows, first words, texts): steps of the batch's texts, long ones in parts that overlap by a window; `batch` has text as its last column."""
+    for i, texts in text_steps(batch, batch.schema.names[-1], STEP):
+        if len(texts) == 1 and len(texts[0]) > STEP:
+            for first, part in parts(texts[0], STEP, WINDOW - 1):
+                yield np.array([i]), np.array([first]), [without_long_words(part)]
+        else:
+            yield np.arange(i, i + len(texts)), np.zeros(len(texts), np.int64), [without_long_words(t) for t in texts]
+
+
+def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """docs(doc_id, th, text) -> all anchors: doc_id, th, first and last window, anchor, digest r1, r2 of the region, here: whether the task saw the anchor twice at a time."""
+
+    def scan(batches):
+        for batch in batches:
+            ids, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for rows, words_before, texts in texts_of(batch):
+                w = Words(texts)
+                anchor, s1, s2 = w.anchors(window, gram)
+                text = w.text[s1]
+                base = w.first[text] - words_before[text]
+                _, at, n = np.unique(anchor, return_inverse=True, return_counts=True)
+                columns = [ids[rows[text]], th[rows[text]], (s1 - base).astype(np.int32), (s2 - base).astype(np.int32), anchor.view(np.int64), *(w.digest(s1, s2 + window, k).view(np.int64) for k in (0, 1)), n[at] > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "th", "s1", "s2", "anchor", "r1", "r2", "here"])
+
+    return docs.mapInArrow(scan, "doc_id long, th long, s1 int, s2 int, anchor long, r1 long, r2 long, here boolean")
+
+
+def sketch(found: DataFrame, blocks: int) -> DataFrame:
+    """The merged count-min sketch of found(anchor): block, bits (array of long; a bit for each cell: counted twice or more)."""
 
     def count(batches):
-        counts = np.zeros(ROWS * cells, np.uint8)
+        held, size = [], 0
         for batch in batches:
-            for _, texts in text_steps(batch, "text", STEP):
-                for at in cells_of(Words(texts).anchors(window, gram)[0], cells):
-                    at, n = np.unique(at, return_counts=True)
-                    counts[at] = np.minimum(2, counts[at] + np.minimum(n, 2))
-        blocks = counts.reshape(-1, BLOCK_CELLS)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for k in range(0, len(used), 64):
-            part = used[k : k + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in part], pa.binary())], names=["block", "cells"])
+            if batch.num_rows:
+                held += [batch.column(0).to_numpy() * (ROWS * CELLS) + batch.column(1 + r).to_numpy() for r in range(ROWS)]
+                size += batch.num_rows
+            if size >= HELD:
+                yield from given(held)
+                held, size = [], 0
+        if held:
+            yield from given(held)
+
+    def given(held):
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        block = at // (ROWS * CELLS)
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(at)]
+        for a in range(0, len(edges) - 1, 256):
+            some = list(zip(edges[a : a + 256], edges[a + 1 : a + 257], strict=False))
+            cells = [(at[i:j] % (ROWS * CELLS) << 1 | (n[i:j] > 1)).astype("<u4").tobytes() for i, j in some]
+            yield pa.RecordBatch.from_arrays([pa.array(block[[i for i, _ in some]]), pa.array(cells, pa.binary())], names=["block", "cells"])
 
     def merge(batches):
         block, total = None, None
         for batch in batches:
-            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(packed), np.uint8)
+            for b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != block:
                     if block is not None:
                         yield full(block, total)
-                    block, total = b, own
-                else:
-                    total = np.minimum(2, total + own)
+                    block, total = b, np.zeros(ROWS * CELLS, np.uint8)
+                own = np.frombuffer(own, "<u4")
+                at = own >> 1
+                total[at] = np.minimum(2, total[at] + 1 + (own & 1).astype(np.uint8))
         if block is not None:
             yield full(block, total)
 
     def full(block, total):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], names=["block", "cells"])
+        bits = np.packbits(total >= 2, bitorder="little").view("<i8").astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits], pa.list_(pa.int64()))], names=["block", "bits"])
 
-    merged = docs.select("text").mapInArrow(count, "block int, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
-    out = np.zeros(ROWS * cells // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        out[row.block * BLOCK_CELLS // 8 : (row.block + 1) * BLOCK_CELLS // 8] = np.frombuffer(bytes(row.cells), np.uint8)
-    return cells, out
+    merged = found.select(block_of(blocks).alias("block"), *(c.alias(f"c{r}") for r, c in enumerate(cells_of()))).mapInArrow(count, "block long, cells binary").repartition("block").sortWithinPartitions("block")
+    return merged.mapInArrow(merge, "block long, bits array<long>")
 
 
-def estimated_repeated(anchors: np.ndarray, cells: int, bits: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(anchors), bool)
-    for at in cells_of(anchors, cells):
-        ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1) > 0
-    return ok
+def estimated_repeated(found: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
+    """The rows of found whose anchor the sketch counts twice or more."""
+    test = F.lit(True)
+    for c in cells_of():
+        test = test & (F.getbit(F.element_at("bits", F.shiftright(c, 6) + 1), c.bitwiseAND(63)) == 1)
+    out = ("doc_id", "th", "s1", "s2", "anchor", "r1", "r2")
+    looked_up = found.where("NOT here").withColumn("block", block_of(blocks)).join(bits.hint("shuffle_hash"), "block").where(test)
+    return found.where("here").select(*out).unionByName(looked_up.select(*out))
 
 
-def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def occurrences(docs: DataFrame, window: int, gram: int, anchors: int = ANCHORS) -> DataFrame:
     """docs(doc_id, th, text) -> the anchors counted twice or more: doc_id, th, first and last window, anchor, digest r1, r2 of the region."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, window, gram))
-
-    def scan(batches):
-        cells, bits = shared.value
-        for batch in batches:
-            ids, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, texts in text_steps(batch, "text", STEP):
-                w = Words(texts)
-                anchor, s1, s2 = w.anchors(window, gram)
-                keep = estimated_repeated(anchor, cells, bits)
-                anchor, s1, s2 = anchor[keep], s1[keep], s2[keep]
-                text = w.text[s1]
-                base = w.first[text]
-                columns = [ids[i + text], th[i + text], (s1 - base).astype(np.int32), (s2 - base).astype(np.int32), anchor.view(np.int64), *(w.digest(s1, s2 + window, k).view(np.int64) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "th", "s1", "s2", "anchor", "r1", "r2"])
-
-    return docs.mapInArrow(scan, "doc_id long, th long, s1 int, s2 int, anchor long, r1 long, r2 long")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = blocks_of(size, window, gram, anchors)
+    found = stored(anchor_rows(docs, window, gram), "anchors")
+    return stored(estimated_repeated(found, stored(sketch(found, blocks), "sketch"), blocks), "repeated")
 
 
 def marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs that may be among ids(doc_id, th), docs that are not), by a bitmap of MARKS bits."""
-    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(MARKS))
+    """(docs that may be among ids(doc_id, th), docs that are not), by a bitmap of 8 bits for each of the ids, within bounds."""
+    size = min(MOST_MARKS, max(LEAST_MARKS, 1 << (8 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(size))
     # Spark numbers the bits of its bitmaps from 1
     maps = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    # at most MARKS / 32768 rows of 4 kB
-    found = np.zeros(MARKS // 8, np.uint8)
+    # at most MOST_MARKS / 32768 rows of 4 kB
+    found = np.zeros(size // 8, np.uint8)
     for row in maps.toLocalIterator():
         own = np.frombuffer(bytes(row.bits), np.uint8)
         found[(row.bucket - 1) * 4096 : (row.bucket - 1) * 4096 + len(own)] = own
@@ -224,47 +261,51 @@ def marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.mapInArrow(keep(want), rows.schema).drop("__bit") for want in (True, False))
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, anchors: int = ANCHORS) -> DataFrame:
     """docs(doc_id, th, text), no null ids -> doc_id, th, a, b: ranges of words that repeat a smaller document's windows."""
-    found = stored(occurrences(docs, window, gram), "anchors")
-    regions = stored(found.groupBy("anchor", "r1", "r2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "regions")
-    several = regions.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("first").alias("lo"), F.max("first").alias("hi")).where("regions > 1 AND lo < hi").select("anchor")
-    whole = found.join(regions.where("n > 1").select("r1", "r2", "anchor", "first"), ["anchor", "r1", "r2"]).where("first < doc_id").select("doc_id", "th", F.col("s1").alias("a"), (F.col("s2") + window).alias("b"))
+    region = ["anchor", "r1", "r2"]
+    found = occurrences(docs, window, gram, anchors)
+    n_found = found.count()
+    regions = stored(found.groupBy(*region).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "regions")
+    several = stored(regions.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("first").alias("lo"), F.max("first").alias("hi")).where("regions > 1 AND lo < hi").select("anchor", "regions"), "several")
+    whole = join_by(found, regions.where("n > 1"), region, "n", n_found)
+    whole = whole.where("first < doc_id").select("doc_id", "th", F.col("s1").alias("a"), (F.col("s2") + window).alias("b"))
     # the first documents of regions whose anchor has several
-    odd = regions.join(several, "anchor").select("anchor", "r1", "r2", F.col("first").alias("doc_id"))
-    odd = stored(found.join(odd, ["anchor", "r1", "r2", "doc_id"]).select("doc_id", "th", "s1", "s2"), "ranges")
+    odd = join_by(regions.drop("n"), several, ["anchor"], "regions", regions.count()).select(*region, F.col("first").alias("doc_id"))
+    odd = stored(found.join(odd, [*region, "doc_id"]).select("doc_id", "th", "s1", "s2"), "ranges")
     some, _ = marked(docs, odd)
     ranges = odd.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s1", "s2")).alias("ranges"))
     rows = some.join(ranges, ["doc_id", "th"]).select("doc_id", "th", "ranges", "text")
     windows = stored(rows.mapInArrow(windower(window), "doc_id long, th long, at int, w1 long, w2 long"), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-    single = windows.join(first, ["w1", "w2"]).where("first < doc_id").select("doc_id", "th", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return whole.unionByName(single)
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("w1", "w2", "first", "n")
+    single = join_by(windows, stored(first, "firsts"), ["w1", "w2"], "n", windows.count())
+    return whole.unionByName(single.where("first < doc_id").select("doc_id", "th", F.col("at").alias("a"), (F.col("at") + window).alias("b")))
 
 
 def windower(window: int):
     def scan(batches):
         for batch in batches:
             ids, th, ranges = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for i, texts in text_steps(batch, "text", STEP):
+            for rows, words_before, texts in texts_of(batch):
                 w = Words(texts)
-                text = np.array([k for k in range(len(texts)) for _ in ranges[i + k]], np.int64)
-                s1 = np.array([r["s1"] for k in range(len(texts)) for r in ranges[i + k]], np.int64)
-                s2 = np.array([r["s2"] for k in range(len(texts)) for r in ranges[i + k]], np.int64)
-                n = s2 - s1 + 1
-                at = np.repeat(s1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                text = np.repeat(text, n)
-                begin = at + w.first[text]
-                columns = [ids[i + text], th[i + text], at.astype(np.int32), *(w.digest(begin, begin + window, k).view(np.int64) for k in (0, 1))]
+                windows = np.maximum(w.n - window + 1, 0)
+                # of each range, the windows that begin in this part of the text
+                own = [(k, max(r["s1"], before), min(r["s2"], before + last - 1)) for k, (row, before, last) in enumerate(zip(rows.tolist(), words_before.tolist(), windows.tolist(), strict=True)) for r in ranges[row]]
+                text, s1, s2 = (np.array(x, np.int64) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3
+                n = np.maximum(s2 - s1 + 1, 0)
+                at, text = np.repeat(s1, n) + run_ranges(n), np.repeat(text, n)
+                begin = at - words_before[text] + w.first[text]
+                row = rows[text]
+                columns = [ids[row], th[row], at.astype(np.int32), *(w.digest(begin, begin + window, k).view(np.int64) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "th", "at", "w1", "w2"])
 
     return scan
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, anchors: int = ANCHORS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept (the words that stay, joined by a space; binary)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    ranges = stored(repeated_ranges(rows.where("doc_id IS NOT NULL"), window, gram), "repeats")
+    ranges = stored(repeated_ranges(rows.where("doc_id IS NOT NULL"), window, gram, anchors), "repeats")
     some, others = marked(rows.where("doc_id IS NOT NULL"), ranges)
     per = ranges.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"))
     with_ranges = some.join(per, ["doc_id", "th"], "left").select("doc_id", "ranges", "text")
@@ -282,19 +323,48 @@ def remover(batches):
         for i, texts in text_steps(batch, "text", STEP):
             out, removed, n = [], [], []
             for text, own in zip(texts, ranges[i : i + len(texts)], strict=True):
-                words = text.split()
-                n.append(len(words))
-                left, end = [], 0
-                for r in own or ():
-                    if r["a"] > end:
-                        left += words[end : r["a"]]
-                    end = max(end, r["b"])
-                left += words[end:]
-                removed.append(len(words) - len(left))
-                out.append(b" ".join(left))
+                kept, words, gone = kept_words(text, own or ())
+                out.append(kept)
+                n.append(words)
+                removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def kept_words(text: bytes, ranges) -> tuple[bytes, int, int]:
+    """(the words outside the ranges, sorted by their begin, joined by a space; the number of words; that of removed ones)."""
+    joined = []
+    for a, b in ((r["a"], r["b"]) for r in ranges):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    done, n, gone, k = [], 0, 0, 0
+    for first, part in parts_of_words(text):
+        at, last, left = first, first + len(part), []
+        while k < len(joined) and joined[k][0] < last:
+            a, b = max(joined[k][0], first), min(joined[k][1], last)
+            left += part[at - first : a - first]
+            gone += b - a
+            at = b
+            if joined[k][1] > last:
+                break
+            k += 1
+        left += part[at - first :]
+        n = last
+        if left:
+            done.append(b" ".join(left))
+    return b" ".join(done), n, gone
+
+
+def parts_of_words(text: bytes):
+    """Yield (number of the first word, words) of parts of a text."""
+    n = 0
+    for _, part in parts(text, STEP):
+        words = part.split()
+        yield n, words
+        n += len(words)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
