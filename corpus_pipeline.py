@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import decontaminate, langid, mixing, near_copies, simhash, token_store
-from sheaf.llm.common import read, shared_path
+from sheaf.llm.common import bounded_batches, fresh, read, shared_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, or in which no language explains langid.LEAST_SHARE of the words, go."""
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    found = langid.identify(docs, model, ("__pred", "__share"))
-    return found.where((F.col("__pred") != "und") & (F.col("__share") >= langid.LEAST_SHARE)).select(*docs.columns)
+    pred, share = fresh(docs, "__pred"), fresh(docs, "__share")
+    found = langid.identify(docs, model, (pred, share))
+    return found.where((F.col(pred) != "und") & (F.col(share) >= langid.LEAST_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -177,7 +177,7 @@ def without_long_words(text: bytes) -> bytes:
 
 
 #: Keys with more than 1 / HEAVY of all rows (and LEAST_HEAVY rows) are joined by broadcast. There are fewer than HEAVY of them, whatever the data.
-HEAVY, LEAST_HEAVY = 1 << 16, 1000
+HEAVY, LEAST_HEAVY = 1 << 16, 10_000
 
 
 def join_by(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
@@ -185,7 +185,39 @@ def join_by(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total:
 
     No task gathers a heavy key's rows: they meet their key, one of HEAVY at most, where they are.
     """
+    if total <= LEAST_HEAVY:
+        return rows.join(per_key.drop(n), keys)
     heavy = F.col(n) > max(LEAST_HEAVY, total // HEAVY)
     many, few = per_key.where(heavy).drop(n), per_key.where(~heavy).drop(n)
     names = F.broadcast(many.select(*keys))
     return rows.join(F.broadcast(many), keys).unionByName(rows.join(names, keys, "left_anti").join(few, keys))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Bounds of the bits of a bitmap of rows: 32 MB at most.
+LEAST_MARKS, MOST_MARKS = 1 << 20, 1 << 28
+
+
+def marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among ids(*keys), rows that are surely not), without a shuffle of rows: by a bitmap of 8 bits for each id, within bounds.
+
+    Where the bound is reached more rows are told to be looked at; which ones really are among ids is for a join to say.
+    """
+    n = ids.count()
+    size = min(MOST_MARKS, max(LEAST_MARKS, 1 << (8 * n).bit_length()))
+    bucket, bits, hit = (fresh(rows, x) for x in ("__bucket", "__bits", "__hit"))
+    at = F.pmod(F.xxhash64(F.lit("mark"), *keys), F.lit(size))
+    place = at % 32768
+    maps = cut(ids.select((at / 32768).cast("int").alias(bucket), place.alias(hit)).groupBy(bucket).agg(F.bitmap_construct_agg(hit).alias(bits)))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place.cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    # at most MOST_MARKS / 32768 rows of 4 kB
+    met = rows.withColumn(bucket, (at / 32768).cast("int")).join(F.broadcast(maps), bucket, "left")
+    met = met.withColumn(hit, F.coalesce(F.getbit(byte, place.cast("int").bitwiseAND(7)) == 1, F.lit(False)))
+    return tuple(met.where(F.col(hit) == want).select(*rows.columns) for want in (True, False))

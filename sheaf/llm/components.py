@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import cut
+from sheaf.llm.common import LEAST_HEAVY, cut, join_by
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long), any direction, loops and repeats allowed -> (node, component): the smallest node it reaches.
 
     Nodes without an edge don't appear. Each round is two aggregations by node and joins on the node; only counts come to the driver. A round that
     changes nothing ends the loop; the number of rounds grows with the logarithm of the longest chain. No neighbour list is
-    ever gathered, so a node with many links costs rows, not memory.
+    ever gathered, and the many links of one node are joined where they are (join_by), so it costs rows, not memory.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(most_rounds):
+    before, n = None, edges.count()
+    while True:
+        # join_by reads its inputs several times where there is much
+        held = cut if 2 * n > LEAST_HEAVY else lambda df: df
         # large star: each node links its larger neighbours to the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = held(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = held(join_by(both, least, ["a"], "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: each node links its smaller neighbours and itself to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = held(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        moved = join_by(large, least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        before = after
-    raise RuntimeError("components did not settle")
+        before, n = after, after[0]

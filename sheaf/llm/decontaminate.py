@@ -5,8 +5,8 @@ symbol. For patterns of one length m, a shift table over blocks of two words (on
 position may move without missing an occurrence; where the shift is 0, the hash bucket of that suffix block names the few patterns that can
 end here, and they are compared word by word.
 
-Tables are compiled for blocks of at most `BLOCK_WINDOWS` distinct windows, each broadcast to all tasks: their size is bounded by
-that parameter, and more windows mean more passes over the documents, not larger tables.
+Tables are compiled for blocks of about `BLOCK_WINDOWS` pairs of a window and an item that has it, each broadcast to all tasks: their size is bounded by
+that parameter, however many items share a window, and more pairs mean more passes over the documents, not larger tables.
 
 Defined cases: null and empty texts have no words; an item without words has no window; null item ids mark hits but aren't
 listed; repeated items and repeated windows count once per id; repeated documents are each reported.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import ALNUM, read, text_steps
+from sheaf.llm.common import ALNUM, cut, read, text_steps
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -99,23 +99,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     spark = docs.sparkSession
     clash = [c for c in docs.columns if c.lower() in ("n_words", "hits", "item_ids")]
     docs = docs.drop(*clash)
-    patterns = windows_of(items, window).groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    patterns = patterns.persist()
-    n = patterns.count()
+    pairs = cut(windows_of(items, window).distinct())
+    n = pairs.count()
     blocks = max(1, -(-n // block_windows))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("item_ids", T.ArrayType(T.StringType()))])
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<bigint>"), "item_ids": F.array().cast("array<string>")})
     for k in range(blocks):
-        part = patterns.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        ids_of: dict = defaultdict(list)
+        for row in pairs.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == k).toLocalIterator():
+            ids_of[tuple(bytes(x) for x in row.window)] += [row.item_id] if row.item_id is not None else []
         by_length: dict = defaultdict(list)
-        ids_of = {}
-        for row in part.toLocalIterator():
-            p = tuple(bytes(x) for x in row.window)
+        for p in ids_of:
             by_length[len(p)].append(p)
-            ids_of[p] = row.ids
-        tables = spark.sparkContext.broadcast(([WuManber(x) for x in by_length.values()], ids_of))
+        tables = spark.sparkContext.broadcast(([WuManber(x) for x in by_length.values()], dict(ids_of)))
         out = out.mapInArrow(scanner(tables, schema), schema)
-    patterns.unpersist()
     return out
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from sheaf.llm.common import SEED, WORD, cut, read
+from sheaf.llm.common import SEED, WORD, cut, fresh, read
 
 #: HEADS: a document of 1 / HEADS of its source or more is settled first; a source has HEADS of them at most.
 WEIGHTS, MOST, BLOCK, HEADS = (5, 2, 1), 3, 32, 32
@@ -144,10 +144,11 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs, each row as often as the mix takes it; columns stay."""
-    plan = cut(decide(docs, **options).where("copies > 0").select(F.col("s").alias("__s"), F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies")))
-    keyed = docs.withColumns({"__key": key_of(F.col("source")), "__words": size_of(F.col("text"))})
-    met = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["__id"]) & (keyed["__words"] == plan["__size"]) & (keyed["__key"] == plan["__s"]))
-    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+    s, i, n, copies, key, words = (fresh(docs, x) for x in ("__s", "__id", "__size", "__copies", "__key", "__words"))
+    plan = cut(decide(docs, **options).where("copies > 0").select(F.col("s").alias(s), F.col("doc_id").alias(i), F.col("size").alias(n), F.col("copies").alias(copies)))
+    keyed = docs.withColumns({key: key_of(F.col("source")), words: size_of(F.col("text"))})
+    met = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(words) == F.col(n)) & (F.col(key) == F.col(s)))
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copies)).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near copies by the similarity of word shingles: the near-dedup stage of the pipeline.
 
-Two documents are near copies if the sets of their runs of SHINGLE words have a Jaccard similarity of ALIKE at least. SimHash of 64 bits doesn't
-reach that: at 0.8 about ten bits differ on average, and pigeonring with ten or more leaves segments of a few bits to be equal. Candidates are
-therefore pairs that agree in one of BANDS bands of ROWS minima of permuted shingle hashes (a pair of similarity s does with 1 - (1 - s^ROWS)^BANDS:
-0.9996 at 0.8), and each link is checked on the shingle sets themselves.
-
-Members of a group of candidates are first checked against one of them, then those of groups that are not connected yet against another one,
+Two documents are near copies if the sets of their runs of SHINGLE words have a Jaccard similarity of ALIKE at least.
+1. SimHash fingerprints of the sets are linked by pigeonring filtering (simhash.near_links): that finds exact copies and those that differ little.
+   At a similarity of 0.8 about ten of 64 bits differ, and pigeonring with ten or more leaves segments of a few bits to be equal, so
+2. what isn't linked yet is compared where two sets agree in one of BANDS bands of ROWS minima of permuted shingle hashes (a pair of similarity s does with
+   1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8).
+Every link is checked on the shingle sets themselves.
+
+Members of a band's group are first checked against one of them, then those of groups that are not connected yet against another one,
 and what is still apart in a group after that in all pairs. So groups of many copies cost rows in proportion to their size, and nothing is capped or dropped.
 
 Defined cases: texts without words are copies of each other; texts of fewer than SHINGLE words have one shingle; repeated rows and repeated ids are one
@@ -20,8 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import LOWER, SEED, cut, stored, text_steps
+from sheaf.llm.common import SEED, cut, join_by, stored, text_steps
 from sheaf.llm.components import connected_components
+from sheaf.llm.simhash import near_links as pigeonring_links
+from sheaf.llm.simhash import shingle_digests
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Least similarity, as a fraction of whole numbers.
@@ -32,14 +36,16 @@ CHUNK = 4096
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the word shingles of a text, sorted."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, k = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    found = [np.unique(np.frombuffer(raw, ">u8").astype(np.uint64)) for raw in shingle_digests(text, shingle)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def simhash(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(shingles), 1 << 16):
+        ones += np.unpackbits(shingles[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big", signed=True)
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -58,21 +64,22 @@ def band_keys(shingles: np.ndarray, permuted: tuple[np.ndarray, np.ndarray]) ->
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id long, digest binary of the shingle set, n long its size, bands array<long>)."""
+    """docs(doc_id, text) -> (doc_id long, digest binary of the shingle set, n long its size, fp long its SimHash, bands array<long>)."""
 
     def scan(batches):
         permuted = permutations()
         for batch in batches:
-            digests, sizes, bands = [], [], []
+            digests, sizes, fps, bands = [], [], [], []
             for _, texts in text_steps(batch, "text"):
                 for text in texts:
                     own = shingle_set(text)
                     digests.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
                     sizes.append(len(own))
+                    fps.append(simhash(own))
                     bands.append(band_keys(own, permuted))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, digest binary, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, digest binary, n long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,41 +121,52 @@ def checkable(pairs: DataFrame) -> DataFrame:
     return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """pairs(a, na, b, nb) of nodes(node, n, fp) with equal fingerprints, or with near ones that pigeonring filtering finds."""
+    of = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("many")))
+    equal = join_by(nodes.select("fp", "node", "n"), of.where("many > 1"), ["fp"], "many", nodes.count())
+    equal = equal.select(F.col("first.node").alias("a"), F.col("first.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    firsts = of.select("first.node", "first.n", "fp")
+    near = pigeonring_links(firsts.select("node", "fp"))
+    near = near.join(firsts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(firsts.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    return equal.unionByName(near.select("a", "na", "b", "nb"))
+
+
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes(node, digest, n, bands) that connect what all candidate pairs of similarity ALIKE connect."""
+    """Links (a, b) between nodes(node, digest, n, fp, bands) that connect what all candidate pairs of similarity ALIKE connect."""
+    first = cut(checkable(fingerprint_pairs(nodes)))
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    rows = cut(rows.join(shared.select("key"), "key", "left_semi"))
-    sets = stored(shingle_sets(docs, nodes.select("node", "digest").join(rows.select("node").distinct(), "node", "left_semi")), "shingles")
-    links, apart = None, rows.withColumn("part", F.col("node"))
+    rows = cut(join_by(rows, shared, ["key"], "many", nodes.count() * BANDS))
+    wanted = rows.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    sets = stored(shingle_sets(docs, nodes.select("node", "digest").join(wanted, "node", "left_semi")), "shingles")
+    links = cut(alike(first, sets))
     for k in range(3):
+        # groups with members that aren't connected yet
+        parts = connected_components(links)
+        apart = rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+        open_ = apart.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
+        apart = cut(join_by(apart, cut(open_), ["key"], "many", rows.count()))
+        if apart.isEmpty():
+            return links
         if k < 2:
             order = F.struct(F.xxhash64(F.lit(k), "node") if k else F.lit(0), "node", "n", "part")
-            lead = apart.groupBy("key").agg(F.min(order).alias("lead"))
-            pairs = apart.join(lead, "key").where(F.col("part") != F.col("lead.part")).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+            lead = cut(apart.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("many")))
+            pairs = join_by(apart, lead, ["key"], "many", rows.count()).where(F.col("part") != F.col("lead.part")).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
         else:
             least, of = ALIKE
             one, two = apart.alias("one"), apart.alias("two")
             size = F.least("one.n", "two.n") * of >= F.greatest("one.n", "two.n") * least
             pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.part") != F.col("two.part")) & size)
             pairs = pairs.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("two.node").alias("b"), F.col("two.n").alias("nb"))
-        found = cut(alike(checkable(pairs), sets))
-        links = found if links is None else links.unionByName(found)
-        if k == 2:
-            return links
-        # groups with members that aren't connected yet
-        parts = connected_components(links)
-        apart = rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-        open_ = apart.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-        apart = cut(apart.join(open_.select("key"), "key", "left_semi"))
-        if apart.isEmpty():
-            return links
+        links = cut(links.unionByName(alike(checkable(pairs), sets)))
+    return links
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id), without null ids; an id's class is the smallest id it is connected with."""
     known = stored(sketches(docs.where("doc_id IS NOT NULL")), "sketches")
-    nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     # an id that comes with several sets joins them
     several = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
     again = known.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

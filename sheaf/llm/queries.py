@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity
+from sheaf.llm.common import bounded_batches
+
+def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, with batches for Python workers that their memory bears."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: prepared(f)
     for f in (
         line_dedup.op1_line_dedup,
         toxicity.op2_toxicity,

@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import LOWER, SEED, cut, read, stored, text_steps
+from sheaf.llm.common import LOWER, SEED, STEP_BYTES, cut, fresh, join_by, marked, parts, read, stored, text_steps
 from sheaf.llm.components import connected_components
 
 SHINGLE, TAU, M, GROUP = 3, 2, 5, 2048
@@ -31,21 +31,31 @@ SHINGLE, TAU, M, GROUP = 3, 2, 5, 2048
 CUTS = [round(64 * i / M) for i in range(M + 1)]
 
 
+def shingle_digests(text: bytes, shingle: int):
+    """Yield the XXH64 digests (big-endian bytes, one after the other) of the word shingles of a text; a shorter text is one shingle. Long texts come in parts."""
+    digest, n = xxhash.xxh64_digest, 0
+    for first, part in parts(text.translate(LOWER), STEP_BYTES, shingle - 1):
+        words = part.split()
+        n = first + len(words)
+        if len(words) < shingle:
+            short = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        yield b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+    if 0 < n < shingle:
+        yield digest(b" ".join(short), SEED)
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of the word shingles of a text, as a signed integer."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined, k = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
-    n = len(raw) // 8
-    ones = np.zeros(64, np.int64)
-    rows = np.frombuffer(raw, np.uint8).reshape(n, 8)
-    for a in range(0, n, 1 << 16):
-        ones += np.unpackbits(rows[a : a + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    n, ones = 0, np.zeros(64, np.int64)
+    for raw in shingle_digests(text, shingle):
+        rows = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+        n += len(rows)
+        for a in range(0, len(rows), 1 << 16):
+            ones += np.unpackbits(rows[a : a + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
@@ -120,7 +130,7 @@ def near_links(nodes: DataFrame, tau: int = TAU, m: int = M, group: int = GROUP)
         heavy = few.where(F.col("count") > group)
         if heavy.isEmpty():
             break
-        rows = refine(rows.join(heavy.drop("count"), ["ring", "key", "fixed"]), tau)
+        rows = refine(join_by(rows, heavy, ["ring", "key", "fixed"], "count", rows.count()), tau)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -183,17 +193,17 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs without all but the first document of each class of classes(doc_id, component_id), like keep_one."""
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(one_of("doc_id"))
-    out = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
-def one_of(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(F.xxhash64("text"), "text")
+    """docs without all but the first document of each class of classes(doc_id, component_id), like keep_one.
+
+    Only documents that may go are shuffled: those of a class that begins with another one, and those whose id comes again.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    gone = cut(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    again = known.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    some, others = marked(known, gone.unionByName(again), ["doc_id"])
+    place = fresh(docs, "__place")
+    kept = some.join(gone, "doc_id", "left_anti").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(place) == 1)
+    return kept.select(*docs.columns).unionByName(others).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import join_by, parts, read, run_ranges, stored, text_steps, without_long_words
+from sheaf.llm.common import join_by, marked, parts, read, run_ranges, stored, text_steps, without_long_words
 
 WINDOW, GRAM, ROWS = 50, 8, 2
 #: Cells of a block of the sketch (ROWS rows of them), and the anchors that a block is made for.
 CELLS, ANCHORS = 1 << 15, 1 << 13
 #: Cells that a task counts before it gives them away.
 HELD = 1 << 20
-#: Bounds of the bits of a bitmap of documents: 32 MB at most.
-LEAST_MARKS, MOST_MARKS = 1 << 20, 1 << 28
 STEP = 512 << 10
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -235,32 +233,6 @@ def occurrences(docs: DataFrame, window: int, gram: int, anchors: int = ANCHORS)
     return stored(estimated_repeated(found, stored(sketch(found, blocks), "sketch"), blocks), "repeated")
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs that may be among ids(doc_id, th), docs that are not), by a bitmap of 8 bits for each of the ids, within bounds."""
-    size = min(MOST_MARKS, max(LEAST_MARKS, 1 << (8 * ids.count()).bit_length()))
-    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(size))
-    # Spark numbers the bits of its bitmaps from 1
-    maps = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    # at most MOST_MARKS / 32768 rows of 4 kB
-    found = np.zeros(size // 8, np.uint8)
-    for row in maps.toLocalIterator():
-        own = np.frombuffer(bytes(row.bits), np.uint8)
-        found[(row.bucket - 1) * 4096 : (row.bucket - 1) * 4096 + len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-
-    def keep(want: bool):
-        def scan(batches):
-            bits = shared.value
-            for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy()
-                yield batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0) == want))
-
-        return scan
-
-    rows = docs.withColumn("__bit", bit)
-    return tuple(rows.mapInArrow(keep(want), rows.schema).drop("__bit") for want in (True, False))
-
-
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, anchors: int = ANCHORS) -> DataFrame:
     """docs(doc_id, th, text), no null ids -> doc_id, th, a, b: ranges of words that repeat a smaller document's windows."""
     region = ["anchor", "r1", "r2"]
@@ -273,7 +245,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, anc
     # the first documents of regions whose anchor has several
     odd = join_by(regions.drop("n"), several, ["anchor"], "regions", regions.count()).select(*region, F.col("first").alias("doc_id"))
     odd = stored(found.join(odd, [*region, "doc_id"]).select("doc_id", "th", "s1", "s2"), "ranges")
-    some, _ = marked(docs, odd)
+    some, _ = marked(docs, odd, ["doc_id", "th"])
     ranges = odd.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s1", "s2")).alias("ranges"))
     rows = some.join(ranges, ["doc_id", "th"]).select("doc_id", "th", "ranges", "text")
     windows = stored(rows.mapInArrow(windower(window), "doc_id long, th long, at int, w1 long, w2 long"), "windows")
@@ -306,7 +278,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, anc
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept (the words that stay, joined by a space; binary)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     ranges = stored(repeated_ranges(rows.where("doc_id IS NOT NULL"), window, gram, anchors), "repeats")
-    some, others = marked(rows.where("doc_id IS NOT NULL"), ranges)
+    some, others = marked(rows.where("doc_id IS NOT NULL"), ranges, ["doc_id", "th"])
     per = ranges.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"))
     with_ranges = some.join(per, ["doc_id", "th"], "left").select("doc_id", "ranges", "text")
     none: Column = F.lit(None).cast(per.schema["ranges"].dataType)

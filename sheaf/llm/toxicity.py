@@ -18,22 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import ALNUM, crc32_mod, read, text_steps
+from sheaf.llm.common import ALNUM, crc32_mod, parts, read, text_steps
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_G, PREFIX = 20_000, 4096, 3, 6.0, 5
 FIT_ROUNDS, DECAY, COUNTERFACTUAL = 300, 1e-3, 1.0
-#: Identity terms that are swapped for each other within a row.
+#: Identity terms that are swapped for each other within a row: English, German, Spanish, French.
 IDENTITY = (
-    ("men", "women"), ("man", "woman"), ("boy", "girl"), ("male", "female"), ("black", "white", "asian", "latino"), ("gay", "lesbian", "straight", "bisexual"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("old", "young", "elderly"), ("deaf", "blind", "disabled"), ("immigrant", "native", "foreign"),
+    ("man", "woman"), ("men", "women"), ("boy", "girl"), ("boys", "girls"), ("male", "female"), ("black", "white", "asian", "latino"), ("gay", "lesbian", "straight", "bisexual"),
+    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), ("old", "young", "elderly"), ("deaf", "blind", "disabled"),
+    ("immigrant", "native", "foreign"), ("immigrants", "natives", "foreigners"),
+    ("mann", "frau"), ("männer", "frauen"), ("junge", "mädchen"), ("christen", "muslime", "juden", "atheisten"), ("christlich", "muslimisch", "jüdisch"), ("einwanderer", "einheimische", "ausländer"),
+    ("hombre", "mujer"), ("hombres", "mujeres"), ("chico", "chica"), ("cristiano", "musulmán", "judío", "ateo"), ("cristianos", "musulmanes", "judíos", "ateos"), ("inmigrantes", "nativos", "extranjeros"),
+    ("homme", "femme"), ("hommes", "femmes"), ("garçon", "fille"), ("chrétien", "musulman", "juif", "athée"), ("chrétiens", "musulmans", "juifs", "athées"), ("immigrés", "natifs", "étrangers"),
 )
 OTHERS = {t.encode(): [o.encode() for o in row if o != t] for row in IDENTITY for t in row}
 
 
-def features_of(text: bytes) -> set[bytes]:
-    """Words, and beginnings of longer words as beginning + *."""
-    words = set(text.translate(ALNUM).split())
-    return words | {w[:PREFIX] + b"*" for w in words if len(w) > PREFIX}
+def features_of(text: bytes, known=None) -> set[bytes]:
+    """Words, and beginnings of longer words as beginning + *; of long texts part by part. Only those among `known`, if given."""
+    out: set[bytes] = set()
+    for _, part in parts(text):
+        words = set(part.translate(ALNUM).split())
+        found = words | {w[:PREFIX] + b"*" for w in words if len(w) > PREFIX}
+        out = out | found if known is None else out | (found & known)
+    return out
 
 
 def select_features(rows: DataFrame, most: int = FEATURES) -> list[bytes]:
@@ -95,7 +103,7 @@ def indexed(rows: DataFrame, features: list[bytes], columns: list[str]) -> DataF
             at, changes = [], []
             for _, texts in text_steps(batch, "text"):
                 for t in texts:
-                    at.append(sorted(known[f] for f in features_of(t) if f in known))
+                    at.append(sorted(known[f] for f in features_of(t, known.keys())))
                     changes.append(swaps(t, known))
             kinds = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(at, kinds), pa.array(changes, pa.list_(pa.list_(kinds)))], names=schema.names)
@@ -103,7 +111,7 @@ def indexed(rows: DataFrame, features: list[bytes], columns: list[str]) -> DataF
     return rows.select(*columns, "text").mapInArrow(scan, schema)
 
 
-def train(at: list[list[int]], y: np.ndarray, features: list[bytes], changes: list[tuple[int, list[int], list[int]]]) -> tuple[np.ndarray, float]:
+def train(at: list[list[int]], y: np.ndarray, features: list[bytes], changes: list[tuple[int, list[int], list[int]]], counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """Weights and intercept, by gradient steps with momentum on the regularised loss; changes are (row, features that go, features that come)."""
     n, d = len(y), len(features)
     rows = np.repeat(np.arange(n), [len(x) for x in at])
@@ -123,7 +131,7 @@ def train(at: list[list[int]], y: np.ndarray, features: list[bytes], changes: li
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(cols, err[rows], d) + DECAY * w
         if len(moved):
-            change = 2 * COUNTERFACTUAL * share * np.bincount(swap, sign * w[moved], len(changes))
+            change = 2 * counterfactual * share * np.bincount(swap, sign * w[moved], len(changes))
             g += np.bincount(moved, sign * change[swap], d)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
@@ -134,7 +142,7 @@ def train(at: list[list[int]], y: np.ndarray, features: list[bytes], changes: li
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> tuple[list[bytes], np.ndarray, float]:
     """docs(doc_id, text), labels(doc_id, toxic) -> (features, weights, intercept)."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id", "y").limit(sample)
@@ -146,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
         return [], np.zeros(0), {None: 0.0, 0.0: -2.0}.get(rate, 2.0)
     got = indexed(rows, features, ["doc_id", "y"]).orderBy("doc_id", "y", "at").collect()
     changes = [(n, go, come) for n, r in enumerate(got) for go, come in r.swaps]
-    w, b = train([r["at"] for r in got], np.array([r.y for r in got], float), features, changes)
+    w, b = train([r["at"] for r in got], np.array([r.y for r in got], float), features, changes, counterfactual)
     return features, w, b
 
 
@@ -161,7 +169,7 @@ def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray, float], name: s
         weights, b = shared.value
         has = weights.keys()
         for batch in batches:
-            z = np.array([b + sum(sorted(weights[f] for f in features_of(t) & has)) for _, texts in text_steps(batch, "text") for t in texts], float)
+            z = np.array([b + sum(sorted(weights[f] for f in features_of(t, has))) for _, texts in text_steps(batch, "text") for t in texts], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=schema.names)
 
     return docs.mapInArrow(scan, schema)

@@ -1,12 +1,13 @@
 import itertools
 import random
+import re
 
 import corpus_pipeline
 from sheaf.llm import near_copies
 
 
 def words_set(text):
-    w = text.lower().split()
+    w = re.findall("[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 

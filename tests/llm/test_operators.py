@@ -1,6 +1,5 @@
 import hashlib
 import itertools
-import json
 import math
 import random
 import re
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from sheaf.llm import components, decontaminate, langid, line_dedup, mixing, rans, simhash, substring_dedup, token_count, token_store, topk, toxicity, transducer
 from sheaf.llm.queries import ORACLE_SQL, QUERIES
 
+from test_near_copies import brute_firsts
+
 SF = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
 
@@ -165,8 +166,6 @@ def test_decontamination(spark, tricky, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (200_000, 2):
         got = decontaminate.digest(decontaminate.decontaminate(clash(docs, "hits", "N_WORDS"), bench, block_windows=block))
-        for r, (i, t) in zip(sorted(table(got), key=str), sorted(table(docs), key=lambda x: str(x)), strict=True) if False else ():
-            assert r and i and t
         found = Counter(table(got))
         expected = Counter()
         for i, t in table(docs):
@@ -407,8 +406,9 @@ def test_pipeline(spark, tricky, tmp_path):
         if k == 0:
             assert ids == {r.doc_id for r in tricky.collect() if any(c.isalpha() for c in r.text or "")}
         if k == 1:
-            fps = {r.doc_id: brute_fingerprint(r.text) for r in before.collect() if r.doc_id is not None}
-            assert ids == {None, *(i for i, c in brute_classes(fps).items() if i == c)} and docs.where("doc_id IS NOT NULL").count() == len(ids) - 1
+            # the stage's own rule: five-word shingles, a similarity of 0.8
+            texts = {r.doc_id: r.text for r in before.collect() if r.doc_id is not None}
+            assert ids == {None, *brute_firsts(texts)} and docs.where("doc_id IS NOT NULL").count() == len(ids) - 1
         if k == 2:
             assert ids == {r.doc_id for r in before.collect() if not brute_hits(r.text, items)[1]} and 11 not in ids
         if k == 3:
@@ -416,4 +416,3 @@ def test_pipeline(spark, tricky, tmp_path):
             assert Counter(r.doc_id for r in docs.collect()) == Counter({i: n for (i, _), n in plan.items() if n})
         if k == 4:
             assert sorted(r.doc_id or 0 for r in docs.collect()) == sorted(r.doc_id or 0 for r in before.collect())
-    assert json.dumps([n for n, _ in cp.STAGES])
