@@ -3,9 +3,10 @@
 Lines are what block tags of a page's HTML delimit. For each host, the pages that contain a line are divided by the host's
 pages; lines above RATIO that are on LEAST_PAGES pages at least are boilerplate of that site and dropped from its pages.
 
-Scale: only (host, 16-byte line digest) goes through the counting shuffle, once per page and line. A host can have at most
-(mean distinct lines of its pages) / RATIO boilerplate lines, so the list that meets each page is bounded whatever the host's size;
-pages of one host are dealt over SALTS parts of it.
+Scale: the lines are extracted once and written; only (host, 16-byte line digest) goes through the counting shuffle, once per page and line. Boilerplate
+lines are few: a host has at most (mean distinct lines of its pages) / RATIO of them, whatever its size. The lists of all hosts meet the pages by
+broadcast where their measured size is at most MOST_MARKED digests; then no line is shuffled. Beyond that, only pages of hosts with
+boilerplate are shuffled, those of one host dealt over as many parts as its pages call for (PAGES for each).
 
 Defined cases: null html has no lines; pages whose url has no host (null urls too) keep all their lines; a line that repeats within a
 page counts once there; repeated page rows are pages of their own.
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import read
+from sheaf.llm.common import cut, read, stored
 
-RATIO, LEAST_PAGES, SALTS = 0.3, 3, 32
+RATIO, LEAST_PAGES = 0.3, 3
+#: Digests that are broadcast (16 bytes each); pages of a host that meet its list in one part, where lists are shuffled.
+MOST_MARKED, PAGES = 1 << 20, 2000
 #: Elements that stand on lines of their own.
 BLOCKS = "address|article|aside|blockquote|body|br|button|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -44,23 +47,33 @@ def digest_of(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
-    """pages(host, lines) -> (host, marks): the digests of each host's boilerplate lines."""
+    """pages(host, lines) -> (host, marks, pages): the digests of each host's boilerplate lines, and its number of pages."""
     known = pages.where("host IS NOT NULL")
     totals = known.groupBy("host").agg(F.count("*").alias("pages"))
     seen = known.select("host", F.explode(F.array_distinct(F.transform("lines", digest_of))).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     marked = counts.join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
-    return marked.groupBy("host").agg(F.collect_list("line").alias("marks"))
+    return marked.groupBy("host").agg(F.collect_list("line").alias("marks"), F.first("pages").alias("pages"))
 
 
-def line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, most_marked: int = MOST_MARKED) -> DataFrame:
     """pages(page_id, url, html) -> page_id, host, n_lines, n_dropped, kept (array of lines)."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
-    marks = boilerplate(rows, ratio, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int"))
-    met = salted.join(marks, ["host", "salt"], "left")
-    drop = lambda x: F.coalesce(F.array_contains("marks", digest_of(x)), F.lit(False))
-    met = met.select("page_id", "host", "lines", F.when(F.col("marks").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~drop(x))).alias("kept"))
+    rows = stored(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")), "lines")
+    marks = cut(boilerplate(rows, ratio, least))
+    n_marks, largest = marks.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)), F.coalesce(F.max("pages"), F.lit(0))).first()
+    marks = marks.select("host", "marks")
+    if n_marks <= most_marked:
+        met = rows.join(F.broadcast(marks), "host", "left")
+    else:
+        salts = 1 + largest // PAGES
+        some = rows.join(marks.select("host"), "host", "left_semi").withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(salts)).cast("int"))
+        dealt = some.join(marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "salt"]).drop("salt")
+        others = rows.join(marks.select("host"), "host", "left_anti").withColumn("marks", F.lit(None).cast("array<binary>"))
+        met = dealt.unionByName(others)
+    # a page's own boilerplate lines, then a look into these few for each line
+    met = met.withColumn("found", F.array_intersect(F.transform("lines", digest_of), "marks"))
+    kept = F.when(F.size("found") > 0, F.filter("lines", lambda x: ~F.array_contains("found", digest_of(x)))).otherwise(F.col("lines"))
+    met = met.select("page_id", "host", "lines", kept.alias("kept"))
     return met.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), "kept")
 
 

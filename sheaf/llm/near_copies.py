@@ -132,8 +132,8 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(near.select("a", "na", "b", "nb"))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes(node, digest, n, fp, bands) that connect what all candidate pairs of similarity ALIKE connect."""
+def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(links (a, b) between nodes(node, digest, n, fp, bands) that connect what all candidate pairs of similarity ALIKE connect, their components if known)."""
     first = cut(checkable(fingerprint_pairs(nodes)))
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
@@ -148,7 +148,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         open_ = apart.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
         apart = cut(join_by(apart, cut(open_), ["key"], "many", rows.count()))
         if apart.isEmpty():
-            return links
+            return links, parts
         if k < 2:
             order = F.struct(F.xxhash64(F.lit(k), "node") if k else F.lit(0), "node", "n", "part")
             lead = cut(apart.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("many")))
@@ -160,7 +160,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.part") != F.col("two.part")) & size)
             pairs = pairs.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("two.node").alias("b"), F.col("two.n").alias("nb"))
         links = cut(links.unionByName(alike(checkable(pairs), sets)))
-    return links
+    return links, None
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -170,6 +170,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # an id that comes with several sets joins them
     several = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
     again = known.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    parts = connected_components(near_links(docs, nodes).unionByName(again))
+    links, parts = near_links(docs, nodes)
+    if parts is None or not several.isEmpty():
+        parts = connected_components(links.unionByName(again))
     classes = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")

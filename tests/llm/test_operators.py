@@ -46,7 +46,10 @@ def test_against_sql(spark, name):
 def test_line_dedup(spark):
     page = lambda i, host, lines: (i, f"https://{host}/{i}", "<body><nav>menu</nav>" + "".join(f"<p>{x}</p>" for x in lines) + "<script>no</script></body>")
     rows = [page(i, "a.org", [f"own {i}", "twice" if i < 2 else f"other {i}"]) for i in range(10)] + [page(20, "b.org", ["menu"]), (21, None, "<p>menu</p>"), (22, "https://a.org/22", None), (23, "nonsense", "<p>x"), page(1, "a.org", ["own 1", "twice"])]
-    found = {r.page_id: r for r in line_dedup.line_dedup(clash(spark.createDataFrame(rows, "page_id long, url string, html string"), "lines", "host", "salt")).where("page_id <> 1").collect()}
+    pages = clash(spark.createDataFrame(rows, "page_id long, url string, html string"), "lines", "host", "salt", "marks")
+    found = {r.page_id: r for r in line_dedup.line_dedup(pages).where("page_id <> 1").collect()}
+    # lists of boilerplate that are shuffled instead of broadcast
+    assert sorted(map(str, line_dedup.line_dedup(pages, most_marked=0).collect())) == sorted(map(str, line_dedup.line_dedup(pages).collect()))
     assert found[0].kept == ["own 0", "twice"] and found[5].n_dropped == 1  # the menu is on most pages, "twice" on 3 of 12 only
     assert found[20].kept == ["menu", "menu"] and found[21].kept == ["menu"] and found[22].n_lines == 0 and found[23].kept == ["x"]
     assert table(line_dedup.line_dedup(spark.createDataFrame([], "page_id long, url string, html string"))) == []
@@ -141,6 +144,21 @@ def test_topk(spark):
     assert sorted(table(topk.search(vectors, vectors.where("vec_id % 50 = 0"), query_block=2))) == found
 
 
+def test_topk_stops_early(spark):
+    """A few large components decide: a small part of the lists is read. Where values spread evenly, nearly all of them."""
+    rng = np.random.default_rng(4)
+    skewed = rng.normal(0, 0.05, (4000, 16)) + np.where(rng.random((4000, 16)) < 0.004, 8.0, 0.0)
+    skewed[::400, 3] = 8.0  # each query asks for one component most of all
+    flat = rng.uniform(-0.5, 0.5, (4000, 16))
+    for table_, low, high in ((skewed, 0.0, 0.5), (flat, 0.8, 1.0)):
+        rows = [(i, v.tolist()) for i, v in enumerate(table_)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        asked = vectors.where("vec_id % 400 = 0")
+        share = topk.share_read(vectors, asked).agg(F.avg("share")).first()[0]
+        assert low < share <= high
+        assert sorted(table(topk.search(vectors, asked))) == brute_topk(rows, [r for r in rows if r[0] % 400 == 0], 5)
+
+
 # --- 5
 def words(text):
     return re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
