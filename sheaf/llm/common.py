@@ -210,7 +210,7 @@ def marked(rows: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame,
 
     Where the bound is reached more rows are told to be looked at; which ones really are among ids is for a join to say.
     """
-    n = ids.count()
+    n = ids.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
     size = min(MOST_MARKS, max(LEAST_MARKS, 1 << (8 * n).bit_length()))
     bucket, bits, hit = (fresh(rows, x) for x in ("__bucket", "__bits", "__hit"))
     at = F.pmod(F.xxhash64(F.lit("mark"), *keys), F.lit(size))
