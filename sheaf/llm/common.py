@@ -181,13 +181,13 @@ HEAVY, LEAST_HEAVY = 1 << 16, 10_000
 
 
 def join_by(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """rows joined with per_key(keys, n, ...), one row for each key, which n of the `total` rows have; n is left out.
+    """rows joined with per_key(keys, n, ...), one row for each key, which n of the `total` rows have; n is left out. per_key should be a written table.
 
-    No task gathers a heavy key's rows: they meet their key, one of HEAVY at most, where they are.
+    No task gathers a heavy key's rows: they meet their key, one of HEAVY at most, where they are. Where no key is heavy it is a plain join.
     """
-    if total <= LEAST_HEAVY:
-        return rows.join(per_key.drop(n), keys)
     heavy = F.col(n) > max(LEAST_HEAVY, total // HEAVY)
+    if total <= LEAST_HEAVY or per_key.where(heavy).isEmpty():
+        return rows.join(per_key.drop(n), keys)
     many, few = per_key.where(heavy).drop(n), per_key.where(~heavy).drop(n)
     names = F.broadcast(many.select(*keys))
     return rows.join(F.broadcast(many), keys).unionByName(rows.join(names, keys, "left_anti").join(few, keys))

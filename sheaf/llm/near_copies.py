@@ -136,7 +136,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     """(links (a, b) between nodes(node, digest, n, fp, bands) that connect what all candidate pairs of similarity ALIKE connect, their components if known)."""
     first = cut(checkable(fingerprint_pairs(nodes)))
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     rows = cut(join_by(rows, shared, ["key"], "many", nodes.count() * BANDS))
     wanted = rows.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
     sets = stored(shingle_sets(docs, nodes.select("node", "digest").join(wanted, "node", "left_semi")), "shingles")
