@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.html_md import html_to_markdown
-from sheaf.functions.text import collapse_blank, col, extension, lines_of, replace, sanitise_content, sanitise_path, trim
+from sheaf.functions.text import bind, collapse_blank, col, extension, lines_of, replace, sanitise_content, sanitise_path, trim
 
 GUARD_LENGTH, GUARD_SHARE = 1000, 0.01
 
-# --- MDX
+# --- MDX. The patterns that say what is stripped, here and in the sections below.
 FRONTMATTER = r"\A---[\s\S]*?---\n?"
 IMPORTS = (r"(?md)^import\s+\{[^}]*\}\s+from\s+[^\n]+(?:\n|\z)", r"(?md)^import\s+.*?(?:\n|\z)")
 EXPORTS = (r"(?md)^export\s+default\s+function[^{]*\{[\s\S]*?^\}", r"(?md)^export\s+.*?(?:\n|\z)")
@@ -94,18 +94,35 @@ CSS_LINE, CSS_OPEN = r"\A[.#@][\w-]+[^{]*\{[^}]*\}\s*\z", r"\A[.#@][\w-][^{]*\{\
 
 
 def strip_css(text: Column | str) -> Column:
-    """Text without style rules on lines of their own, but for those in fenced code."""
-    start = F.struct(F.lit(False).alias("fence"), F.lit(False).alias("rule"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        mark = line.startswith("```") | line.startswith("~~~")
-        free = ~mark & ~acc["fence"]
-        opens = free & ~acc["rule"] & line.rlike(CSS_OPEN)
-        drop = free & (acc["rule"] | line.rlike(CSS_LINE) | opens)
-        rule = F.when(mark, F.lit(False)).when(acc["fence"], acc["rule"]).when(acc["rule"], ~line.rlike(r"\A\s*\}")).otherwise(opens & ~line.rlike(CSS_LINE))
-        return F.struct((acc["fence"] != mark).alias("fence"), rule.alias("rule"), F.when(drop, acc["out"]).otherwise(F.array_append(acc["out"], line)).alias("out"))
-
-    return F.aggregate(F.split(col(text), "\n", -1), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    """Text without style rules on lines of their own, but for those in fenced code.
+
+    One fold over the lines that look like something (fences, rule beginnings and ends) finds the dropped ranges; what stands between them stays.
+    """
+    lines = F.split(col(text), "\n", -1)
+    kind = lambda x: F.when(x.startswith("```") | x.startswith("~~~"), "f").when(x.rlike(CSS_LINE), "l").when(x.rlike(CSS_OPEN), "o").when(x.rlike(r"\A\s*\}"), "c")
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"))), lambda m: m["k"].isNotNull())
+    start = F.struct(F.lit(False).alias("fence"), F.lit(-1).alias("rule"), F.array().cast("array<struct<a:int,b:int>>").alias("gone"))
+    one = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+    def step(acc: Column, m: Column) -> Column:
+        fence, open_, i = m["k"] == "f", acc["rule"] >= 0, m["i"]
+        # a fence ends a rule, whose lines up to there are gone; within a rule the first closing brace does
+        ends = open_ & (fence | (~acc["fence"] & (m["k"] == "c")))
+        whole = ~fence & ~acc["fence"] & ~open_ & (m["k"] == "l")
+        rule = F.when(ends, F.lit(-1)).when(~fence & ~acc["fence"] & ~open_ & (m["k"] == "o"), i).otherwise(acc["rule"])
+        gone = F.when(ends, F.array_append(acc["gone"], one(acc["rule"], i - fence.cast("int")))).when(whole, F.array_append(acc["gone"], one(i, i))).otherwise(acc["gone"])
+        return F.struct((acc["fence"] != fence).alias("fence"), rule.alias("rule"), gone.alias("gone"))
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["rule"] >= 0, F.array_append(acc["gone"], one(acc["rule"], F.size(lines)))).otherwise(acc["gone"])
+
+    def kept(x: Column) -> Column:
+        # what stands before, between and behind the dropped ranges
+        begin = lambda k: F.when(k == 0, 0).otherwise(F.get(x["gone"], k - 1)["b"] + 1)
+        end = lambda k: F.coalesce(F.get(x["gone"], k)["a"], F.size(x["lines"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["gone"])), lambda k: F.slice(x["lines"], begin(k) + 1, F.greatest(F.lit(0), end(k) - begin(k)))))
+
+    return F.array_join(bind(F.struct(lines.alias("lines"), F.aggregate(marks, start, step, finish).alias("gone")), kept), "\n")
 
 
 def clean_markdown(text: Column | str, css: bool = True) -> Column:

@@ -16,6 +16,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def replace(text: Column | str, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(col(text), F.lit(pattern), F.lit(by))
 
@@ -39,9 +44,23 @@ def lines_of(text: Column | str) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+#: Rounds of a cleaning step between two looks whether it still changes something.
+STEADY = 3
+
+
 def _until_stable(path: Column, step) -> Column:
-    """Apply step as often as the path has characters: each application that changes it takes one away at least."""
-    return F.aggregate(F.sequence(F.lit(0), F.length(path)), path, lambda p, _: step(p))
+    """Apply step until nothing changes. Nearly all paths are steady after STEADY rounds; only others go through one for each character, which is always enough."""
+
+    def times(p: Column, n: int) -> Column:
+        for _ in range(n):
+            p = step(p)
+        return p
+
+    def last(p: Column) -> Column:
+        more = F.aggregate(F.sequence(F.lit(0), F.length(p["after"])), p["after"], lambda x, _: step(x))
+        return F.when(p["before"] == p["after"], p["after"]).otherwise(more)
+
+    return bind(bind(times(path, STEADY), lambda p: F.struct(p.alias("before"), step(p).alias("after"))), last)
 
 
 def _no_traversal(p: Column) -> Column:
@@ -92,12 +111,23 @@ def encode_component(text: Column | str) -> Column:
     return out
 
 
+def utf16_length(text: Column | str) -> Column:
+    """Length in UTF-16 units: characters beyond U+FFFF count twice."""
+    return F.length(col(text)) + F.length(replace(text, r"[^\x{10000}-\x{10FFFF}]"))
+
+
 def cap_output(text: Column | str, path: Column | str | None = None, most: int = OUTPUT_CAP) -> Column:
-    """At most `most` characters, with a note of how many are missing."""
+    """At most `most` UTF-16 units, none of a pair of them alone, with a note of how many are missing."""
     text = col(text)
     hint = F.lit(" chars; narrow the query or ask for fewer lines]") if path is None else F.concat(F.lit(" chars; read "), col(path), F.lit(" in parts]"))
-    note = F.concat(F.lit("\n\n[truncated "), (F.length(text) - most).cast("string"), hint)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), note))
+    # the longest beginning that fits, found among the first `most` characters; without pairs it is all of them
+    begin = F.substring(text, 1, most)
+    wide = F.length(replace(begin, r"[^\x{10000}-\x{10FFFF}]"))
+    units = F.transform(F.split(begin, ""), lambda c: F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), 2).otherwise(1))
+    fits = F.aggregate(units, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), lambda a, u: F.struct((a["used"] + u).alias("used"), (a["n"] + (a["used"] + u <= most).cast("int")).alias("n")), lambda a: a["n"])
+    kept = F.when(wide == 0, begin).otherwise(F.substring(text, F.lit(1), fits))
+    note = F.concat(F.lit("\n\n[truncated "), (utf16_length(text) - utf16_length(kept)).cast("string"), hint)
+    return F.when(utf16_length(text) <= most, text).otherwise(F.concat(kept, note))
 
 
 def glob_to_regex(pattern: str) -> str:

@@ -52,10 +52,16 @@ def latest_versions(specs: DataFrame) -> DataFrame:
     return specs.withColumn("__n", last).where("__n = 1").drop("__n")
 
 
-def audit_class(plain_bytes: Column, js_bytes: Column, refused: Column) -> Column:
-    """What to do with a scraped source, by what a plain and a rendered fetch yield."""
-    plain_ok, js_ok = ~refused & (plain_bytes >= 500), js_bytes >= 500
-    return F.when(plain_ok & (plain_bytes >= js_bytes * 0.7), "KEEP").when(plain_ok | js_ok, "JS").otherwise("DROP")
+#: Least bytes of a usable page, and the part of the rendered page that a plain fetch has to give.
+USABLE, PLAIN_SHARE = 500, 0.7
+
+
+def audit_class(plain_bytes: Column, js_bytes: Column, refused: Column, skipped: Column | None = None, error: Column | None = None) -> Column:
+    """What to do with a scraped source, by what a plain and a rendered fetch yield. Sources that aren't scraped are skipped; an error is its own class."""
+    plain_ok, js_ok = ~refused & (plain_bytes >= USABLE), js_bytes >= USABLE
+    advice = F.when(plain_ok & (plain_bytes >= js_bytes * PLAIN_SHARE), "KEEP").when(plain_ok | js_ok, "JS").otherwise("DROP")
+    advice = advice if error is None else F.when(error.isNotNull(), "ERROR").otherwise(advice)
+    return advice if skipped is None else F.when(F.coalesce(skipped, F.lit(False)), "SKIP").otherwise(advice)
 
 
 def probe_advice(kind: Column, discovery: Column, llms_full: Column, archive: Column, repo: Column, llms_txt: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,10 +101,14 @@ TITLES = T.StructType([T.StructField("query", T.StructType([T.StructField("allpa
 
 
 def mediawiki(responses: DataFrame, base_url: str) -> DataFrame:
-    """Pages of allpages answers; several answers of one source come one after the other."""
-    titles = F.from_json("body", TITLES)["query"]["allpages"]["title"]
-    found = exploded(responses, titles)
-    return ordered_distinct(found.select("source", F.concat(F.lit(base_url), encode_component(F.replace(F.col("url"), F.lit(" "), F.lit("_")))).alias("url"), "ord"))
+    """Pages of allpages answers. Several answers of one source, numbered by a column `page`, come one after the other."""
+    page = F.col("page") if "page" in responses.columns else F.lit(0)
+    rows = responses.select("source", page.cast("long").alias("page"), F.from_json("body", TITLES)["query"]["allpages"]["title"].alias("titles"))
+    # titles before an answer's own: one row per answer goes through the window
+    before = F.coalesce(F.sum(F.greatest(F.size("titles"), F.lit(0))).over(Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = rows.withColumn("before", before).select("source", "before", F.posexplode("titles").alias("at", "title"))
+    url = F.concat(F.lit(base_url), encode_component(F.replace(F.col("title"), F.lit(" "), F.lit("_"))))
+    return ordered_distinct(found.select("source", url.alias("url"), (F.col("before") + F.col("at")).cast("int").alias("ord")))
 
 
 def llms_txt(responses: DataFrame) -> DataFrame:
@@ -129,7 +133,30 @@ def rss(responses: DataFrame) -> DataFrame:
     return ordered_distinct(exploded(responses, F.filter(links, lambda u: u != "")).select("source", "url", "ord"))
 
 
-DISCOVERY = {"sitemap": sitemap, "toc": toc, "mediawiki": mediawiki, "llms-txt": llms_txt, "llms-index": llms_index, "rss": rss}
+def is_index(body: Column | str = "body") -> Column:
+    """Whether a sitemap's body lists other sitemaps."""
+    return F.contains(F.col(body) if isinstance(body, str) else body, F.lit("<sitemapindex"))
+
+
+def sitemap_pages(responses: DataFrame, children: DataFrame | None = None, url_pattern: str = "") -> DataFrame:
+    """Pages of sitemaps; a body that is an index hands over to its children: (source, url, ord).
+
+    children(url, body) are the fetched child sitemaps, of which only those that child_sitemaps() names count. Their pages follow the children's order.
+    """
+    own = sitemap(responses.where(~is_index()))
+    if children is None:
+        return own
+    wanted = child_sitemaps(responses.where(is_index()), url_pattern)
+    met = children.where("body IS NOT NULL").join(wanted.select("source", "url", F.col("ord").alias("child")), "url")
+    pages = met.select("source", "child", F.posexplode(F.transform(every(LOC), xml_unescape)).alias("at", "url"))
+    # pages of a source in order of child and place: what comes before a child is a sum over one row for each child
+    sizes = pages.groupBy("source", "child").agg((F.max("at") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("source", "child", before.alias("before"))
+    return own.unionByName(ordered_distinct(pages.join(sizes, ["source", "child"]).select("source", "url", (F.col("before") + F.col("at")).cast("int").alias("ord"))))
+
+
+DISCOVERY = {"sitemap": sitemap_pages, "sitemap-index": sitemap_pages, "toc": toc, "mediawiki": mediawiki, "llms-txt": llms_txt, "llms-index": llms_index, "rss": rss}
 
 
 def discover(method: str, responses: DataFrame, **options) -> DataFrame:
@@ -160,9 +187,8 @@ def best_url(urls: DataFrame, base_host: str) -> DataFrame:
 
     50 URLs from a little behind the start are compared; the first of equals wins.
     """
-    from pyspark.sql import Window
-
     path = replace("url", r"\Ahttps?://[^/]+")
+    # fixed values: the words and weights of the score
     parts = F.size(F.filter(F.split(path, "/"), lambda x: x != ""))
     score = parts * 2 - F.when(F.col("url").rlike(r"(?i)\b(404|sitemap|robots|favicon|search|login|signup|home|index)\b"), 20).otherwise(0)
     score = score - F.when(path.isin("", "/"), 50).otherwise(0) - F.when(F.col("url").endswith("/"), 3).otherwise(0)

@@ -22,6 +22,7 @@ SPEC = "info struct<title:string,description:string,version:string>, security ar
 PARAMETER = "struct<name:string,`in`:string,required:boolean,description:string,type:string,schema:string>"
 OPERATION = f"summary string, description string, deprecated boolean, tags array<string>, security array<map<string,array<string>>>, parameters array<{PARAMETER}>, requestBody struct<content:map<string,struct<schema:string>>>, responses map<string,string>"
 RESPONSE = "description string, content map<string,struct<schema:string>>, schema string"
+RESPONSE_FIELDS = "description:string,content:map<string,struct<schema:string>>,schema:string"
 
 
 def inline(node, root, seen=frozenset(), depth=0):
@@ -36,8 +37,10 @@ def inline(node, root, seen=frozenset(), depth=0):
             return {"type": "object", "description": f"[circular: {ref}]"}
         target = root
         for part in ref[2:].split("/"):
+            part = part.replace("~1", "/").replace("~0", "~")
             target = target.get(part) if isinstance(target, dict) else None
-        return inline(target, root, seen | {ref}, depth + 1)
+        # a reference to nothing stays as it is
+        return node if target is None else inline(target, root, seen | {ref}, depth + 1)
     return {k: inline(v, root, seen, depth + 1) for k, v in node.items()}
 
 
@@ -48,11 +51,13 @@ def type_name(schema, depth=0) -> str:
     deeper = lambda x: type_name(x, depth + 1)
     kind = schema.get("type")
     if kind == "array":
-        return deeper(schema.get("items")) + "[]"
+        return deeper(schema["items"]) + "[]" if schema.get("items") else "array"
     if kind == "object" or schema.get("properties"):
         fields, needed = schema.get("properties") or {}, schema.get("required") or []
         shown = [f"{k}{'' if k in needed else '?'}: {deeper(v)}" for k, v in list(fields.items())[:MOST_FIELDS]]
-        return "{ " + ", ".join(shown + ["..."] * (len(fields) > MOST_FIELDS)) + " }" if shown else "object"
+        if "properties" not in schema:
+            return "object"
+        return "{ " + ", ".join(shown + ["..."] * (len(fields) > MOST_FIELDS)) + " }"
     if schema.get("enum"):
         return " | ".join(map(json.dumps, schema["enum"][:MOST_ENUM]))
     for word, sign in (("oneOf", " | "), ("anyOf", " | "), ("allOf", " & ")):
@@ -80,9 +85,10 @@ def spec_json(raw: pd.Series) -> pd.Series:
     return raw.map(read_spec, na_action="ignore").astype("object")
 
 
-@F.pandas_udf(T.StringType())
-def schema_type(schema: pd.Series) -> pd.Series:
-    return schema.map(lambda s: type_name(json.loads(s)), na_action="ignore").astype("object")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def schema_types(schemas: pd.Series) -> pd.Series:
+    """The type names of an array of schemas; null where there is none."""
+    return schemas.map(lambda row: [None if s is None else type_name(json.loads(s)) for s in row], na_action="ignore").astype("object")
 
 
 def json_schema(content: Column) -> Column:
@@ -107,22 +113,33 @@ def operations(specs: DataFrame) -> DataFrame:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """operations() with lines about parameters, body and responses."""
-    key = ["source", "path_at", "method_at", "tag"]
-    p = rows.select(*key, F.posexplode("op.parameters").alias("at", "p"))
-    place = F.array_position(F.array(*map(F.lit, SHOWN_IN)), F.col("p.in"))
-    kind = F.coalesce(schema_type("p.schema"), F.col("p.type"), F.lit("any"))
-    line = F.concat(F.lit("- `"), "p.name", F.lit("` ("), "p.in", F.lit(", "), kind, F.when(F.col("p.required"), ", required").otherwise(""), F.lit(")"), F.when(F.col("p.description") != "", F.concat(F.lit(": "), "p.description")).otherwise(""))
-    shown = p.where(F.col("p.in").isin(*SHOWN_IN)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "at", line.alias("line")))).alias("params"))
-    in_body = p.where("p.in = 'body'").groupBy(*key).agg(F.first(kind).alias("old_body"))
-    r = rows.select(*key, F.posexplode(F.map_entries("op.responses")).alias("at", "r")).select(*key, "at", F.col("r.key").alias("status"), F.from_json("r.value", RESPONSE).alias("v"))
-    kind = schema_type(F.coalesce(json_schema(F.col("v.content")), F.col("v.schema")))
-    line = F.concat(F.lit("- `"), "status", F.lit("`: "), F.coalesce("v.description", F.lit("")), F.coalesce(F.concat(F.lit(" → `"), kind, F.lit("`")), F.lit("")))
-    # codes ascend, other names follow in their order
-    number = F.coalesce(F.when(F.col("status").rlike(r"\A\d+\z"), F.col("status").try_cast("int")), F.lit(1 << 30))
-    answers = r.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(number.alias("number"), "at", line.alias("line")))).alias("answers"))
-    body = rows.select(*key, schema_type(json_schema(F.col("op.requestBody.content"))).alias("body"))
-    return rows.join(body, key).join(shown, key, "left").join(in_body, key, "left").join(answers, key, "left")
+    """operations() with lines about parameters, body and responses, made within the row: one call names all types of an operation."""
+    none = F.array().cast("array<string>")
+    params = F.coalesce("op.parameters", F.array().cast(f"array<{PARAMETER}>"))
+    answers = F.coalesce(F.transform(F.map_entries("op.responses"), lambda r: F.struct(r["key"].alias("status"), F.from_json(r["value"], RESPONSE).alias("v"))), F.array().cast(f"array<struct<status:string,v:struct<{RESPONSE_FIELDS}>>>"))
+    rows = rows.withColumns({"__params": params, "__answers": answers})
+    schemas = F.concat(
+        F.array(json_schema(F.col("op.requestBody.content"))), F.coalesce(F.transform("__params", lambda p: p["schema"]), none),
+        F.coalesce(F.transform("__answers", lambda r: F.coalesce(json_schema(r["v"]["content"]), r["v"]["schema"])), none),
+    )
+    rows = rows.withColumn("__kinds", schema_types(schemas)).withColumn("body", F.col("__kinds")[0])
+    kind_of = lambda p, at: F.coalesce(F.get("__kinds", at + 1), p["type"], F.lit("any"))
+
+    def param(p: Column, at: Column) -> Column:
+        place = F.array_position(F.array(*map(F.lit, SHOWN_IN)), p["in"])
+        line = F.concat(F.lit("- `"), p["name"], F.lit("` ("), p["in"], F.lit(", "), kind_of(p, at), F.when(p["required"], ", required").otherwise(""), F.lit(")"), F.when(p["description"] != "", F.concat(F.lit(": "), p["description"])).otherwise(""))
+        return F.struct(F.when(p["in"].isin(*SHOWN_IN), place).alias("place"), at.alias("at"), line.alias("line"))
+
+    def answer(r: Column, at: Column) -> Column:
+        kind = F.get("__kinds", at + 1 + F.size("__params"))
+        line = F.concat(F.lit("- `"), r["status"], F.lit("`: "), F.coalesce(r["v"]["description"], F.lit("")), F.coalesce(F.concat(F.lit(" → `"), kind, F.lit("`")), F.lit("")))
+        # codes ascend, other names follow in their order
+        number = F.coalesce(F.when(r["status"].rlike(r"\A\d+\z"), r["status"].try_cast("int")), F.lit(1 << 30))
+        return F.struct(number.alias("number"), at.alias("at"), line.alias("line"))
+
+    old_body = F.filter(F.transform("__params", lambda p, at: F.when(p["in"] == "body", kind_of(p, at))), lambda x: x.isNotNull())
+    shown = F.array_sort(F.filter(F.transform("__params", param), lambda x: x["place"].isNotNull()))
+    return rows.withColumns({"params": shown, "old_body": F.get(old_body, F.lit(0)), "answers": F.array_sort(F.transform("__answers", answer))}).drop("__params", "__answers", "__kinds")
 
 
 def lines_of(column: str) -> Column:
@@ -162,3 +179,28 @@ def unread(specs: DataFrame) -> DataFrame:
     """Sources whose specification can't be read or has no paths."""
     ok = F.from_json(spec_json("raw"), SPEC)["paths"].isNotNull()
     return specs.where(~F.coalesce(ok, F.lit(False))).select("source")
+
+
+def of_services(specs: DataFrame, pattern: str | None) -> DataFrame:
+    """specs(service, ...) of the services that the pattern fits; all without a pattern."""
+    return specs if pattern is None else specs.where(F.col("service").rlike(pattern))
+
+
+def converted(specs: DataFrame, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """specs(service, version, path, raw) of several roots -> (files of each service's last version, a row for each service: service, ok, error).
+
+    A service that can't be converted doesn't end the run: only if all fail is the error of the run set in its row (`all failed`).
+    """
+    from sheaf.operators.catalog import latest_versions
+
+    last = latest_versions(of_services(specs, pattern))
+    ok = F.coalesce(F.from_json(spec_json("raw"), SPEC)["paths"].isNotNull(), F.lit(False))
+    state = last.select("service", ok.alias("ok"))
+    some = state.agg(F.coalesce(F.max("ok"), F.lit(False)).alias("__some"))
+    report = state.join(F.broadcast(some), how="cross").select("service", "ok", F.when(~F.col("ok"), F.when(F.col("__some"), "unreadable specification").otherwise("all failed")).alias("error"))
+    return latest(of_services(specs, pattern)), report
+
+
+def services(specs: DataFrame) -> DataFrame:
+    """The number of distinct services and of specifications, one row."""
+    return specs.agg(F.count_distinct("service").alias("n_services"), F.count("*").alias("n_specs"))

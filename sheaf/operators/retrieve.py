@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import basename, glob_to_regex, lines_of
+from sheaf.functions.text import OUTPUT_CAP, basename, cap_output, glob_to_regex, lines_of
 
 
 def matches(text: Column, query: str) -> Column:
@@ -27,7 +27,9 @@ def lines(files: DataFrame) -> DataFrame:
 def search_index(index: DataFrame, query: str, source: str | None = None, most: int = 15) -> DataFrame:
     """Rows of the index that match, in order of path, with the number of all that do."""
     hit = matches(F.concat_ws("\t", "path", "title", "summary"), query) & of_source(F.col("path"), source)
-    return index.where(hit).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0)))).orderBy("path").limit(most)
+    # the total is an ordinary aggregate, one row that meets the few shown ones
+    total = index.where(hit).agg(F.count("*").alias("total"))
+    return index.where(hit).orderBy("path").limit(most).join(F.broadcast(total), how="cross")
 
 
 def search_files(files: DataFrame, query: str, source: str | None = None, most: int = 15) -> DataFrame:
@@ -58,6 +60,33 @@ def grep(files: DataFrame, query: str, context: int = 0, most: int = 500) -> Dat
     return rows.orderBy("path", "ln").limit(most)
 
 
+def submatches(files: DataFrame, query: str) -> DataFrame:
+    """(path, ln, at, begin, end, text): a row for each match within a line, begin and end in characters from 0.
+
+    Matches of a line are numbered from its end, the order in which marks are put in: what is marked later doesn't move what comes before.
+    """
+    hits = lines(files).where(matches(F.col("line"), query))
+    pattern = F.lit(f"(?iu){query}")
+    # what stands between the matches, and the matches, in turn: their lengths add up to the offsets
+    parts = F.split(F.col("line"), f"(?iu){query}", -1)
+    found = F.regexp_extract_all("line", pattern, F.lit(0))
+    rows = hits.select("path", "ln", parts.alias("parts"), F.filter(found, lambda x: x != "").alias("found"))
+    begin = lambda k: F.aggregate(F.slice("parts", F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("found", F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+    rows = rows.select("path", "ln", F.inline(F.transform("found", lambda x, k: F.struct((F.size("found") - k).alias("at"), begin(k).alias("begin"), x.alias("text")))))
+    return rows.select("path", "ln", "at", "begin", (F.col("begin") + F.length("text")).alias("end"), "text")
+
+
+def grep_report(files: DataFrame, query: str, most: int = 500) -> DataFrame:
+    """One row: shown, total, and the text of the first `most` matching lines, with how many of all they are if not all."""
+    total = count_matches(files, query).select(F.col("n_lines").alias("total"))
+    texts = format_matches(grep(files, query, most=most), query)
+    # at most `most` lines
+    shown = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    some = F.least(F.col("total"), F.lit(most))
+    note = F.when(F.col("total") > most, F.concat(F.lit("\n\nshowing "), some.cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" matches"))).otherwise("")
+    return total.join(shown, how="cross").select(some.alias("shown"), "total", F.when(F.col("total") == 0, "no matches").otherwise(F.concat("body", note)).alias("text"))
+
+
 def highlight(line: Column, query: str) -> Column:
     return F.regexp_replace(line, f"(?iu)({query})", "**$1**")
 
@@ -95,6 +124,17 @@ def read(files: DataFrame, path: str, count: int | None = None, offset: int = 1)
     return rows if count is None else rows.where(F.col("ln") < first + count)
 
 
+def read_text(files: DataFrame, path: str, count: int | None = None, offset: int = 1, most: int = OUTPUT_CAP) -> DataFrame:
+    """(path, text): a header with the shown range, numbered lines, cut to `most` UTF-16 units."""
+    first = max(1, int(offset))
+    row = files.where(F.col("path") == path).select("path", lines_of("content").alias("lines"))
+    shown = F.slice("lines", first, count if count is not None else 1 << 30)
+    row = row.select("path", F.size("lines").alias("n"), F.when(F.size("lines") < first, F.array().cast("array<string>")).otherwise(shown).alias("shown"))
+    numbered = F.array_join(F.transform("shown", lambda x, k: F.concat((k + first).cast("string"), F.lit("\t"), x)), "\n")
+    header = F.format_string("%s (lines %d-%d of %d)\n", "path", F.lit(first), F.lit(first - 1) + F.size("shown"), "n")
+    return row.select("path", cap_output(F.concat(header, numbered), F.col("path"), most).alias("text"))
+
+
 def sources(files: DataFrame, query: str | None = None) -> DataFrame:
     """(source, n_files, label), in order of source; query filters the label."""
     out = files.groupBy("source").agg(F.count("*").alias("n_files")).withColumn("label", F.format_string("%s: %d files", "source", "n_files"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,22 +75,53 @@ def summary(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def write_snapshot(files: DataFrame, path: str) -> None:
-    """Replace the partitions of the sources in files; other sources stay."""
+def write_snapshot(files: DataFrame, path: str, sources: list[str] | None = None) -> None:
+    """Replace the partitions of the sources in files; other sources stay. Sources named that have no file any more lose their partition."""
+    spark = files.sparkSession
     files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    if sources:
+        left = {r.source for r in files.where(F.col("source").isin(sources)).select("source").distinct().collect()}
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in system.listStatus(root):
+            if unquote(entry.getPath().getName()).removeprefix("source=") in set(sources) - left:
+                system.delete(entry.getPath(), True)
+
+
+def exists(spark, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def load_snapshot(spark, path: str, schema) -> DataFrame:
     """The snapshot written before; an empty one if there is none."""
-    from pyspark.errors import AnalysisException
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+
+STAMPS = "source string, fetched_at timestamp, etag string, last_modified string, git_sha string, file_count long"
 
 
 def stamp(files: DataFrame, remote: DataFrame, fetched_at: Column) -> DataFrame:
     """The state row of each source after a successful run."""
     counts = files.groupBy("source").agg(F.count("*").alias("file_count"))
     return counts.join(remote, "source", "left").select("source", fetched_at.alias("fetched_at"), "etag", "last_modified", F.col("head_sha").alias("git_sha"), "file_count")
+
+
+def merged_stamps(before: DataFrame, new: DataFrame, report: DataFrame) -> DataFrame:
+    """The stamps after a run: new ones of sources whose report(source, status) says ok, the ones before of all others."""
+    done = new.join(report.where("status = 'ok'").select("source"), "source", "left_semi")
+    return before.join(done.select("source"), "source", "left_anti").unionByName(done)
+
+
+def load_stamps(spark, path: str) -> DataFrame:
+    return load_snapshot(spark, path, STAMPS)
+
+
+def write_stamps(stamps: DataFrame, path: str) -> None:
+    """Write the merged stamps, one row per source, in place of the ones before: beside them first, since they may be read from there."""
+    spark, beside = stamps.sparkSession, f"{path}.new"
+    stamps.write.mode("overwrite").parquet(beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(hadoop(path), True)
+    system.rename(hadoop(beside), hadoop(path))

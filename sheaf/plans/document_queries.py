@@ -62,12 +62,11 @@ def html_to_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.convert_html("html").alias("content"))
 
 
-@query("""SELECT page_id, length(html) > 1000 AND after < length(html) * 0.01 AS refused FROM
- (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN length(html) // 200 ELSE length(html) // 20 END AS after FROM pages)""")
+@query(f"""SELECT page_id, length(html) > 1000 AND length(t) < length(html) * 0.01 AS refused FROM (SELECT page_id, html, {TITLE} AS t FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || repeat('<!-- -->', 600) ELSE html END AS html FROM pages))""")
 def safety_guard(spark, sf_dir):
-    n = F.length("html")
-    after = F.when(F.col("page_id") % 5 == 0, F.floor(n / 200)).otherwise(F.floor(n / 20))
-    return table(spark, sf_dir, "pages").select("page_id", N.guard_refuses(n, after).alias("refused"))
+    """What would be left if a page were reduced to its title, every third page being padded."""
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.repeat(F.lit("<!-- -->"), 600))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", N.guard_refuses(F.length(html), F.length(N.html_title(html))).alias("refused"))
 
 
 @query()
@@ -144,9 +143,9 @@ def sanitise_content(spark, sf_dir):
     return files(spark, sf_dir).select("path", F.md5(X.sanitise_content("content").cast("binary")).alias("digest"))
 
 
-@query(f"SELECT doc_id, {chain(g('lower(substr(text, 1, 60))', '[^a-z0-9]+', chr(39) + '-' + chr(39)), r'\A-|-\z')} AS slug FROM documents")
+@query(f"SELECT doc_id, {chain(g('lower(text)', '[^a-z0-9]+', chr(39) + '-' + chr(39)), r'\A-|-\z')} AS slug FROM documents")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.slugify("text").alias("slug"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 2000) || chr(10) || chr(10) || '[truncated ' || (length(text) - 2000) || ' chars; narrow the query or ask for fewer lines]' END AS out FROM documents")
@@ -186,15 +185,28 @@ def css_outside_fences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.strip_css(F.expr(CSS)).alias("content"))
 
 
+#: Documents of consecutive ids that make one dump, or one list, of a source.
+RUN = 200
+DUMP = f"concat(source, '.', CAST(CAST(floor(doc_id / {RUN}) AS BIGINT) AS STRING))"
+
+
 # --- discovery ----------------------------------------------------------------------------------------------------------------
+LISTED = "SELECT concat(regexp_extract(url, '://([^/]*)', 1), '.', CAST(CAST(floor(page_id / 200) AS BIGINT) AS STRING)) AS source, url, page_id AS ord FROM pages"
+
+
+def listed(spark, sf_dir):
+    """(source, url, ord): the pages, of each host those of 200 consecutive ids together."""
+    return table(spark, sf_dir, "pages").select(F.expr(LISTED[7 : LISTED.index(" AS source")]).alias("source"), "url", F.col("page_id").alias("ord"))
+
+
 def responses(spark, sf_dir, item, head="", tail="", url="https://h.example/list"):
-    """A response per host, whose body lists the host's pages in order of page_id."""
-    rows = urls(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u"))
+    """Responses that list pages of a host in order of page_id."""
+    rows = listed(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u"))
     body = F.concat(F.lit(head), F.array_join(F.transform("u", item), "\n"), F.lit(tail))
     return rows.select("source", F.lit(url).alias("url"), body.alias("body"))
 
 
-FIRST = f"SELECT source, url, CAST(row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS INTEGER) AS ord FROM ({URLS})"
+FIRST = f"SELECT source, url, CAST(row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS INTEGER) AS ord FROM ({LISTED})"
 
 
 @query(f"SELECT source, url, min(ord) AS ord FROM ({FIRST}) GROUP BY source, url")
@@ -224,7 +236,7 @@ def rss_links(spark, sf_dir):
 
 @query(f"WITH f AS ({FIRST}) SELECT source, url, CAST(min(ord) AS INTEGER) AS ord FROM (SELECT source, url, ord FROM f UNION ALL SELECT source, 'https://h.example/rel/' || ord || '.md', ord + count(*) OVER (PARTITION BY source) FROM f) GROUP BY source, url")
 def llms_links(spark, sf_dir):
-    rows = urls(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u"))
+    rows = listed(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u"))
     line = lambda x, i: F.concat(F.lit("- [t]("), x["url"], F.lit("): about\n- [r](/rel/"), i.cast("string"), F.lit(".md)"))
     body = F.concat(F.array_join(F.transform("u", line), "\n"), F.lit("\n[full](https://h.example/llms-full.txt) [self](https://h.example/llms.txt)"))
     found = discover.discover("llms-txt", rows.select("source", F.lit("https://h.example/llms.txt").alias("url"), body.alias("body")))
@@ -232,18 +244,18 @@ def llms_links(spark, sf_dir):
     return found.withColumn("ord", order)
 
 
-@query(f"SELECT source, 'https://' || source || '/' || lower(regexp_extract(url, '/([a-z]+)/', 1)) || '/llms.txt' AS url, CAST(min(ord) AS INTEGER) AS ord FROM ({FIRST}) WHERE regexp_matches(url, '/(en|de)/') GROUP BY ALL")
+@query(f"SELECT source, 'https://' || regexp_extract(url, '://([^/]*)', 1) || '/' || lower(regexp_extract(url, '/([a-z]+)/', 1)) || '/llms.txt' AS url, CAST(min(ord) AS INTEGER) AS ord FROM ({FIRST}) WHERE regexp_matches(url, '/(en|de)/') GROUP BY ALL")
 def llms_index_children(spark, sf_dir):
     child = lambda x: F.concat(F.lit("- https://"), F.regexp_extract(x["url"], "://([^/]*)", 1), F.lit("/"), F.regexp_extract(x["url"], "/([a-z]+)/", 1), F.lit("/llms.txt"))
     found = discover.discover("llms-index", responses(spark, sf_dir, child, url="https://h.example/llms.txt"), url_pattern="(/en/|/de/)")
-    first = urls(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1)
+    first = listed(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1)
     first = first.groupBy("source", F.regexp_extract("url", "/([a-z]+)/", 1).alias("lang")).agg(F.min("k").alias("ord"))
     return found.drop("ord").withColumn("lang", F.regexp_extract("url", "/([a-z]+)/llms", 1)).join(first, ["source", "lang"]).select("source", "url", "ord")
 
 
-@query("SELECT source, 'https://w.example/wiki/' || replace(title, ' ', '_') AS url, CAST(min(ord) AS INTEGER) AS ord FROM (SELECT source, 'Page ' || (doc_id % 7) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM documents) GROUP BY ALL")
+@query("SELECT source, 'https://w.example/wiki/' || replace(title, ' ', '_') AS url, CAST(min(ord) AS INTEGER) AS ord FROM (SELECT source, 'Page ' || (doc_id % 7) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM (SELECT " + DUMP + " AS source, doc_id FROM documents)) GROUP BY ALL")
 def mediawiki_titles(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    rows = table(spark, sf_dir, "documents").withColumn("source", F.expr(DUMP)).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     pages = F.transform("ids", lambda i: F.struct(F.concat(F.lit("Page "), (i % 7).cast("string")).alias("title")))
     body = F.to_json(F.struct(F.struct(pages.alias("allpages")).alias("query")))
     return discover.discover("mediawiki", rows.select("source", F.lit("https://w.example/api").alias("url"), body.alias("body")), base_url="https://w.example/wiki/")
@@ -251,23 +263,33 @@ def mediawiki_titles(spark, sf_dir):
 
 # --- splitters ----------------------------------------------------------------------------------------------------------------
 def bundles(spark, sf_dir, page, sep):
-    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("i"), page.alias("page"))
+    """The dumps of each source: the texts of RUN ids each."""
+    rows = table(spark, sf_dir, "documents").select(F.expr(DUMP).alias("source"), F.col("doc_id").alias("i"), page.alias("page"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "page"))), lambda x: x["page"]), sep)
     return rows.groupBy("source").agg(text.alias("content")).select("source", F.lit("https://h.example/docs").alias("base_url"), "content")
 
 
-@query("""WITH d AS (SELECT source, 'Topic ' || (doc_id % 300) AS title, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, row_number() OVER (PARTITION BY source, doc_id % 300 ORDER BY doc_id) AS again FROM documents)
-SELECT source, 'topic-' || regexp_extract(title, '[0-9]+') || CASE WHEN again > 1 THEN '-' || n ELSE '' END || '.md' AS path, '# ' || title || chr(10) || chr(10) || text AS content FROM d""")
+PAGES = f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, row_number() OVER (PARTITION BY source, title ORDER BY doc_id) AS again
+ FROM (SELECT {DUMP} AS source, doc_id, 'Topic ' || (doc_id % 90) AS title, text FROM documents))
+SELECT source, 'topic-' || regexp_extract(title, '[0-9]+') || CASE WHEN again > 1 THEN '-' || n ELSE '' END || '.md' AS path, """
+
+
+@query(PAGES + "'# ' || title || chr(10) || chr(10) || text AS content FROM d")
 def heading_split(spark, sf_dir):
-    page = F.concat(F.lit("# Topic "), (F.col("doc_id") % 300).cast("string"), F.lit("\n"), "text")
+    page = F.concat(F.lit("# Topic "), (F.col("doc_id") % 90).cast("string"), F.lit("\n"), "text")
     return split.heading_split(bundles(spark, sf_dir, page, "\n"))
 
 
-@query("""WITH d AS (SELECT source, 'Topic ' || (doc_id % 300) AS title, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, row_number() OVER (PARTITION BY source, doc_id % 300 ORDER BY doc_id) AS again FROM documents)
-SELECT source, 'topic-' || regexp_extract(title, '[0-9]+') || CASE WHEN again > 1 THEN '-' || n ELSE '' END || '.md' AS path, text || chr(10) || '---' || chr(10) || 'after a rule' AS content FROM d""")
+def front_page():
+    return F.concat(F.lit('---\ntitle: "Topic '), (F.col("doc_id") % 90).cast("string"), F.lit('"\nkind: x\n---\n'), "text", F.lit("\n---\nafter a rule"))
+
+
+FRONT_SQL = PAGES + "text || chr(10) || '---' || chr(10) || 'after a rule' AS content FROM d"
+
+
+@query(FRONT_SQL)
 def frontmatter_split(spark, sf_dir):
-    page = F.concat(F.lit('---\ntitle: "Topic '), (F.col("doc_id") % 300).cast("string"), F.lit('"\nkind: x\n---\n'), "text", F.lit("\n---\nafter a rule"))
-    return split.frontmatter_split(bundles(spark, sf_dir, page, "\n"))
+    return split.frontmatter_split(bundles(spark, sf_dir, front_page(), "\n"))
 
 
 def meta_page():
@@ -278,7 +300,7 @@ def meta_page():
     )
 
 
-META_SQL = "SELECT source, 'p/' || doc_id || '.md' AS path, '# T ' || doc_id || chr(10) || chr(10) || text AS content FROM documents"
+META_SQL = f"SELECT {DUMP} AS source, 'p/' || doc_id || '.md' AS path, '# T ' || doc_id || chr(10) || chr(10) || text AS content FROM documents"
 
 
 @query(META_SQL)
@@ -286,25 +308,34 @@ def meta_split(spark, sf_dir):
     return split.meta_split(bundles(spark, sf_dir, meta_page(), "\n"))
 
 
-@query(META_SQL)
+@query(f"SELECT * FROM ({META_SQL}) WHERE source LIKE 'src1%' UNION ALL SELECT * FROM ({FRONT_SQL}) WHERE source NOT LIKE 'src1%'")
 def split_detected(spark, sf_dir):
-    return split.split(bundles(spark, sf_dir, meta_page(), "\n"))
+    """Dumps of different layouts: each is split by its own."""
+    page = F.when(F.col("source").startswith("src1"), meta_page()).otherwise(front_page())
+    return split.split(bundles(spark, sf_dir, page, "\n"))
+
+
+@query(f"SELECT source, path, content FROM ({META_SQL}) WHERE regexp_matches(path, '[02468]') AND NOT regexp_matches(path, '7')")
+def llms_full_pages(spark, sf_dir):
+    """Fetched dumps, split and filtered by path."""
+    found = bundles(spark, sf_dir, meta_page(), "\n").select("source", F.col("base_url").alias("url"), F.col("content").alias("body"))
+    return split.llms_full(found, include="[02468]", exclude="7")
 
 
 # --- API specifications -------------------------------------------------------------------------------------------------------
 def specs(spark, sf_dir):
-    """A specification per source, with an operation per document: its language is the tag."""
+    """A specification per source and run of ids, with an operation per document: its language is the tag."""
     item = F.struct(F.struct(
         F.concat(F.lit("Get "), F.col("doc_id").cast("string")).alias("summary"), F.array("lang").alias("tags"),
         F.array(F.struct(F.lit("q").alias("name"), F.lit("query").alias("in"), F.struct(F.lit("string").alias("type")).alias("schema"))).alias("parameters"),
         F.create_map(F.lit("200"), F.struct(F.lit("ok").alias("description"))).alias("responses"),
     ).alias("get"))
     entry = F.struct(F.concat(F.lit("/d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("key"), item.alias("value"))
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("paths"))
+    rows = table(spark, sf_dir, "documents").withColumn("source", F.expr(DUMP)).groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("paths"))
     return rows.select("source", F.to_json(F.struct(F.struct("source", F.col("source").alias("title"), F.lit("1").alias("version")).alias("info"), "paths")).alias("raw"))
 
 
-@query("""WITH d AS (SELECT source, lang, doc_id, '## GET /d/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(10) || chr(10) || 'Get ' || doc_id || chr(10) || chr(10) || 'Parameters:' || chr(10) || '- `q` (query, string)' || chr(10) || chr(10)
+@query(f"""WITH d AS (SELECT {DUMP} AS source, lang, doc_id, '## GET /d/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(10) || chr(10) || 'Get ' || doc_id || chr(10) || chr(10) || 'Parameters:' || chr(10) || '- `q` (query, string)' || chr(10) || chr(10)
   || 'Responses:' || chr(10) || '- `200`: ok' AS block FROM documents),
 t AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first, string_agg(block, chr(10) || chr(10) ORDER BY doc_id) AS blocks FROM d GROUP BY ALL)
 SELECT source, lang || '.md' AS path, '# ' || lang || chr(10) || chr(10) || blocks || chr(10) AS content FROM t

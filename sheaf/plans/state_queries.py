@@ -201,12 +201,12 @@ def shard_expansion(spark, sf_dir):
     return catalog.shards("cloud", names, "https://h.example/")
 
 
-@query("""WITH s AS (SELECT CASE WHEN doc_id % 50 = 0 THEN ' ' ELSE 'n' || (doc_id % 400) END AS name, CASE WHEN doc_id % 30 = 0 THEN '' ELSE 'https://h' END AS url, CASE WHEN doc_id % 20 = 0 THEN 'ftp' ELSE 'http' END AS type FROM documents WHERE doc_id < 450),
+@query("""WITH s AS (SELECT CASE WHEN doc_id % 50 = 0 THEN ' ' ELSE 'n' || (doc_id - doc_id % 7 % 2) END AS name, CASE WHEN doc_id % 30 = 0 THEN '' ELSE 'https://h' END AS url, CASE WHEN doc_id % 20 = 0 THEN 'ftp' ELSE 'http' END AS type FROM documents),
 p AS (SELECT name, array_to_string(list_filter([CASE WHEN trim(name) = '' THEN 'blank name' END, CASE WHEN trim(url) = '' THEN 'blank url' END, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'name is taken' END, CASE WHEN type NOT IN ('git', 'http') THEN 'unknown type' END], lambda x: x IS NOT NULL), ';') AS problems FROM s)
 SELECT name, problems FROM p WHERE problems <> ''""")
 def catalogue_check(spark, sf_dir):
     i = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").where("doc_id < 450").select(F.when(i % 50 == 0, " ").otherwise(F.concat(F.lit("n"), (i % 400).cast("string"))).alias("name"), F.when(i % 30 == 0, "").otherwise("https://h").alias("url"), F.when(i % 20 == 0, "ftp").otherwise("http").alias("type"))
+    rows = table(spark, sf_dir, "documents").select(F.when(i % 50 == 0, " ").otherwise(F.concat(F.lit("n"), (i - i % 7 % 2).cast("string"))).alias("name"), F.when(i % 30 == 0, "").otherwise("https://h").alias("url"), F.when(i % 20 == 0, "ftp").otherwise("http").alias("type"))
     return catalog.invalid_sources(rows).withColumn("problems", F.array_join("problems", ";"))
 
 

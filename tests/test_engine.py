@@ -23,7 +23,7 @@ def duck():
 
 def rows(df: pd.DataFrame):
     df = df[sorted(df.columns)]
-    plain = lambda v: "" if v is None or v is pd.NaT or v != v else repr(round(float(v), 9)) if isinstance(v, (int, float)) else str(v)
+    plain = lambda v: "" if pd.isna(v) else repr(round(float(v), 9)) if isinstance(v, (int, float)) else str(v)
     return sorted(tuple(map(plain, r)) for r in df.astype("object").values.tolist())
 
 
