@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import LEAST_HEAVY, cut, join_by
+from sheaf.llm.common import HEAVY, LEAST_HEAVY, cut, join_by
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,15 +18,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, n = None, edges.count()
     while True:
-        # join_by reads its inputs several times where there is much
-        held = cut if 2 * n > LEAST_HEAVY else lambda df: df
-        # large star: each node links its larger neighbours to the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # a node with very many links is joined where they are; join_by reads its inputs several times, so they are written then
+        hot = 2 * n > LEAST_HEAVY and both.groupBy("a").count().agg(F.max("count")).first()[0] > max(LEAST_HEAVY, 2 * n // HEAVY)
+        held = cut if hot else lambda df: df
+        join = (lambda rows, per, total: join_by(rows, per, ["a"], "n", total)) if hot else (lambda rows, per, total: rows.join(per.drop("n"), "a"))
+        # large star: each node links its larger neighbours to the smallest node around it
         least = held(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        large = held(join_by(both, least, ["a"], "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = held(join(both, least, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: each node links its smaller neighbours and itself to the smallest of them
         least = held(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        moved = join_by(large, least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = join(large, least, n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:

@@ -7,8 +7,7 @@ Two documents are near copies if the sets of their runs of SHINGLE words have a
    1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8).
 Every link is checked on the shingle sets themselves.
 
-Members of a band's group are first checked against one of them, then those of groups that are not connected yet against another one,
-and what is still apart in a group after that in all pairs. So groups of many copies cost rows in proportion to their size, and nothing is capped or dropped.
+Members of a band's group are checked against two of them; only what is still apart in a group after that is checked in all pairs. So groups of many copies cost rows in proportion to their size, and nothing is capped or dropped.
 
 Defined cases: texts without words are copies of each other; texts of fewer than SHINGLE words have one shingle; repeated rows and repeated ids are one
 node; documents with a null id link nothing.
@@ -134,33 +133,28 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(links (a, b) between nodes(node, digest, n, fp, bands) that connect what all candidate pairs of similarity ALIKE connect, their components if known)."""
-    first = cut(checkable(fingerprint_pairs(nodes)))
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    order = [F.struct("node", "n"), F.struct(F.xxhash64("node"), "node", "n")]
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("many"), F.min(order[0]).alias("one"), F.min(order[1]).alias("two")).where("many > 1"))
     rows = cut(join_by(rows, shared, ["key"], "many", nodes.count() * BANDS))
-    wanted = rows.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    lead = [rows.select(F.col(f"{x}.node").alias("a"), F.col(f"{x}.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")) for x in ("one", "two")]
+    pairs = cut(checkable(fingerprint_pairs(nodes).unionByName(lead[0]).unionByName(lead[1])))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(rows.select("node")).distinct()
     sets = stored(shingle_sets(docs, nodes.select("node", "digest").join(wanted, "node", "left_semi")), "shingles")
-    links = cut(alike(first, sets))
-    for k in range(3):
-        # groups with members that aren't connected yet
-        parts = connected_components(links)
-        apart = rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-        open_ = apart.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
-        apart = cut(join_by(apart, cut(open_), ["key"], "many", rows.count()))
-        if apart.isEmpty():
-            return links, parts
-        if k < 2:
-            order = F.struct(F.xxhash64(F.lit(k), "node") if k else F.lit(0), "node", "n", "part")
-            lead = cut(apart.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("many")))
-            pairs = join_by(apart, lead, ["key"], "many", rows.count()).where(F.col("part") != F.col("lead.part")).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        else:
-            least, of = ALIKE
-            one, two = apart.alias("one"), apart.alias("two")
-            size = F.least("one.n", "two.n") * of >= F.greatest("one.n", "two.n") * least
-            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.part") != F.col("two.part")) & size)
-            pairs = pairs.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("two.node").alias("b"), F.col("two.n").alias("nb"))
-        links = cut(links.unionByName(alike(checkable(pairs), sets)))
-    return links, None
+    links = cut(alike(pairs, sets))
+    # groups with members that aren't connected yet
+    parts = connected_components(links)
+    apart = rows.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+    open_ = cut(apart.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many"))
+    if open_.isEmpty():
+        return links, parts
+    apart = cut(join_by(apart, open_, ["key"], "many", rows.count()))
+    least, of = ALIKE
+    one, two = apart.alias("one"), apart.alias("two")
+    size = F.least("one.n", "two.n") * of >= F.greatest("one.n", "two.n") * least
+    left = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.part") != F.col("two.part")) & size)
+    left = checkable(left.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("two.node").alias("b"), F.col("two.n").alias("nb")))
+    return links.unionByName(cut(alike(left.join(pairs, ["a", "b"], "left_anti"), sets))), None
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
