@@ -30,7 +30,7 @@ SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Least similarity, as a fraction of whole numbers.
 ALIKE = (4, 5)
 #: Shingles whose permuted hashes are made at once.
-CHUNK = 4096
+CHUNK = 1024
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
