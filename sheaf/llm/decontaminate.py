@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import ALNUM, cut, read, text_steps
+from sheaf.llm.common import ALNUM, cut, read, releasing, text_steps
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         for p in ids_of:
             by_length[len(p)].append(p)
         tables = spark.sparkContext.broadcast(([WuManber(x) for x in by_length.values()], dict(ids_of)))
-        out = out.mapInArrow(scanner(tables, schema), schema)
+        out = out.mapInArrow(releasing(scanner(tables, schema)), schema)
     return out
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import SEED, cut, join_by, stored, text_steps
+from sheaf.llm.common import SEED, cut, join_by, releasing, stored, text_steps
 from sheaf.llm.components import connected_components
 from sheaf.llm.simhash import near_links as pigeonring_links
 from sheaf.llm.simhash import shingle_digests
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     bands.append(band_keys(own, permuted))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, digest binary, n long, fp long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(scan), "doc_id long, digest binary, n long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(sets, pa.binary())], names=["node", "found", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi")
-    found = rows.mapInArrow(scan, "node long, found binary, shingles binary")
+    found = rows.mapInArrow(releasing(scan), "node long, found binary, shingles binary")
     # an id may come with several texts and repeated rows
     return found.join(nodes.select("node", F.col("digest").alias("found")), ["node", "found"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -110,7 +110,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(releasing(check), "a long, b long")
 
 
 def checkable(pairs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import join_by, marked, parts, read, run_ranges, stored, text_steps, without_long_words
+from sheaf.llm.common import join_by, marked, parts, read, releasing, run_ranges, stored, text_steps, without_long_words
 
 WINDOW, GRAM, ROWS = 50, 8, 2
 #: Cells of a block of the sketch (ROWS rows of them), and the anchors that a block is made for.
@@ -166,7 +166,7 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 columns = [ids[rows[text]], th[rows[text]], (s1 - base).astype(np.int32), (s2 - base).astype(np.int32), anchor.view(np.int64), *(w.digest(s1, s2 + window, k).view(np.int64) for k in (0, 1)), n[at] > 1]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "th", "s1", "s2", "anchor", "r1", "r2", "here"])
 
-    return docs.mapInArrow(scan, "doc_id long, th long, s1 int, s2 int, anchor long, r1 long, r2 long, here boolean")
+    return docs.mapInArrow(releasing(scan), "doc_id long, th long, s1 int, s2 int, anchor long, r1 long, r2 long, here boolean")
 
 
 def sketch(found: DataFrame, blocks: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import ALNUM, crc32_mod, parts, read, text_steps
+from sheaf.llm.common import ALNUM, crc32_mod, parts, read, releasing, text_steps
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_G, PREFIX = 20_000, 4096, 3, 6.0, 5
 FIT_ROUNDS, DECAY, COUNTERFACTUAL = 300, 1e-3, 1.0
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray, float], name: s
             z = np.array([b + sum(sorted(weights[f] for f in features_of(t, has))) for _, texts in text_steps(batch, "text") for t in texts], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(releasing(scan), schema)
 
 
 def held_out(key: str = "doc_id"):
