@@ -220,6 +220,18 @@ def sitemap_index_children(spark, sf_dir):
     return discover.child_sitemaps(responses(spark, sf_dir, lambda x: F.concat(F.lit("<loc>"), F.replace(x["url"], F.lit("&"), F.lit("&amp;")), F.lit("</loc>")), "<sitemapindex>"), "(/en/|/EN/)")
 
 
+@query(f"SELECT source, url, CAST(min(ord) AS INTEGER) AS ord FROM ({FIRST}) GROUP BY source, url")
+def sitemap_index_pages(spark, sf_dir):
+    """An index per source with one child sitemap per 40 pages: the index hands over to its children."""
+    rows = listed(spark, sf_dir).withColumn("child", F.floor(F.col("ord") % 200 / 40).cast("int"))
+    loc = lambda u: F.concat(F.lit("<loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    name = F.concat(F.lit("https://h.example/"), "source", F.lit("/"), "child")
+    children = rows.groupBy("source", "child").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u")).select("source", "child", name.alias("url"), F.array_join(F.transform("u", lambda x: loc(x["url"])), "\n").alias("body"))
+    index = children.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("child", "url"))).alias("c"))
+    index = index.select("source", F.lit("https://h.example/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform("c", lambda x: loc(x["url"])), "\n")).alias("body"))
+    return discover.discover("sitemap-index", index, children=children.select("url", "body"))
+
+
 @query(f"SELECT source, u AS url, min(ord) AS ord FROM (SELECT source, regexp_replace(url, '#.*$', '') AS u, ord FROM ({FIRST})) GROUP BY source, u")
 def toc_links(spark, sf_dir):
     item = lambda x: F.concat(F.lit('<li><A HREF="'), x["url"], F.lit('">t</A><link rel=x href="/style.css"></li>'))

@@ -98,10 +98,24 @@ def match_count(spark, sf_dir):
     return retrieve.count_matches(plain_files(spark, sf_dir), "tion")
 
 
-@query(f"WITH f AS ({PLAIN}), l AS ({LINES}) SELECT path, ln, len(regexp_extract_all(line, '(?i)tion')) AS n FROM l WHERE regexp_matches(line, '(?i)tion')")
+@query(f"""WITH f AS ({PLAIN}), l AS ({LINES}), m AS (SELECT path, ln, string_split_regex(line, '(?i)tion') AS parts, regexp_extract_all(line, '(?i)tion') AS found FROM l WHERE regexp_matches(line, '(?i)tion')),
+k AS (SELECT path, ln, parts, found, unnest(range(1, len(found) + 1)) AS k FROM m)
+SELECT path, ln, CAST(len(found) - k + 1 AS INTEGER) AS at, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 4 * (k - 1) AS INTEGER) AS "begin", CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 4 * k AS INTEGER) AS "end", found[k] AS text FROM k""")
 def submatches(spark, sf_dir):
-    rows = retrieve.lines(plain_files(spark, sf_dir)).where(retrieve.matches(F.col("line"), "tion"))
-    return rows.select("path", "ln", F.regexp_count("line", F.lit("(?iu)tion")).cast("long").alias("n"))
+    return retrieve.submatches(plain_files(spark, sf_dir), "tion")
+
+
+@query(f"""WITH f AS ({PLAIN}), l AS ({LINES}), m AS (SELECT path, ln, line FROM l WHERE regexp_matches(line, '(?i)licen[sc]e')), h AS (SELECT * FROM m ORDER BY path, ln LIMIT 40), n AS (SELECT count(*) AS total FROM m),
+t AS (SELECT path, path || chr(10) || string_agg('  ' || ln || ': ' || regexp_replace(line, '(?i)(licen[sc]e)', '**\\1**', 'g'), chr(10) ORDER BY ln) AS text FROM h GROUP BY path)
+SELECT least(total, 40) AS shown, total, CASE WHEN total = 0 THEN 'no matches' ELSE (SELECT string_agg(text, chr(10) || chr(10) ORDER BY path) FROM t) || CASE WHEN total > 40 THEN chr(10) || chr(10) || 'showing 40 of ' || total || ' matches' ELSE '' END END AS text FROM n""")
+def grep_report(spark, sf_dir):
+    return retrieve.grep_report(plain_files(spark, sf_dir), "licen[sc]e", most=40).withColumn("shown", F.col("shown").cast("long"))
+
+
+@query(f"""WITH f AS ({FILES}), l AS ({LINES}), n AS (SELECT path, max(ln) AS n FROM l WHERE path = 'src0/en/doc-20.md' GROUP BY path)
+SELECT path, path || ' (lines 3-' || least(n, 6) || ' of ' || n || ')' || chr(10) || (SELECT string_agg(ln || chr(9) || line, chr(10) ORDER BY ln) FROM l WHERE l.path = n.path AND ln BETWEEN 3 AND 6) AS text FROM n""")
+def read_text(spark, sf_dir):
+    return retrieve.read_text(files(spark, sf_dir), "src0/en/doc-20.md", 4, 3)
 
 
 @query(f"WITH f AS ({PLAIN}) SELECT path FROM f WHERE regexp_full_match(list_last(string_split(path, '/')), 'doc-[0-9]*7[.]md') AND starts_with(path, 'src7/') ORDER BY path LIMIT 30")

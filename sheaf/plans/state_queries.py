@@ -180,11 +180,11 @@ def latest_version(spark, sf_dir):
     return catalog.latest_versions(table(spark, sf_dir, "documents").select(F.col("source").alias("service"), version.alias("version"), F.concat("source", F.lit("/"), i, F.lit(".json")).alias("path")))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 9 <> 0 AND plain >= 500 AND plain >= js * 0.7 THEN 'KEEP' WHEN page_id % 9 <> 0 AND plain >= 500 OR js >= 500 THEN 'JS' ELSE 'DROP' END AS advice
+@query("""SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'SKIP' WHEN page_id % 7 = 0 THEN 'ERROR' WHEN page_id % 9 <> 0 AND plain >= 500 AND plain >= js * 0.7 THEN 'KEEP' WHEN page_id % 9 <> 0 AND plain >= 500 OR js >= 500 THEN 'JS' ELSE 'DROP' END AS advice
 FROM (SELECT page_id, length(html) // (1 + page_id % 13) AS plain, length(html) // (1 + page_id % 11) AS js FROM pages)""")
 def source_audit(spark, sf_dir):
     n, k = F.length("html"), F.col("page_id")
-    return table(spark, sf_dir, "pages").select("page_id", catalog.audit_class(F.floor(n / (1 + k % 13)), F.floor(n / (1 + k % 11)), k % 9 == 0).alias("advice"))
+    return table(spark, sf_dir, "pages").select("page_id", catalog.audit_class(F.floor(n / (1 + k % 13)), F.floor(n / (1 + k % 11)), k % 9 == 0, k % 8 == 0, F.when(k % 7 == 0, "timed out")).alias("advice"))
 
 
 @query("""SELECT source, CASE WHEN k % 5 = 0 THEN 'GIT' WHEN k % 5 = 1 THEN 'TARBALL' WHEN k % 4 = 0 THEN 'LLMS-FULL' WHEN k % 4 = 1 THEN 'ARCHIVE' WHEN k % 3 = 0 THEN 'GIT' WHEN k % 2 = 0 THEN 'LLMS-TXT' ELSE 'KEEP-AS-IS' END AS advice FROM (""" + STATE + ")")
@@ -216,3 +216,41 @@ def audit_summary(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("client"))
     return summarise(rows)
+
+
+# --- services and stamps
+VERSIONED = "SELECT source AS service, CASE WHEN doc_id % 5 <> 0 THEN '2024-0' || (doc_id % 7 + 1) END AS version FROM documents"
+
+
+def versioned(spark, sf_dir):
+    """Specifications of two roots, put together."""
+    version = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("2024-0"), (F.col("doc_id") % 7 + 1).cast("string")))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("service"), version.alias("version"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 3 == 0, "no spec").otherwise('{"paths": {}}').alias("raw"), "doc_id")
+    return rows.where("doc_id % 2 = 0").unionByName(rows.where("doc_id % 2 = 1")).drop("doc_id")
+
+
+@query(f"SELECT count(DISTINCT service) AS n_services, count(*) AS n_specs FROM ({VERSIONED}) WHERE regexp_matches(service, '[1-5]$')")
+def services_filtered(spark, sf_dir):
+    from sheaf.operators import openapi
+
+    return openapi.services(openapi.of_services(versioned(spark, sf_dir), "[1-5]$"))
+
+
+@query("""WITH s AS (SELECT source AS service, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 5 <> 0 THEN '2024-0' || (doc_id % 7 + 1) END DESC NULLS LAST, source || '/' || doc_id) AS k FROM documents WHERE regexp_matches(source, '[1-5]$'))
+SELECT service, doc_id % 3 <> 0 AS ok, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN (SELECT max(doc_id % 3 <> 0) FROM s WHERE k = 1) THEN 'unreadable specification' ELSE 'all failed' END END AS error FROM s WHERE k = 1""")
+def services_report(spark, sf_dir):
+    from sheaf.operators import openapi
+
+    return openapi.converted(versioned(spark, sf_dir), "[1-5]$")[1]
+
+
+@query(f"""SELECT source, CASE WHEN k % 6 <> 5 AND {FRESH} = 'fetch' THEN n ELSE 1 END AS file_count FROM ({STATE}) WHERE k % 4 <> 3 OR k % 6 <> 5 AND {FRESH} = 'fetch'""")
+def stamps_merged(spark, sf_dir):
+    """Stamps after a run: new ones for what was fetched well, the ones before for what was skipped or failed."""
+    clock = F.timestamp_seconds(F.lit(1_700_000_000))
+    rows = state(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    before = rows.where("k % 4 <> 3").select("source", clock.alias("fetched_at"), none.alias("etag"), none.alias("last_modified"), none.alias("git_sha"), F.lit(1).cast("long").alias("file_count"))
+    remote = rows.select("source", none.alias("etag"), none.alias("last_modified"), none.alias("head_sha"))
+    found = snapshot.merged_stamps(before, snapshot.stamp(plain_files(spark, sf_dir), remote, clock), report(spark, sf_dir))
+    return found.select("source", "file_count")
