@@ -147,7 +147,7 @@ _WHITE = re.compile(rb"[\t-\r ]")
 _LONG = re.compile(rb"[^\t-\r ]{%d,}" % LONG_WORD)
 
 
-def parts(text: bytes, size: int = STEP_BYTES, overlap: int = 0) -> Iterator[tuple[int, bytes]]:
+def parts(text: bytes, size: int = 1 << 19, overlap: int = 0) -> Iterator[tuple[int, bytes]]:
     """A text in parts of about `size` bytes that end where words end: (number of the part's first word, part).
 
     Each part begins with the last `overlap` words of what came before. A single longer word stays whole. A short text is one part, as it is.

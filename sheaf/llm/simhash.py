@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import LOWER, SEED, STEP_BYTES, cut, fresh, join_by, marked, parts, read, stored, text_steps
+from sheaf.llm.common import LOWER, SEED, cut, fresh, join_by, marked, parts, read, stored, text_steps
 from sheaf.llm.components import connected_components
 
 SHINGLE, TAU, M, GROUP = 3, 2, 5, 2048
+#: Bytes of a long text that are hashed at once.
+PART = 1 << 18
 #: First bit of each segment of the ring, and the end.
 CUTS = [round(64 * i / M) for i in range(M + 1)]
 
@@ -34,7 +36,7 @@ CUTS = [round(64 * i / M) for i in range(M + 1)]
 def shingle_digests(text: bytes, shingle: int):
     """Yield the XXH64 digests (big-endian bytes, one after the other) of the word shingles of a text; a shorter text is one shingle. Long texts come in parts."""
     digest, n = xxhash.xxh64_digest, 0
-    for first, part in parts(text.translate(LOWER), STEP_BYTES, shingle - 1):
+    for first, part in parts(text.translate(LOWER), PART, shingle - 1):
         words = part.split()
         n = first + len(words)
         if len(words) < shingle:
