@@ -112,10 +112,10 @@ def grep_report(spark, sf_dir):
     return retrieve.grep_report(plain_files(spark, sf_dir), "licen[sc]e", most=40).withColumn("shown", F.col("shown").cast("long"))
 
 
-@query(f"""WITH f AS ({FILES}), l AS ({LINES}), n AS (SELECT path, max(ln) AS n FROM l WHERE path = 'src0/en/doc-20.md' GROUP BY path)
+@query(f"""WITH f AS ({FILES}), l AS ({LINES}), n AS (SELECT path, max(ln) AS n FROM l WHERE path = 'src0/de/doc-100.md' GROUP BY path)
 SELECT path, path || ' (lines 3-' || least(n, 6) || ' of ' || n || ')' || chr(10) || (SELECT string_agg(ln || chr(9) || line, chr(10) ORDER BY ln) FROM l WHERE l.path = n.path AND ln BETWEEN 3 AND 6) AS text FROM n""")
 def read_text(spark, sf_dir):
-    return retrieve.read_text(files(spark, sf_dir), "src0/en/doc-20.md", 4, 3)
+    return retrieve.read_text(files(spark, sf_dir), "src0/de/doc-100.md", 4, 3)
 
 
 @query(f"WITH f AS ({PLAIN}) SELECT path FROM f WHERE regexp_full_match(list_last(string_split(path, '/')), 'doc-[0-9]*7[.]md') AND starts_with(path, 'src7/') ORDER BY path LIMIT 30")
