@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm import rans
-from sheaf.llm.common import read, shared_path, stored, text_steps
+from sheaf.llm.common import read, releasing, shared_path, stored, text_steps
 
 BLOCK_IDS, CACHE = 1 << 19, 600_000
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
@@ -56,21 +56,39 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+class Recent:
+    """What is known of the keys asked for lately: when half of `most` are new, those not asked for since the last such time go."""
+
+    def __init__(self, most: int):
+        self.now, self.before, self.half = {}, {}, most // 2
+
+    def missing(self, keys: set) -> set:
+        """Those of keys that aren't known; the others are in `now`, where the values of the missing ones belong too."""
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > self.half:
+            self.before, self.now, new = self.now, {}, keys
+        if self.before:
+            find = self.before.get
+            again = {k: v for k in new if (v := find(k)) is not None}
+            self.now.update(again)
+            new = new.difference(again)
+        return new
+
+
 class Pieces:
-    """Words between white space -> their ids, as bytes of the array type `kind`. Full tables are emptied.
+    """Words between white space -> their ids, as bytes of the array type `kind`.
 
     Words that aren't known and have only ASCII and Latin letters are lower-cased and cut into the vocabulary's own pre-tokens, of which few are different;
     the library encodes each one that isn't known, and any other word as it is.
     """
 
     def __init__(self, path: str, kind: str, most: int = CACHE):
-        self.library, self.kind, self.most = library(path), kind, most
+        self.library, self.kind = library(path), kind
         settings = json.load(open(path, encoding="utf-8"))
         self.plain = settings["pre_tokenizer"] == PLAIN_SPLIT and settings["normalizer"] == PLAIN_NORMALIZER
         #: stands for the line breaks between words; no id is so large
         self.mark = array(kind, [(1 << 8 * array(kind).itemsize) - 1]).tobytes()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"\n": self.mark}
+        self.words, self.parts = Recent(most), Recent(most // 2)
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -94,36 +112,30 @@ class Pieces:
         joined = b"\n".join(new).decode()
         if not self.plain or "<|" in joined or UNUSUAL.search(joined):
             odd = [w for w in new if not self.plain or b"<|" in w or UNUSUAL.search(w.decode())]
-            self.words.update(zip(odd, self.by_library([w.decode() for w in odd]), strict=True))
+            self.words.now.update(zip(odd, self.by_library([w.decode() for w in odd]), strict=True))
             new = list(set(new).difference(odd))
             joined = b"\n".join(new).decode()
         if not new:
             return
         pieces = PIECE.findall(joined.lower())
-        different = set(pieces)
-        unknown = list(different.difference(self.parts))
-        if len(self.parts) + len(unknown) > self.most:
-            self.parts = {"\n": self.mark}
-            unknown = list(different.difference(self.parts))
+        unknown = self.parts.missing(set(pieces) - {"\n"})
+        parts = self.parts.now
+        parts["\n"] = self.mark
         digits = [p for p in unknown if p.isdigit()]
-        self.parts.update(zip(digits, self.by_library(digits), strict=True))
-        unknown = [p for p in unknown if p not in self.parts]
-        self.parts.update(zip(unknown, self.by_library_joined(unknown), strict=True))
-        ids = b"".join(map(self.parts.__getitem__, pieces))
+        parts.update(zip(digits, self.by_library(digits), strict=True))
+        unknown = [p for p in unknown if p not in parts]
+        parts.update(zip(unknown, self.by_library_joined(unknown), strict=True))
+        ids = b"".join(map(parts.__getitem__, pieces))
         width = len(self.mark)
         ends = (np.flatnonzero(np.frombuffer(ids, f"u{width}") == (1 << 8 * width) - 1) * width).tolist()
-        self.words.update(zip(new, [ids[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
+        self.words.now.update(zip(new, [ids[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > self.most:
-            self.words.clear()
-            new = words
+        new = self.words.missing(set().union(*split))
         if new:
             self.add(list(new))
-        find = self.words.__getitem__
+        find = self.words.now.__getitem__
         return [b"".join(map(find, x)) + end for x in split]
 
 
@@ -148,7 +160,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> tuple[D
             for i, texts in text_steps(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(coder.encode(texts, end), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, ids binary"), kind, size
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(scan), "doc_id long, ids binary"), kind, size
 
 
 def count_ids(rows: DataFrame, kind: str, size: int) -> np.ndarray:
@@ -208,7 +220,7 @@ def encode_blocks(rows: DataFrame, table: rans.Table, kind: str, block_ids: int
         if held:
             yield block()
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, BLOCK_SCHEMA)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(releasing(scan), BLOCK_SCHEMA)
 
 
 ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64()]
@@ -263,7 +275,7 @@ def read_corpus(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["doc_id", "part", "within", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    rows = blocks.mapInArrow(scan, "doc_id long, part long, within long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = blocks.mapInArrow(releasing(scan), "doc_id long, part long, within long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return rows.join(parts, "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), *names[3:])
 
 
