@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import SEED, cut, join_by, releasing, stored, text_steps
+from sheaf.llm.common import SEED, cut, join_by, marked, releasing, stored, text_steps
 from sheaf.llm.components import connected_components
 from sheaf.llm.simhash import near_links as pigeonring_links
 from sheaf.llm.simhash import shingle_digests
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The shingle sets of nodes(node, digest): (node long, shingles binary)."""
+    """The shingle sets of nodes(node, digest): (node long, shingles binary). Texts are read where they are; only the sets are shuffled, once."""
 
     def scan(batches):
         for batch in batches:
@@ -90,10 +90,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             found = [xxhash.xxh3_128_digest(s, SEED) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(sets, pa.binary())], names=["node", "found", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi")
+    rows, _ = marked(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), nodes.select("node"), ["node"])
     found = rows.mapInArrow(releasing(scan), "node long, found binary, shingles binary")
     # an id may come with several texts and repeated rows
-    return found.join(nodes.select("node", F.col("digest").alias("found")), ["node", "found"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return found.join(nodes, "node").where("found = digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     lead = [rows.select(F.col(f"{x}.node").alias("a"), F.col(f"{x}.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")) for x in ("one", "two")]
     pairs = cut(checkable(fingerprint_pairs(nodes).unionByName(lead[0]).unionByName(lead[1])))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(rows.select("node")).distinct()
-    sets = stored(shingle_sets(docs, nodes.select("node", "digest").join(wanted, "node", "left_semi")), "shingles")
+    sets = stored(shingle_sets(docs, cut(nodes.select("node", "digest").join(wanted, "node", "left_semi"))), "shingles")
     links = cut(alike(pairs, sets))
     # groups with members that aren't connected yet
     parts = connected_components(links)
