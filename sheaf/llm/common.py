@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of rows that Spark hands to a Python worker at once, unless the session says otherwise: Arrow buffers stand beside the heap.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
