@@ -7,7 +7,9 @@ Two documents are near copies if the sets of their runs of SHINGLE words have a
    1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8).
 Every link is checked on the shingle sets themselves.
 
-Members of a band's group are checked against two of them; only what is still apart in a group after that is checked in all pairs. So groups of many copies cost rows in proportion to their size, and nothing is capped or dropped.
+Members of a band's group are checked against two of them, those of groups that are still in several parts against the member that shares most bands with
+others. What is apart after that is compared with the whole group by blocks of bounded size. So groups of many copies cost rows in proportion to their
+size, no pairs are emitted, and nothing is capped or dropped.
 
 Defined cases: texts without words are copies of each other; texts of fewer than SHINGLE words have one shingle; repeated rows and repeated ids are one
 node; documents with a null id link nothing.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ SHINGLE, BANDS, ROWS = 5, 20, 5
 ALIKE = (4, 5)
 #: Shingles whose permuted hashes are made at once.
 CHUNK = 1024
+#: Shingles of a block of members that are compared with another block: 4 MB.
+BLOCK = 1 << 19
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -142,19 +147,73 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(rows.select("node")).distinct()
     sets = stored(shingle_sets(docs, cut(nodes.select("node", "digest").join(wanted, "node", "left_semi"))), "shingles")
     links = cut(alike(pairs, sets))
-    # groups with members that aren't connected yet
     parts = connected_components(links)
-    apart = rows.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    open_ = cut(apart.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many"))
+    apart, open_ = still_apart(rows, parts)
     if open_.isEmpty():
         return links, parts
+    # the member that shares most with others is likely to be what the others were copied from
     apart = cut(join_by(apart, open_, ["key"], "many", rows.count()))
-    least, of = ALIKE
-    one, two = apart.alias("one"), apart.alias("two")
-    size = F.least("one.n", "two.n") * of >= F.greatest("one.n", "two.n") * least
-    left = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.part") != F.col("two.part")) & size)
-    left = checkable(left.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("two.node").alias("b"), F.col("two.n").alias("nb")))
-    return links.unionByName(cut(alike(left.join(pairs, ["a", "b"], "left_anti"), sets))), None
+    weight = apart.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = cut(apart.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "part")).alias("hub"), F.count("*").alias("many")))
+    met = join_by(apart, hubs, ["key"], "many", apart.count()).where("part <> hub.part")
+    met = checkable(met.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
+    links = cut(links.unionByName(alike(met, sets)))
+    parts = connected_components(links)
+    apart, open_ = still_apart(apart, parts)
+    if open_.isEmpty():
+        return links, parts
+    return links.unionByName(cut(block_links(cut(join_by(apart, open_, ["key"], "many", rows.count())), sets))), None
+
+
+def still_apart(rows: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows(key, node, n) with the part of each node, the keys (key, many, size, main) whose members are in several parts; main: the part of most)."""
+    apart = cut(rows.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
+    per = apart.groupBy("key", "part").agg(F.count("*").alias("many"), F.sum(F.col("n") + 1).alias("shingles"))
+    keys = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("many").alias("many"), F.max(F.struct("many", "part")).alias("main"), F.sum("shingles").alias("all"), F.max_by("shingles", F.struct("many", "part")).alias("of_main"))
+    size = [F.col("many").alias("many"), F.col("many").alias("size"), F.col("main.part").alias("main")]
+    blocks = [F.ceil(F.col(x) / BLOCK).cast("long").alias(y) for x, y in (("all", "rights"), ("rest", "lefts"))]
+    return apart, cut(keys.where("parts > 1").withColumn("rest", F.col("all") - F.col("of_main")).select("key", *size, *blocks))
+
+
+def block_links(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all similar pairs within a group of apart(key, node, n, part, main, lefts, rights) connect.
+
+    Members outside of the group's main part are compared with all: blocks of them with blocks of all, each of about BLOCK shingles, so a task
+    holds two blocks. Rows are members times blocks, not pairs, and only links are returned.
+    """
+    deal = lambda blocks: F.pmod(F.xxhash64(F.lit("block"), "node"), F.col(blocks))
+    rest = apart.where("part <> main").select("key", "node", "part", F.lit(True).alias("left"), F.lit(True).alias("rest"), deal("lefts").alias("l"), F.explode(F.expr("sequence(0L, rights - 1)")).alias("r"))
+    every = apart.select("key", "node", "part", F.lit(False).alias("left"), (F.col("part") != F.col("main")).alias("rest"), F.explode(F.expr("sequence(0L, lefts - 1)")).alias("l"), deal("rights").alias("r"))
+    rows = rest.unionByName(every).join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("left")
+        left, right = table.filter(side), table.filter(pc.invert(side))
+        nodes, of_rest, parts = (right.column(x).to_numpy() for x in ("node", "rest", "part"))
+        asking, own_parts, parts = left.column("node").to_pylist(), left.column("part").to_numpy().copy(), parts.copy()
+        found = [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in found], np.int64)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *found])
+        owner = np.repeat(np.arange(len(found)), sizes)
+        least, of = ALIKE
+        links = []
+        for k, raw in enumerate(left.column("shingles").to_pylist()):
+            own = np.frombuffer(raw, np.uint64)
+            both = np.zeros(len(nodes), np.int64)
+            if len(own):
+                hit = own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes
+                both = np.bincount(owner[hit], minlength=len(nodes))
+            near = both * of >= least * (sizes + len(own) - both)
+            # of two members outside of the main part, the larger one asks
+            near &= ~of_rest | (nodes < asking[k])
+            for i in np.flatnonzero(near).tolist():
+                if (here := own_parts[k]) != (there := parts[i]):
+                    links.append((asking[k], int(nodes[i])))
+                    own_parts[own_parts == here] = there
+                    parts[parts == here] = there
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.groupBy("key", "l", "r").applyInArrow(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

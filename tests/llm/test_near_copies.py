@@ -17,9 +17,9 @@ def similarity(a, b):
 
 def brute_firsts(texts):
     """The smallest id of each class that all pairs of similarity 0.8 connect."""
-    part = {i: i for i in texts}
+    part, sets = {i: i for i in texts}, {i: words_set(t) for i, t in texts.items()}
     for a, b in itertools.combinations(texts, 2):
-        if similarity(texts[a], texts[b]) >= 0.8 and part[a] != part[b]:
+        if part[a] != part[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
             lo, hi = sorted((part[a], part[b]))
             part = {i: lo if p == hi else p for i, p in part.items()}
     return {i for i, p in part.items() if i == p}
@@ -65,3 +65,23 @@ def test_groups_without_a_common_centre(spark):
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in found.collect()} == {**dict.fromkeys(chain, 0), 50: 50, 60: 50, 70: 70, 71: 70}
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_groups_by_blocks(spark, monkeypatch):
+    """Copies of texts that are there or not: classes are those of all pairs, whatever the size of a block."""
+    rng = random.Random(7)
+    texts = {}
+    for k in range(6):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+        if k % 2:
+            texts[1000 * k + 500] = base
+        texts |= {1000 * k + j: edited(rng, base, rng.randrange(2, 6)) for j in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    compared = []
+    links = near_copies.block_links
+    monkeypatch.setattr(near_copies, "block_links", lambda apart, sets: compared.append(apart.count()) or links(apart, sets))
+    first = brute_firsts(texts)
+    for block in (1 << 19, 1500):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert {r.component_id for r in near_copies.near_copies(docs).collect()} == first
+    assert len(first) > 6 and len(compared) == 2 and min(compared) > 40
