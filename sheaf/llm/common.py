@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import hashlib
 import re
 import tempfile
 import uuid
@@ -141,24 +140,29 @@ def hash64(name: str, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(name), *columns)
 
 
-#: Words longer than this are hashed through a stand-in where hashing takes memory by the byte.
-LONG_WORD = 1 << 14
 _WHITE = re.compile(rb"[\t-\r ]")
-_LONG = re.compile(rb"[^\t-\r ]{%d,}" % LONG_WORD)
 
 
-def parts(text: bytes, size: int = 1 << 19, overlap: int = 0) -> Iterator[tuple[int, bytes]]:
+def character_end(text: bytes, at: int) -> int:
+    """The first place from `at` on where a UTF-8 character begins, or the end."""
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def parts(text: bytes, size: int = 1 << 19, overlap: int = 0, within: bool = False) -> Iterator[tuple[int, bytes]]:
     """A text in parts of about `size` bytes that end where words end: (number of the part's first word, part).
 
-    Each part begins with the last `overlap` words of what came before. A single longer word stays whole. A short text is one part, as it is.
+    Each part begins with the last `overlap` words of what came before. A single longer word stays whole, or `within` words too
+    parts end after `size` bytes, between characters. A short text is one part, as it is.
     """
     if len(text) <= size:
         yield 0, text
         return
     at, seen, carry = 0, 0, []
     while at < len(text):
-        edge = _WHITE.search(text, at + size) if at + size < len(text) else None
-        end = edge.start() if edge else len(text)
+        edge = _WHITE.search(text, at + size, at + 2 * size if within else len(text)) if at + size < len(text) else None
+        end = edge.start() if edge else character_end(text, at + size) if within else len(text)
         part = text[at:end]
         if overlap:
             words = part.split()
@@ -170,13 +174,6 @@ def parts(text: bytes, size: int = 1 << 19, overlap: int = 0) -> Iterator[tuple[
         at = end
 
 
-def without_long_words(text: bytes) -> bytes:
-    """Each word of LONG_WORD bytes or more as a digest behind a byte that no UTF-8 text has; the number of words stays."""
-    if len(text) < LONG_WORD:
-        return text
-    return _LONG.sub(lambda m: b"\xff" + hashlib.blake2b(m.group(), digest_size=32).hexdigest().encode(), text)
-
-
 def releasing(scan):
     """A function for mapInArrow that, at the end of its batches, gives memory back to the system: workers live on, beside the executor's heap."""
 

@@ -19,6 +19,7 @@ never seen still give a learned language, by the smoothed likelihoods; ties go t
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import crc32_mod, parts, read, releasing, text_steps, without_long_words
+from sheaf.llm.common import character_end, crc32_mod, parts, read, releasing, text_steps
 
 SAMPLE = 20_000
 #: Hash buckets of n-grams for up to NUMBERS / BUCKETS languages; half as many for twice the languages.
@@ -41,6 +42,9 @@ LEAST_SHARE = 0.3
 #: Bytes of a long text that are worked on at once; words in a worker's table, and numbers in it and in what is worked on.
 PART, WORDS, TABLE = 1 << 20, 1 << 17, 1 << 20
 LETTER = regex.compile(r"\p{L}")
+#: Bytes of a piece of a run of letters: longer runs count as several words, at any length of text.
+PIECE = 48
+_RUN = re.compile(rb"[^ ]{%d,}" % (PIECE + 1))
 
 #: Bytes that stand inside words: letters, and the bytes of non-ASCII characters. A-Z are lower-cased; what else there is becomes a word end.
 _WORD = bytearray(32 for _ in range(256))
@@ -52,8 +56,18 @@ _WORD = bytes(_WORD)
 
 
 def words_of(text: bytes) -> Counter:
-    """The different words of a text and how often each comes."""
-    return Counter(without_long_words(text.translate(_WORD)).split())
+    """The different words of a text and how often each comes; of longer runs of letters, as unspaced scripts have them, the pieces."""
+    return Counter(_RUN.sub(pieces, text.translate(_WORD)).split())
+
+
+def pieces(run: re.Match) -> bytes:
+    """A run in pieces of about PIECE bytes, cut between characters."""
+    text, at, out = run.group(), 0, []
+    while at < len(text):
+        end = character_end(text, at + PIECE)
+        out.append(text[at:end])
+        at = end
+    return b" ".join(out)
 
 
 def grams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +108,7 @@ def count_grams(rows: DataFrame, langs: list[str], buckets: int) -> np.ndarray:
                 words: dict[int, Counter] = {}
                 for text, k in zip(texts, lang[i : i + len(texts)], strict=True):
                     own = words.setdefault(k, Counter())
-                    for _, part in parts(text, PART):
+                    for _, part in parts(text, PART, within=True):
                         own.update(words_of(part))
                 for k, own in words.items():
                     if own:
@@ -259,13 +273,13 @@ def infer_some(held: list[tuple[int, Counter]], table: Likelihoods, penalty: flo
 def infer_long(text: bytes, table: Likelihoods, penalty: float) -> np.ndarray:
     """Proportions of one long text. Languages that no part's words need are left out before the likelihoods of all parts are held together."""
     out, needed = np.zeros(table.logs.shape[1]), np.zeros(table.logs.shape[1], bool)
-    for _, part in parts(text, PART):
+    for _, part in parts(text, PART, within=True):
         if words := words_of(part):
             needed |= chosen_sets(table.of(list(words)), np.fromiter(words.values(), np.float64, len(words)), [len(words)], penalty)[0] > 0
     if not needed.any():
         return out
     like, n = [], []
-    for _, part in parts(text, PART):
+    for _, part in parts(text, PART, within=True):
         if words := words_of(part):
             like.append(table.of(list(words))[needed])
             n.append(np.fromiter(words.values(), np.float64, len(words)))
@@ -274,7 +288,7 @@ def infer_long(text: bytes, table: Likelihoods, penalty: float) -> np.ndarray:
 
 
 def has_letter(text: bytes) -> bool:
-    return any(LETTER.search(part.decode("utf-8", "replace")) for _, part in parts(text, PART))
+    return any(LETTER.search(part.decode("utf-8", "replace")) for _, part in parts(text, PART, within=True))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

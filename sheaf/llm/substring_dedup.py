@@ -10,7 +10,7 @@ anchors is an upper bound of the count of each window.
 2. The anchors are counted in a count-min sketch whose blocks of CELLS cells are dealt over the cluster: each partition counts its anchors,
    block by block, and the partial sketches are merged cell by cell. There are as many blocks as anchors call for (ANCHORS for each), so the sketch is as sharp
    at any size. Anchors meet their block where both are shuffled to; nothing is broadcast. Counts are never underestimated.
-   Anchors that one partition has twice needn't be looked up, so a hot anchor is looked up once for each partition at most.
+   Anchors that one step of STEP bytes has twice needn't be looked up.
 3. A second pass keeps only anchors counted twice or more. Equal regions are grouped exactly: in all but the first document the whole region is repeated.
 4. An anchor that occurs in several different regions is looked at window by window, in the first document of each region: that loses no repeated window,
    as its first document is the first one of some region.
@@ -18,8 +18,9 @@ What the sketch lets through wrongly has a count of one and falls away in the ex
 
 Passages that very many documents share are keys with very many rows: these rows meet their key by broadcast (common.join_by), of a proven number of keys.
 Texts are only shuffled for documents that have something to compare or to remove; these are marked in bitmaps of bounded size (a bit
-may be shared, which costs a comparison and changes no result). Digests have 128 bits. Long texts are worked on in parts that overlap by a window:
-a region may be cut between parts, which makes it two regions and changes no result. Words of LONG_WORD bytes are hashed by a digest.
+may be shared, which costs a comparison and changes no result). A word counts by the 128 bits of XXH3 of its bytes, whatever its length; digests of word sequences
+are made of two sums over the halves of these. Long texts are worked on in parts that overlap by a window:
+a region may be cut between parts, which makes it two regions and changes no result.
 
 Defined cases: null texts have no words; texts of fewer than WINDOW words keep all of them; documents with a null id are left as
 they are and count for no other; rows that repeat an id aren't compared with each other, and each is judged by its own text.
@@ -32,10 +33,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import join_by, marked, parts, read, releasing, run_ranges, stored, text_steps, without_long_words
+from sheaf.llm.common import SEED, join_by, marked, parts, read, releasing, run_ranges, stored, text_steps
 
 WINDOW, GRAM, ROWS = 50, 8, 2
 #: Cells of a block of the sketch (ROWS rows of them), and the anchors that a block is made for.
@@ -44,7 +46,7 @@ CELLS, ANCHORS = 1 << 15, 1 << 13
 HELD = 1 << 20
 STEP = 512 << 10
 U = np.uint64
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_STEP = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -74,22 +76,16 @@ class Words:
     """The words of several texts: a hash of each, the text it is in, and the sums that give digests of word sequences."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        white = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.diff(np.concatenate(([True], white, [True])).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = powers(_BASE, sized(len(data)))
-        table = mix(np.arange(1, 257, dtype=U), 0x5EED)
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(table[data] * up[: len(data)], dtype=U)))
-        raw = (sums[ends] - sums[starts]) * down[starts]
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        first = np.cumsum(sizes) - sizes
+        words = [t.split() for t in texts]
+        self.n = np.fromiter(map(len, words), np.int64, len(words))
         #: number of each text's first word, and one past all
-        self.first = np.append(np.searchsorted(starts, first), len(starts))
-        self.n = np.diff(self.first)
+        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.n)))
         self.text = np.repeat(np.arange(len(texts)), self.n)
-        self.hashes = [mix(raw, 1), mix(raw, 2)]
-        self.up, self.down = powers(_STEP, sized(len(raw)))
+        digest = xxhash.xxh3_128_digest
+        raw = np.frombuffer(b"".join([digest(w, SEED) for own in words for w in own]), "<u8").reshape(-1, 2)
+        #: two independent 64-bit hashes of each word's bytes
+        self.hashes = [mix(raw[:, 0], 1), mix(raw[:, 1], 2)]
+        self.up, self.down = powers(_STEP, sized(len(self.text)))
         self.sums = [np.concatenate((np.zeros(1, U), np.cumsum(h * self.up[: len(h)], dtype=U))) for h in self.hashes]
 
     def digest(self, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
@@ -146,9 +142,9 @@ def texts_of(batch: pa.RecordBatch):
     for i, texts in text_steps(batch, batch.schema.names[-1], STEP):
         if len(texts) == 1 and len(texts[0]) > STEP:
             for first, part in parts(texts[0], STEP, WINDOW - 1):
-                yield np.array([i]), np.array([first]), [without_long_words(part)]
+                yield np.array([i]), np.array([first]), [part]
         else:
-            yield np.arange(i, i + len(texts)), np.zeros(len(texts), np.int64), [without_long_words(t) for t in texts]
+            yield np.arange(i, i + len(texts)), np.zeros(len(texts), np.int64), texts
 
 
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:

@@ -109,3 +109,27 @@ def test_swapped_scores_need_the_penalty(spark):
         return abs(score(b"a muslim neighbour") - score(b"a christian neighbour"))
 
     assert gap(10.0) < 0.1 < 0.5 < gap(0.0)
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    rng = random.Random(8)
+    tail = " ".join(f"t{i}" for i in range(49))
+    pairs = [("".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))) for n in (1024, 2048, 4096)]
+    pairs += [tuple("".join(rng.choice("ab") for _ in range(1500)) for _ in range(2)) for _ in range(3)]
+    rows = [(2 * k + j, f"{word} {tail.replace('t', f'p{k}x')}") for k, pair in enumerate(pairs) for j, word in enumerate(pair)]
+    rows += [(100, rows[0][1])]  # a real repeat
+    found = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 50 * (i == 100) for i, _ in rows}
+
+
+def test_unspaced_texts_are_read_alike_at_every_length(spark):
+    rng = random.Random(9)
+    signs = {"zh": [chr(0x4E00 + i) for i in range(300)], "ja": [chr(0x3041 + i) for i in range(80)], "en": None}
+    write = lambda lang, n: "".join(rng.choice(signs[lang]) for _ in range(n)) if signs[lang] else " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(n // 6))
+    train = [(i, write(lang, n), lang) for i, (lang, n) in enumerate((lang, n) for lang in signs for n in (300, 3000, 40_000))]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    asked = [(i, lang, write(lang, n)) for i, (lang, n) in enumerate((lang, n) for lang in signs for n in (50, 5400, 5500, 20_000, 1_000_000))]
+    found = {r.doc_id: (r.p, r.s) for r in langid.identify(spark.createDataFrame([(i, t) for i, _, t in asked], "doc_id long, text string"), model, ("p", "s")).collect()}
+    assert all(found[i][0] == lang and found[i][1] > 0.9 for i, lang, _ in asked)
+    long = (write("zh", 2_000_000)).encode()
+    assert max(len(p) for _, p in common.parts(long, langid.PART, within=True)) <= langid.PART + 3 and b"".join(p for _, p in common.parts(long, langid.PART, within=True)) == long
