@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity
+from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity, whitening
 from sheaf.llm.common import bounded_batches
 
 def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op8_simhash_near_dedup,
         mixing.op9_mixing,
         langid.op10_language_id,
+        whitening.op11_embedding_whitening,
     )
 }
 
