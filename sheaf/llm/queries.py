@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity, whitening
+from sheaf.llm import conversations, decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity, whitening
 from sheaf.llm.common import bounded_batches
 
 def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op9_mixing,
         langid.op10_language_id,
         whitening.op11_embedding_whitening,
+        conversations.op12_conversation_repair,
     )
 }
 
@@ -43,4 +44,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": topk.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op12_conversation_repair": conversations.SQL,
 }

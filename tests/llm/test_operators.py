@@ -35,7 +35,7 @@ def clash(df, *names):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF).toPandas()
     expected = con.execute(ORACLE_SQL[name]).df()[list(found.columns)]
