@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import conversations, decontaminate, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity, whitening
+from sheaf.llm import conversations, decontaminate, forest, langid, line_dedup, mixing, simhash, substring_dedup, token_count, token_store, topk, toxicity, whitening
 from sheaf.llm.common import bounded_batches
 
 def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         langid.op10_language_id,
         whitening.op11_embedding_whitening,
         conversations.op12_conversation_repair,
+        forest.op13_minhash_near_dedup,
     )
 }
 
@@ -45,4 +46,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op12_conversation_repair": conversations.SQL,
+    "op13_minhash_near_dedup": forest.SQL,
 }
