@@ -285,7 +285,7 @@ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {SHINGLE - 1}
 n AS (SELECT d.doc_id, count(h) AS n FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
 l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
-r AS (SELECT doc_id, doc_id AS at FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.at = l.a),
-m AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+r AS (SELECT doc_id, doc_id AS z FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.z = l.a),
+m AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, n.n AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m JOIN n ON m.doc_id = n.doc_id
 """
