@@ -144,3 +144,19 @@ def basename(path: Column | str) -> Column:
 def extension(path: Column | str) -> Column:
     """What stands behind the path's last dot; all of it if there is none."""
     return F.element_at(F.split(col(path), r"\."), -1)
+
+
+#: Values that a running total adds up one by one; totals of so many are added up on the way.
+RUN = 256
+
+
+def run_bases(values: Column) -> Column:
+    """What an array of numbers adds up to before each run of RUN of them, and after the last."""
+    sums = F.transform(F.sequence(F.lit(0), F.size(values), F.lit(RUN)), lambda k: F.aggregate(F.slice(values, k + 1, F.lit(RUN)), F.lit(0).cast("long"), lambda a, x: a + x))
+    return F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def running_total(values: Column, bases: Column, k: Column) -> Column:
+    """The sum of the first k values (k an int column); `bases` are run_bases(values), each a column of its own."""
+    run = (k / RUN).cast("int")
+    return F.get(bases, run) + F.aggregate(F.slice(values, run * RUN + 1, k - run * RUN), F.lit(0).cast("long"), lambda a, x: a + x)

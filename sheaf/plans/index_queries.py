@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import index, retrieve
+from sheaf.operators import index, retrieve, trigram
 from sheaf.plans.corpus import FILES, files, plain_files, table
+from sheaf.sources.workspace import shared_path
 
 QUERIES, SQL = {}, {}
 
@@ -160,3 +161,44 @@ def grep_conversations(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct().groupBy(F.col("conv_id").alias("path"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
     return retrieve.grep(rows.agg(text.alias("content")), "tiona?n", most=300)
+
+
+def stored(spark, sf_dir):
+    """The plain files in a text store with its trigram index."""
+    return trigram.write_store(plain_files(spark, sf_dir), shared_path(spark, "store"))
+
+
+@query(f"""WITH f AS ({PLAIN}), l AS ({LINES}), h AS (SELECT path, ln, line FROM l WHERE regexp_matches(line, '(?i)é[a-z]+que|public (license|domain)|[0-9]{{3}}-[0-9]{{4}}|wh[oa]tionwh')) SELECT path, ln, line, true AS hit FROM h ORDER BY path, ln LIMIT 500""")
+def grep_indexed(spark, sf_dir):
+    """A search that has to scan (one way needs no trigram)."""
+    pattern = "é[a-z]+que|public (license|domain)|[0-9]{3}-[0-9]{4}|wh[oa]tionwh"
+    return retrieve.grep(stored(spark, sf_dir).matching(pattern), pattern)
+
+
+@query(f"""WITH f AS ({PLAIN}), l AS ({LINES}) SELECT path, ln, line, true AS hit FROM l WHERE regexp_matches(line, '(?i)licen[sc]ed? .*apache|(mit|bsd) licen[sc]e') ORDER BY path, ln LIMIT 500""")
+def grep_postings(spark, sf_dir):
+    """A search by the trigram index alone."""
+    pattern = "licen[sc]ed? .*apache|(mit|bsd) licen[sc]e"
+    return retrieve.grep(stored(spark, sf_dir).matching(pattern), pattern)
+
+
+@query(f"""WITH f AS ({PLAIN}), r AS (SELECT path, CASE WHEN contains(lower(list_last(string_split(path, '/'))), 'mit license') THEN 0 WHEN regexp_matches(content, '(?i)mit license') THEN 1 END AS rank FROM f)
+SELECT path, CAST(rank AS INTEGER) AS rank FROM r WHERE rank IS NOT NULL ORDER BY rank, path LIMIT 15""")
+def search_indexed(spark, sf_dir):
+    store = stored(spark, sf_dir)
+    return retrieve.search_files(store.texts(), "mit license", within=store.matching("mit license"))
+
+
+@query(f"""WITH f AS ({PLAIN}), l AS ({LINES}), m AS (SELECT path, ln, line, count(*) OVER () AS total FROM l WHERE regexp_matches(line, '(?i)licen[sc]e')), h AS (SELECT *, lag(path) OVER (ORDER BY path, ln) AS before FROM (SELECT * FROM m ORDER BY path, ln LIMIT 40)),
+t AS (SELECT string_agg(CASE WHEN before IS NULL THEN path || chr(10) WHEN before <> path THEN chr(10) || path || chr(10) ELSE '' END || '  ' || ln || ': ' || regexp_replace(line, '(?i)(licen[sc]e)', '**\\1**', 'g'), chr(10) ORDER BY path, ln) AS body, count(*) AS n, max(total) AS total FROM h)
+SELECT CASE WHEN n = 0 THEN '[no matches for "licen[sc]e" in /docs/]' ELSE n || CASE WHEN total > n THEN ' (showing ' || n || ' of ' || total || ')' ELSE '' END || ' matches' || chr(10) || chr(10) || body END AS text FROM t""")
+def grep_text(spark, sf_dir):
+    return retrieve.grep_text(plain_files(spark, sf_dir), "licen[sc]e", "/docs/", most=40, cap=1 << 30)
+
+
+@query(f"""WITH f AS ({FILES}), l AS ({LINES}), w AS (SELECT * FROM f WHERE path = 'src0/de/doc-100.md'), b AS (SELECT path, string_agg(lpad(CAST(ln AS VARCHAR), 4, ' ') || ' ' || line, chr(10) ORDER BY ln) AS t FROM l WHERE path IN (SELECT path FROM w) GROUP BY path)
+SELECT path, '[file] ' || (length(content) - length(replace(content, chr(10), ''))) || ' lines, ' || strlen(content) || ' bytes' || chr(10) || chr(10) || coalesce(t, '') AS text FROM w LEFT JOIN b USING (path)
+UNION ALL SELECT path, string_agg(line, chr(10) ORDER BY ln) AS text FROM l WHERE path = 'src1/en/doc-1.md' AND ln BETWEEN 2 AND 5 GROUP BY path""")
+def read_file(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    return retrieve.read_file(rows, "src0/de/doc-100.md", most=1 << 30).unionByName(retrieve.read_file(rows, "src1/en/doc-1.md", 4, 2, most=1 << 30))
