@@ -16,7 +16,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ever gathered, and the many links of one node are joined where they are (join_by), so it costs rows, not memory.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, n = None, edges.count()
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(edges)
+    n = before[0]
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # a node with very many links is joined where they are; join_by reads its inputs several times, so they are written then
@@ -30,7 +32,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = held(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         moved = join(large, least, n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = state(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before, n = after, after[0]
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) of parts(node, component) and further links (a, b)."""
+    links = cut(links)
+    return parts if links.isEmpty() else connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))

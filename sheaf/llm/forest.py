@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import SEED, cut, join_by, marked, read, releasing, stored, text_steps
-from sheaf.llm.components import connected_components
+from sheaf.llm.components import connected_components, joined
 from sheaf.llm.near_copies import ALIKE, alike, block_links, checkable, shingle_set, still_apart
 
 SHINGLE, TREES, DEPTH, LABEL = 4, 20, 4, 8
 #: Shingles whose permuted hashes are made at once; nodes of a shingle whose pairs are looked at in one go; cells of the table of rarity.
-CHUNK, GROUP, CELLS = 1024, 256, 1 << 20
+CHUNK, GROUP, CELLS = 1024, 256, 1 << 18
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def rarity(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    found = sets.select("shingles").mapInArrow(releasing(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    found = sets.select("shingles").mapInArrow(releasing(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     out = np.zeros(CELLS, np.int64)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -224,31 +224,28 @@ def exact_links(nodes: DataFrame, sets: DataFrame, parts: DataFrame, group: int
     heavy = per.where(F.col("many") > group)
     if heavy.isEmpty():
         return links
-    parts = connected_components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    parts = joined(parts, links)
     held = cut(join_by(rows.select("shingle", "node", "n"), heavy, ["shingle"], "many", rows.count()).withColumnRenamed("shingle", "key"))
     apart, open_ = still_apart(held, parts)
     return links.unionByName(cut(block_links(cut(join_by(apart, open_, ["key"], "many", held.count())), own.select("node", "shingles"))))
 
 
-def forest_links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) between nodes(node, doc_id, digest, n, regions, labels) that connect what all pairs that are alike connect."""
+def forest_parts(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """The components (node, component) of nodes(node, doc_id, digest, n, regions, labels) that all pairs that are alike make; nodes without a link may be missing."""
     pairs = stored(neighbours(nodes), "neighbours")
-    close = checkable(pairs)
     wanted = cut(nodes.select("node", "doc_id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     sets = stored(shingle_sets(docs, wanted, shingle), "sets")
-    links = cut(alike(checkable(best(pairs)), sets))
-    parts = connected_components(links)
+    parts = connected_components(alike(checkable(best(pairs)), sets))
     # the neighbours that aren't connected by these
-    rest = with_parts(close, parts).where("pa <> pb").select("a", "b")
-    links = cut(links.unionByName(alike(rest, sets)))
-    parts = connected_components(links)
+    rest = with_parts(checkable(pairs), parts).where("pa <> pb").select("a", "b")
+    parts = joined(parts, alike(rest, sets))
     apart = with_parts(pairs, parts).where("pa <> pb").select("region").distinct()
     counts = pairs.groupBy("region").agg(F.count("*").alias("many")).where("many > 1")
     open_ = cut(counts.join(apart, "region"))
     if open_.isEmpty():
-        return links
+        return parts
     several = join_by(pairs, open_, ["region"], "many", pairs.count())
-    return links.unionByName(exact_links(cut(several.select(F.explode(F.array("a", "b")).alias("node")).distinct()), sets, parts))
+    return joined(parts, exact_links(cut(several.select(F.explode(F.array("a", "b")).alias("node")).distinct()), sets, parts))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -257,12 +254,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     named = known.where("doc_id IS NOT NULL")
     nodes = named.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "regions", "labels")))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = forest_links(docs, nodes, shingle)
     # an id that comes with several sets joins them
     several = named.where("n > 0").select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1")
     again = named.select("doc_id", "digest").distinct().join(several, "doc_id").join(nodes.select("digest", "node"), "digest")
     again = again.join(again.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
-    parts = connected_components(links.unionByName(again))
+    parts = joined(forest_parts(docs, nodes, shingle), again)
     of = nodes.join(parts, "node", "left").select("digest", "copies", "doc_id", F.coalesce("component", "node").alias("part"))
     first = of.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many"))
     classes = stored(join_by(of, stored(first, "firsts"), ["part"], "many", nodes.count()).select("digest", "copies", "component_id"), "classes")
