@@ -37,15 +37,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all machines share. Where none is set: the warehouse; for a local master a temporary folder."""
+    """The folder named by spark.checkpoint.dir, which all machines share. Where none is set: a temporary folder for a local master, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
-    if not found and sc.master.startswith("local"):
+    if not found and re.match(r"local(\[|$)", sc.master):
         found = "file://" + tempfile.mkdtemp(prefix="sheaf-checkpoint-")
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sheaf-checkpoint"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
@@ -70,16 +70,25 @@ def clean(spark: SparkSession) -> int:
     return len(paths)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from the written copy; its lineage ends there."""
+#: Rows, about, for which a written copy gets a file.
+FILE_ROWS = 1 << 13
+
+
+def in_files(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in a file for each FILE_ROWS of its `rows`, if it would have more: many small files cost more than they hold."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and go on from the written copy; its lineage ends there. `rows`: about how many there are at most, if known."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return in_files(df, rows).checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Like cut, as compressed Parquet: columns can be pruned and the copy is small."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    in_files(df, rows).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

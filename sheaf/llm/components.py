@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # a node with very many links is joined where they are; join_by reads its inputs several times, so they are written then
         hot = 2 * n > LEAST_HEAVY and both.groupBy("a").count().agg(F.max("count")).first()[0] > max(LEAST_HEAVY, 2 * n // HEAVY)
-        held = cut if hot else lambda df: df
+        held = (lambda df: cut(df, 2 * n)) if hot else lambda df: df  # noqa: B023
         join = (lambda rows, per, total: join_by(rows, per, ["a"], "n", total)) if hot else (lambda rows, per, total: rows.join(per.drop("n"), "a"))
         # large star: each node links its larger neighbours to the smallest node around it
         least = held(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: each node links its smaller neighbours and itself to the smallest of them
         least = held(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         moved = join(large, least, n).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        edges = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), 2 * n)
         after = state(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -1,6 +1,6 @@
 """MinHash near-duplicate detection with an LSH forest.
 
-A document is the set of its runs of SHINGLE words; documents are linked if their sets have a Jaccard similarity of near_copies.ALIKE (0.8) at least.
+A document is the set of its runs of SHINGLE words; documents are linked if their sets have a Jaccard similarity of similar_sets.ALIKE (0.8) at least.
 Equal sets are one node. A node's signature has TREES * DEPTH minima of permuted shingle hashes. Tree t orders all nodes by the signature as it
 reads from its t-th run of DEPTH minima on: a region is what agrees in those first DEPTH minima (a pair of similarity 0.8 shares one with a
 probability of 1 - (1 - 0.8^DEPTH)^TREES = 0.99997), and within it LABEL more minima, a byte of each, go on with the order. So every order is one sort by
@@ -12,7 +12,7 @@ ranges over the cluster, however many nodes agree, and near sets stand side by s
    may hide a pair: its nodes are compared once more, exactly. Two similar sets share one of their rarest shingles (the prefix filter: a fifth of the larger
    set, a ninth of the smaller one, less what the places of the shared shingle rule out), rarity being counted over these nodes in
    a table of fixed size. Texts that share most of a template and differ in the rest have only their own shingles there and never meet.
-   Shingles that more than GROUP nodes hold there have their nodes compared by blocks (near_copies.block_links), unless they are connected already.
+   Shingles that many nodes hold there have their nodes compared by blocks (similar_sets.block_links), unless they are connected already.
 3. Every link is checked on the full shingle sets. Links connect what all pairs would; no group is expanded into pairs, capped or sampled.
 
 Defined cases: texts without words (null ones too) have an empty set and are linked with nothing; texts of fewer than SHINGLE words have one shingle. Rows that
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import SEED, cut, join_by, marked, read, releasing, stored, text_steps
 from sheaf.llm.components import connected_components, joined
-from sheaf.llm.near_copies import ALIKE, alike, block_links, checkable, shingle_set, still_apart
+from sheaf.llm.near_copies import shingle_set
+from sheaf.llm.similar_sets import alike, checkable, exact_links
 
 SHINGLE, TREES, DEPTH, LABEL = 4, 20, 4, 8
-#: Shingles whose permuted hashes are made at once; nodes of a shingle whose pairs are looked at in one go; cells of the table of rarity.
-CHUNK, GROUP, CELLS = 1024, 256, 1 << 18
+#: Shingles whose permuted hashes are made at once.
+CHUNK = 1024
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -148,104 +149,23 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur in sets(shingles), by CELLS cells: any order of cells is one that the prefix filter may use."""
-
-    def count(batches):
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(raw, np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    found = sets.select("shingles").mapInArrow(releasing(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
-    out = np.zeros(CELLS, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
-def least_overlap(nx: int, ny: int) -> int:
-    """Shingles that two sets of these sizes share at least if they are alike."""
-    least, of = ALIKE
-    return -(-(nx + ny) * least // (least + of))
-
-
-def rare_shingles(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """sets(node, part, shingles) -> shingle, node, part, n, place, small: the rarest shingles of each set; small: also looked up as the smaller of two sets."""
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
-    least, of = ALIKE
-
-    def scan(batches):
-        counts = shared.value
-        for batch in batches:
-            out = []
-            for node, part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(raw, np.uint64)
-                n = len(own)
-                if not n:
-                    continue
-                order = np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))[: n - -(-n * least // of) + 1]
-                place = np.arange(len(order), dtype=np.int64)
-                out.append((own[order].view(np.int64), np.full(len(order), node), np.full(len(order), part), np.full(len(order), n), place, place <= n - least_overlap(n, n)))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "part", "n", "place", "small"])
-
-    return sets.select("node", "part", "shingles").mapInArrow(releasing(scan), "shingle long, node long, part long, n long, place long, small boolean")
-
-
-def meeting(batches):
-    """members of a shingle -> the pairs of different parts that sizes and places allow to be alike."""
-    least, of = ALIKE
-    for batch in batches:
-        out = {c: [] for c in ("a", "na", "b", "nb")}
-        for members in batch.column(0):
-            node, part, n, place, small = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "part", "n", "place", "small"))
-            for i in np.flatnonzero(small):
-                larger = (n > n[i]) | (n == n[i]) & (node > node[i])
-                need = -(-(n + n[i]) * least // (least + of))
-                ok = larger & (part != part[i]) & (n * least <= n[i] * of) & (np.minimum(n - place, n[i] - place[i]) >= need)
-                k = int(ok.sum())
-                for c, v in (("a", node[ok]), ("na", n[ok]), ("b", np.full(k, node[i])), ("nb", np.full(k, n[i]))):
-                    out[c].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in out.values()], names=list(out))
-
-
-def exact_links(nodes: DataFrame, sets: DataFrame, parts: DataFrame, group: int = GROUP) -> DataFrame:
-    """Links (a, b) that, with what the parts(node, component) connect, connect all pairs among nodes(node) that are alike. sets(node, shingles) has all of them."""
-    own = stored(sets.join(nodes, "node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "shingles"), "open")
-    rows = stored(rare_shingles(own, rarity(own)), "rare")
-    per = rows.groupBy("shingle").agg(F.count("*").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("small").alias("small"))
-    per = stored(per.where("lo < hi AND small").select("shingle", "many"), "meet")
-    few = rows.join(per.where(F.col("many") <= group).select("shingle"), "shingle")
-    few = few.groupBy(F.concat_ws(" ", "shingle").alias("one")).agg(F.collect_list(F.struct("node", "part", "n", "place", "small")).alias("members"))
-    pairs = few.select("members").mapInArrow(releasing(meeting), "a long, na long, b long, nb long")
-    links = cut(alike(checkable(pairs), own.select("node", "shingles")))
-    heavy = per.where(F.col("many") > group)
-    if heavy.isEmpty():
-        return links
-    parts = joined(parts, links)
-    held = cut(join_by(rows.select("shingle", "node", "n"), heavy, ["shingle"], "many", rows.count()).withColumnRenamed("shingle", "key"))
-    apart, open_ = still_apart(held, parts)
-    return links.unionByName(cut(block_links(cut(join_by(apart, open_, ["key"], "many", held.count())), own.select("node", "shingles"))))
-
-
 def forest_parts(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """The components (node, component) of nodes(node, doc_id, digest, n, regions, labels) that all pairs that are alike make; nodes without a link may be missing."""
-    pairs = stored(neighbours(nodes), "neighbours")
-    wanted = cut(nodes.select("node", "doc_id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    sets = stored(shingle_sets(docs, wanted, shingle), "sets")
+    n = nodes.count()
+    pairs = stored(neighbours(nodes), "neighbours", TREES * n)
+    wanted = cut(nodes.select("node", "doc_id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), n)
+    sets = stored(shingle_sets(docs, wanted, shingle), "sets", 10 * n)
     parts = connected_components(alike(checkable(best(pairs)), sets))
     # the neighbours that aren't connected by these
     rest = with_parts(checkable(pairs), parts).where("pa <> pb").select("a", "b")
     parts = joined(parts, alike(rest, sets))
     apart = with_parts(pairs, parts).where("pa <> pb").select("region").distinct()
     counts = pairs.groupBy("region").agg(F.count("*").alias("many")).where("many > 1")
-    open_ = cut(counts.join(apart, "region"))
+    open_ = cut(counts.join(apart, "region"), n)
     if open_.isEmpty():
         return parts
     several = join_by(pairs, open_, ["region"], "many", pairs.count())
-    return joined(parts, exact_links(cut(several.select(F.explode(F.array("a", "b")).alias("node")).distinct()), sets, parts))
+    return joined(parts, exact_links(cut(several.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n), sets, parts))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -253,7 +173,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     known = stored(sketches(docs, shingle), "sketches")
     named = known.where("doc_id IS NOT NULL")
     nodes = named.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "regions", "labels")))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = known.count()
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", 10 * n)
     # an id that comes with several sets joins them
     several = named.where("n > 0").select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1")
     again = named.select("doc_id", "digest").distinct().join(several, "doc_id").join(nodes.select("digest", "node"), "digest")
@@ -261,8 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     parts = joined(forest_parts(docs, nodes, shingle), again)
     of = nodes.join(parts, "node", "left").select("digest", "copies", "doc_id", F.coalesce("component", "node").alias("part"))
     first = of.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many"))
-    classes = stored(join_by(of, stored(first, "firsts"), ["part"], "many", nodes.count()).select("digest", "copies", "component_id"), "classes")
-    linked = join_by(named.where("n > 0").select("doc_id", "digest", "n"), classes, ["digest"], "copies", known.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = stored(join_by(of, stored(first, "firsts", n), ["part"], "many", n).select("digest", "copies", "component_id"), "classes", n)
+    linked = join_by(named.where("n > 0").select("doc_id", "digest", "n"), classes, ["digest"], "copies", n).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     # without words a document is alone, but for the other rows of its id
     alone = known.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"))
     same = linked.join(alone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

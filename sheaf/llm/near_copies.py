@@ -7,9 +7,9 @@ Two documents are near copies if the sets of their runs of SHINGLE words have a
    1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8).
 Every link is checked on the shingle sets themselves.
 
-Members of a band's group are checked against two of them, those of groups that are still in several parts against the member that shares most bands with
-others. What is apart after that is compared with the whole group by blocks of bounded size. So groups of many copies cost rows in proportion to their
-size, no pairs are emitted, and nothing is capped or dropped.
+Members of a band's group are checked against two of them. Those of groups that are still in several parts then are compared exactly
+(similar_sets.exact_links), by the rarest shingles of each: copies of copies are in one part by then, and texts that share most of a template
+have only their own shingles there. So groups of many copies cost rows in proportion to their size, no pairs are emitted, and nothing is capped or dropped.
 
 Defined cases: texts without words are copies of each other; texts of fewer than SHINGLE words have one shingle; repeated rows and repeated ids are one
 node; documents with a null id link nothing.
@@ -19,23 +19,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import SEED, cut, join_by, marked, releasing, stored, text_steps
-from sheaf.llm.components import connected_components
+from sheaf.llm.components import connected_components, joined
 from sheaf.llm.simhash import near_links as pigeonring_links
 from sheaf.llm.simhash import shingle_digests
+from sheaf.llm.similar_sets import alike, checkable, exact_links, still_apart
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
-#: Least similarity, as a fraction of whole numbers.
-ALIKE = (4, 5)
 #: Shingles whose permuted hashes are made at once.
 CHUNK = 1024
-#: Shingles of a block of members that are compared with another block: 4 MB.
-BLOCK = 1 << 19
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -101,34 +97,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, "node").where("found = digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose shingle sets are similar enough."""
-
-    def check(batches):
-        least, of = ALIKE
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * of >= least * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(releasing(check), "a long, b long")
-
-
-def checkable(pairs: DataFrame) -> DataFrame:
-    """pairs(a, na, b, nb) once each and without those whose sizes alone rule out the similarity."""
-    least, of = ALIKE
-    near = pairs.where((F.col("a") != F.col("b")) & (F.least("na", "nb") * of >= F.greatest("na", "nb") * least))
-    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, n: int) -> DataFrame:
     """pairs(a, na, b, nb) of nodes(node, n, fp) with equal fingerprints, or with near ones that pigeonring filtering finds."""
-    of = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("many")))
-    equal = join_by(nodes.select("fp", "node", "n"), of.where("many > 1"), ["fp"], "many", nodes.count())
+    of = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("many")), n)
+    equal = join_by(nodes.select("fp", "node", "n"), of.where("many > 1"), ["fp"], "many", n)
     equal = equal.select(F.col("first.node").alias("a"), F.col("first.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
     firsts = of.select("first.node", "first.n", "fp")
     near = pigeonring_links(firsts.select("node", "fp"))
@@ -136,84 +108,23 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(near.select("a", "na", "b", "nb"))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(links (a, b) between nodes(node, digest, n, fp, bands) that connect what all candidate pairs of similarity ALIKE connect, their components if known)."""
+def near_parts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The components (node, component) that the pairs of similarity ALIKE among nodes(node, digest, n, fp, bands) make; nodes without a link may be missing."""
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
     order = [F.struct("node", "n"), F.struct(F.xxhash64("node"), "node", "n")]
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("many"), F.min(order[0]).alias("one"), F.min(order[1]).alias("two")).where("many > 1"))
-    rows = cut(join_by(rows, shared, ["key"], "many", nodes.count() * BANDS))
+    n = nodes.count()
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("many"), F.min(order[0]).alias("one"), F.min(order[1]).alias("two")).where("many > 1"), n)
+    rows = cut(join_by(rows, shared, ["key"], "many", n * BANDS), n)
     lead = [rows.select(F.col(f"{x}.node").alias("a"), F.col(f"{x}.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")) for x in ("one", "two")]
-    pairs = cut(checkable(fingerprint_pairs(nodes).unionByName(lead[0]).unionByName(lead[1])))
+    pairs = cut(checkable(fingerprint_pairs(nodes, n).unionByName(lead[0]).unionByName(lead[1])), n)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(rows.select("node")).distinct()
-    sets = stored(shingle_sets(docs, cut(nodes.select("node", "digest").join(wanted, "node", "left_semi"))), "shingles")
-    links = cut(alike(pairs, sets))
-    parts = connected_components(links)
-    apart, open_ = still_apart(rows, parts)
-    if open_.isEmpty():
-        return links, parts
-    # the member that shares most with others is likely to be what the others were copied from
-    apart = cut(join_by(apart, open_, ["key"], "many", rows.count()))
-    weight = apart.groupBy("node").agg(F.sum("size").alias("weight"))
-    hubs = cut(apart.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "part")).alias("hub"), F.count("*").alias("many")))
-    met = join_by(apart, hubs, ["key"], "many", apart.count()).where("part <> hub.part")
-    met = checkable(met.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
-    links = cut(links.unionByName(alike(met, sets)))
-    parts = connected_components(links)
-    apart, open_ = still_apart(apart, parts)
+    sets = stored(shingle_sets(docs, cut(nodes.select("node", "digest").join(wanted, "node", "left_semi"), n)), "shingles")
+    parts = connected_components(alike(pairs, sets))
+    apart, open_ = still_apart(rows, parts, n)
     if open_.isEmpty():
-        return links, parts
-    return links.unionByName(cut(block_links(cut(join_by(apart, open_, ["key"], "many", rows.count())), sets))), None
-
-
-def still_apart(rows: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows(key, node, n) with the part of each node, the keys (key, many, size, main) whose members are in several parts; main: the part of most)."""
-    apart = cut(rows.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
-    per = apart.groupBy("key", "part").agg(F.count("*").alias("many"), F.sum(F.col("n") + 1).alias("shingles"))
-    keys = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("many").alias("many"), F.max(F.struct("many", "part")).alias("main"), F.sum("shingles").alias("all"), F.max_by("shingles", F.struct("many", "part")).alias("of_main"))
-    size = [F.col("many").alias("many"), F.col("many").alias("size"), F.col("main.part").alias("main")]
-    blocks = [F.ceil(F.col(x) / BLOCK).cast("long").alias(y) for x, y in (("all", "rights"), ("rest", "lefts"))]
-    return apart, cut(keys.where("parts > 1").withColumn("rest", F.col("all") - F.col("of_main")).select("key", *size, *blocks))
-
-
-def block_links(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what all similar pairs within a group of apart(key, node, n, part, main, lefts, rights) connect.
-
-    Members outside of the group's main part are compared with all: blocks of them with blocks of all, each of about BLOCK shingles, so a task
-    holds two blocks. Rows are members times blocks, not pairs, and only links are returned.
-    """
-    deal = lambda blocks: F.pmod(F.xxhash64(F.lit("block"), "node"), F.col(blocks))
-    rest = apart.where("part <> main").select("key", "node", "part", F.lit(True).alias("left"), F.lit(True).alias("rest"), deal("lefts").alias("l"), F.explode(F.expr("sequence(0L, rights - 1)")).alias("r"))
-    every = apart.select("key", "node", "part", F.lit(False).alias("left"), (F.col("part") != F.col("main")).alias("rest"), F.explode(F.expr("sequence(0L, lefts - 1)")).alias("l"), deal("rights").alias("r"))
-    rows = rest.unionByName(every).join(sets, "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("left")
-        left, right = table.filter(side), table.filter(pc.invert(side))
-        nodes, of_rest, parts = (right.column(x).to_numpy() for x in ("node", "rest", "part"))
-        asking, own_parts, parts = left.column("node").to_pylist(), left.column("part").to_numpy().copy(), parts.copy()
-        found = [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
-        sizes = np.array([len(x) for x in found], np.int64)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *found])
-        owner = np.repeat(np.arange(len(found)), sizes)
-        least, of = ALIKE
-        links = []
-        for k, raw in enumerate(left.column("shingles").to_pylist()):
-            own = np.frombuffer(raw, np.uint64)
-            both = np.zeros(len(nodes), np.int64)
-            if len(own):
-                hit = own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes
-                both = np.bincount(owner[hit], minlength=len(nodes))
-            near = both * of >= least * (sizes + len(own) - both)
-            # of two members outside of the main part, the larger one asks
-            near &= ~of_rest | (nodes < asking[k])
-            for i in np.flatnonzero(near).tolist():
-                if (here := own_parts[k]) != (there := parts[i]):
-                    links.append((asking[k], int(nodes[i])))
-                    own_parts[own_parts == here] = there
-                    parts[parts == here] = there
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return rows.groupBy("key", "l", "r").applyInArrow(compare, "a long, b long")
+        return parts
+    several = join_by(apart, open_, ["key"], "many", rows.count()).select("node").distinct()
+    return joined(parts, exact_links(cut(several, n), sets, parts))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -223,8 +134,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # an id that comes with several sets joins them
     several = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
     again = known.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links, parts = near_links(docs, nodes)
-    if parts is None or not several.isEmpty():
-        parts = connected_components(links.unionByName(again))
+    parts = joined(near_parts(docs, nodes), again)
     classes = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")

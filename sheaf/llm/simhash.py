@@ -120,11 +120,11 @@ def near_links(nodes: DataFrame, tau: int = TAU, m: int = M, group: int = GROUP)
     signed = [k - (1 << 64) if k >> 63 else k for k in keys]
     rows = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("ring"), F.col("fp").bitwiseAND(F.lit(k)).alias("key"), F.lit(k).alias("fixed")) for i, k in enumerate(signed)])).alias("k"))
     rows = rows.select("node", "fp", "k.ring", "k.key", "k.fixed")
-    found = []
+    found, n = [], m * nodes.count()
     while True:
-        rows = cut(rows)
+        rows = cut(rows, n)
         counts = rows.groupBy("ring", "key", "fixed").count().where("count > 1")
-        few = cut(counts)
+        few = cut(counts, n)
         light = rows.join(few.where(F.col("count") <= group).drop("count"), ["ring", "key", "fixed"])
         # a key of its own, so that Spark may split what the join gathers for a heavy one before the groups are put together
         light = light.groupBy(F.concat_ws(" ", "ring", "key", "fixed").alias("one")).agg(F.first("ring").alias("ring"), F.collect_list(F.struct("fp", "node")).alias("members"))
@@ -133,6 +133,7 @@ def near_links(nodes: DataFrame, tau: int = TAU, m: int = M, group: int = GROUP)
         if heavy.isEmpty():
             break
         rows = refine(join_by(rows, heavy, ["ring", "key", "fixed"], "count", rows.count()), tau)
+        n *= tau + 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.llm import forest, near_copies
+from sheaf.llm import forest, near_copies, similar_sets
 
 SHAPE = "doc_id long, text string, digest string, Node int, region string"
 
@@ -94,18 +94,18 @@ def test_exact_links_by_pairs_and_by_blocks(spark):
     none = spark.createDataFrame([], "node long, component long")
     pairs = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(both := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(both))}
     assert pairs
-    by_pairs = {tuple(r) for r in forest.exact_links(nodes, held, none, group=10**6).collect()}
+    by_pairs = {tuple(r) for r in similar_sets.exact_links(nodes, held, none, group=10**6).collect()}
     assert by_pairs == pairs
     from sheaf.llm.components import connected_components
 
     want = {tuple(r) for r in connected_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
-    assert {tuple(r) for r in connected_components(forest.exact_links(nodes, held, none, group=3)).collect()} == want
+    assert {tuple(r) for r in connected_components(similar_sets.exact_links(nodes, held, none, group=3)).collect()} == want
 
 
 def test_bounds_are_those_of_fractions():
     for nx in range(1, 60):
         for ny in range(1, 60):
-            need = forest.least_overlap(nx, ny)
+            need = similar_sets.least_overlap(nx, ny)
             assert Fraction(need, nx + ny - need) >= Fraction(4, 5) > Fraction(need - 1, nx + ny - need + 1)
 
 

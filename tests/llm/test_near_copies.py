@@ -1,9 +1,10 @@
 import itertools
 import random
+import time
 import re
 
 import corpus_pipeline
-from sheaf.llm import near_copies
+from sheaf.llm import near_copies, similar_sets
 
 
 def words_set(text):
@@ -78,10 +79,25 @@ def test_large_groups_by_blocks(spark, monkeypatch):
         texts |= {1000 * k + j: edited(rng, base, rng.randrange(2, 6)) for j in range(40)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     compared = []
-    links = near_copies.block_links
-    monkeypatch.setattr(near_copies, "block_links", lambda apart, sets: compared.append(apart.count()) or links(apart, sets))
+    links = similar_sets.exact_links
     first = brute_firsts(texts)
-    for block in (1 << 19, 1500):
-        monkeypatch.setattr(near_copies, "BLOCK", block)
+    for group, block in ((256, 1 << 19), (2, 1 << 19), (2, 1500)):
+        monkeypatch.setattr(similar_sets, "BLOCK", block)
+        monkeypatch.setattr(near_copies, "exact_links", lambda nodes, sets, parts, group=group: compared.append(nodes.count()) or links(nodes, sets, parts, group))
         assert {r.component_id for r in near_copies.near_copies(docs).collect()} == first
-    assert len(first) > 6 and len(compared) == 2 and min(compared) > 40
+    assert len(first) > 6 and len(compared) == 3 and min(compared) > 40
+
+
+def test_templates_take_time_in_proportion(spark):
+    """Texts that share five sixths of a template and are below the similarity: none is lost, and three times as many take about three times as long."""
+    took = []
+    for m in (500, 1500):
+        rng = random.Random(9)
+        base = [f"w{rng.randrange(5000)}" for _ in range(240)]
+        texts = [(k, " ".join(base[:200] + [f"o{k}x{i}" for i in range(40)])) for k in range(m)] + [(m, " ".join(base[:200] + [f"o7x{i}" for i in range(39)] + ["end"]))]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").cache()
+        began = time.time()
+        found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+        took.append(time.time() - began)
+        assert found == {k: k for k in range(m)} | {m: 7}
+    assert took[1] < 2.5 * took[0] + 5, took
