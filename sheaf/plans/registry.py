@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.operators import index, retrieve
-from sheaf.plans import document_queries, index_queries, state_queries
+from sheaf.plans import document_queries, index_queries, run_queries, state_queries
 from sheaf.plans.corpus import files
 
-MODULES = (index_queries, document_queries, state_queries)
+MODULES = (index_queries, document_queries, state_queries, run_queries)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in MODULES:
