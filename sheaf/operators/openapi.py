@@ -59,7 +59,7 @@ def type_name(schema, depth=0) -> str:
             return "object"
         return "{ " + ", ".join(shown + ["..."] * (len(fields) > MOST_FIELDS)) + " }"
     if schema.get("enum"):
-        return " | ".join(map(json.dumps, schema["enum"][:MOST_ENUM]))
+        return " | ".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"][:MOST_ENUM])
     for word, sign in (("oneOf", " | "), ("anyOf", " | "), ("allOf", " & ")):
         if schema.get(word):
             return sign.join(map(deeper, schema[word] if sign == " & " else schema[word][:MOST_VARIANTS]))
@@ -74,7 +74,7 @@ def read_spec(raw: str) -> str | None:
         else:
             import yaml
 
-            tree = yaml.safe_load(raw)
+            tree = yaml.load(raw, getattr(yaml, "CSafeLoader", yaml.SafeLoader))  # noqa: S506  both are safe loaders
         return json.dumps(inline(tree, tree), default=str, ensure_ascii=False)
     except Exception:  # noqa: BLE001  one broken specification doesn't end the run
         return None
@@ -167,6 +167,66 @@ def to_files(specs: DataFrame) -> DataFrame:
     return heads.select("source", F.lit("overview.md").alias("path"), overview.alias("content")).unionByName(pages)
 
 
+PAGE_SPEC = f"swagger string, {SPEC}"
+PAGE_OPERATION = "summary string, description string, deprecated boolean, tags array<string>, security array<map<string,array<string>>>, parameters array<string>, requestBody struct<content:map<string,struct<schema:string>>>, responses map<string,string>"
+PAGE_PARAMETER = "name string, `in` string, required boolean, description string, schema string"
+#: The headings of parameters by their place.
+HEADINGS = (("path", "### Path params"), ("query", "### Query params"), ("header", "### Headers"))
+
+
+def api_operations(specs: DataFrame) -> DataFrame:
+    """specs(source, raw) -> a row for each operation, in document order, with what its page says: block, tags, and the specification's head."""
+    rows = specs.select("source", F.from_json(spec_json("raw"), PAGE_SPEC).alias("spec")).where("spec.paths IS NOT NULL")
+    rows = rows.select("source", "spec.info", F.col("spec.swagger").isNotNull().alias("old"), F.col("spec.security").alias("all_security"), F.posexplode(F.map_entries("spec.paths")).alias("path_at", "item"))
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.try_element_at("item.value", F.lit(m)).alias("op")) for m in METHODS])
+    rows = rows.select("source", "info", "old", "all_security", "path_at", F.col("item.key").alias("path"), F.posexplode(methods).alias("method_at", "m")).where(F.trim("m.op").startswith("{"))
+    rows = rows.withColumn("op", F.from_json("m.op", PAGE_OPERATION))
+    params = F.filter(F.coalesce("op.parameters", F.array().cast("array<string>")), lambda p: F.trim(p).startswith("{"))
+    rows = rows.withColumn("params", F.transform(params, lambda p: F.struct(p.alias("raw"), F.from_json(p, PAGE_PARAMETER).alias("v"))))
+    answers = F.filter(F.map_entries("op.responses"), lambda r: F.trim(r["value"]).startswith("{"))
+    rows = rows.withColumn("answers", F.coalesce(F.transform(answers, lambda r: F.struct(r["key"].alias("status"), F.from_json(r["value"], RESPONSE).alias("v"))), F.array().cast(f"array<struct<status:string,v:struct<{RESPONSE_FIELDS}>>>")))
+    body = F.when(F.col("old"), F.get(F.filter("params", lambda p: p["v"]["in"] == "body"), F.lit(0))["v"]["schema"]).otherwise(json_schema(F.col("op.requestBody.content")))
+    schemas = F.concat(
+        F.array(body), F.transform("params", lambda p: F.when(F.col("old"), p["raw"]).otherwise(p["v"]["schema"])),
+        F.transform("answers", lambda r: F.coalesce(F.when(F.col("old"), r["v"]["schema"]), json_schema(r["v"]["content"]))),
+    )
+    rows = rows.withColumn("kinds", schema_types(schemas))
+    text = lambda c: F.coalesce(c, F.lit(""))
+
+    def listed(place: str, heading: str) -> Column:
+        own = F.filter(F.transform("params", lambda p, k: F.struct(p["v"].alias("v"), F.coalesce(F.get("kinds", k + 1), F.lit("any")).alias("kind"))), lambda p: p["v"]["in"] == place)
+        lines = F.transform(own, lambda p: F.concat(F.lit("- `"), text(p["v"]["name"]), F.lit("` ("), p["kind"], F.when(p["v"]["required"], ", required").otherwise(""), F.lit("): "), text(p["v"]["description"])))
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"\n{heading}\n"), F.array_join(lines, "\n")))
+
+    # codes come first, ascending, as a document's reader has them; other names follow in their order
+    number = lambda r: F.coalesce(F.when(r["status"].rlike(r"\A(0|[1-9]\d*)\z"), r["status"].try_cast("bigint")), F.lit(1 << 32))
+    kind = lambda k: F.get("kinds", k + 1 + F.size("params"))
+    told = F.transform("answers", lambda r, k: F.struct(number(r).alias("number"), k.alias("at"), F.concat(F.lit("- **"), r["status"], F.lit("**: "), text(r["v"]["description"]), text(F.concat(F.lit(" → `"), kind(k), F.lit("`")))).alias("line")))
+    responses = F.when(F.size("answers") > 0, F.concat(F.lit("\n### Responses\n"), F.array_join(F.transform(F.array_sort(told), lambda r: r["line"]), "\n")))
+    some = lambda c, *parts: F.when(text(c) != "", F.concat(*parts, c))
+    auth = F.coalesce(auth_of(F.col("op.security")), auth_of(F.col("all_security")))
+    about = F.when(text("op.description") != text("op.summary"), F.col("op.description"))
+    head = F.concat(F.lit("## "), F.upper("m.method"), F.lit(" "), "path", F.when(F.col("op.deprecated"), " ~~DEPRECATED~~").otherwise(""))
+    block = F.concat_ws("\n", head, some(F.col("op.summary")), some(about, F.lit("\n")), some(auth, F.lit("\nAuth: ")), *(listed(*h) for h in HEADINGS), some(F.concat(F.lit("### Body: `"), F.get("kinds", F.lit(0)), F.lit("`")), F.lit("\n")), responses, F.lit(""))
+    tags = F.transform(F.coalesce("op.tags", F.array(F.lit("default"))), lambda t: replace(F.lower(t), r"\s+", "-"))
+    return rows.select("source", "info", "old", "path_at", "method_at", tags.alias("tags"), block.alias("block"))
+
+
+def api_pages(specs: DataFrame) -> DataFrame:
+    """specs(source, raw) -> files(source, path, content): api/overview.md with the groups of endpoints, and api/<tag>.md for each group."""
+    rows = api_operations(specs).select("source", "info", "old", "path_at", "method_at", "block", F.posexplode("tags").alias("tag_at", "tag"))
+    blocks = F.array_sort(F.collect_list(F.struct("path_at", "method_at", "tag_at", "block")))
+    tags = rows.groupBy("source", "tag").agg(blocks.alias("blocks"))
+    pages = tags.select("source", F.concat(F.lit("api/"), "tag", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "tag", F.lit("\n\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n")).alias("content"))
+    counts = rows.groupBy("source", "tag").agg(F.count("*").alias("n"), F.min(F.struct("path_at", "method_at", "tag_at")).alias("at"), F.first("info").alias("info"), F.first("old").alias("old"))
+    entry = F.struct("at", F.format_string("- **%s** — %d endpoints", "tag", "n").alias("line"))
+    heads = counts.groupBy("source").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.first("info").alias("info"), F.first("old").alias("old"))
+    version = F.format_string("\nVersion: %s (%s)\n\n## Endpoint Groups\n", F.coalesce("info.version", F.lit("unknown")), F.when(F.col("old"), "Swagger 2.0").otherwise("OpenAPI 3.x"))
+    about = F.when(F.col("info.description") != "", F.concat(F.lit("\n"), F.col("info.description")))
+    overview = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("info.title", F.lit("API Reference"))), about, version, F.array_join(F.transform("entries", lambda x: x["line"]), "\n"))
+    return heads.select("source", F.lit("api/overview.md").alias("path"), overview.alias("content")).unionByName(pages)
+
+
 def latest(specs: DataFrame) -> DataFrame:
     """specs(service, version, path, raw) -> files of each service's last version, paths below its name."""
     from sheaf.operators.catalog import latest_versions

@@ -356,3 +356,61 @@ def openapi_files(spark, sf_dir):
     from sheaf.operators import openapi
 
     return openapi.to_files(specs(spark, sf_dir))
+
+
+# --- API pages: references, lists, choices, and unions; a tenth of the specifications is read as YAML
+KINDS = {
+    0: ({"$ref": "#/components/schemas/User"}, "{ id: integer, name?: string, friend?: object }"),
+    1: ({"type": "array", "items": {"$ref": "#/components/schemas/Kind"}}, '"a" | "é" | {"a":1} | 1 | null[]'),
+    2: ({"oneOf": [{"$ref": "#/components/schemas/User"}, {"type": "string"}, {"type": "number"}, {"type": "null"}]}, "{ id: integer, name?: string, friend?: object } | string | number"),
+    3: ({"allOf": [{"$ref": "#/components/schemas/Base"}, {"type": "object"}]}, "{ " + ", ".join(f"f{i}?: any" for i in range(10)) + ", ... } & object"),
+    4: ({"$ref": "#/components/schemas/Absent"}, "any"),
+}
+SCHEMAS = {
+    "User": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "name": {"type": "string"}, "friend": {"$ref": "#/components/schemas/User"}}},
+    "Kind": {"enum": ["a", "é", {"a": 1}, 1, None, "left out"]}, "Base": {"properties": {f"f{i}": {} for i in range(12)}},
+}
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def api_specs(spark, sf_dir):
+    """An operation for each document: by the remainder of its id its response and body have different schemas."""
+    import json
+
+    i = F.col("doc_id")
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    schema = F.get(F.array(*[F.lit(json.dumps(KINDS[k][0])) for k in range(5)]), (i % 5).cast("int"))
+    shown = F.concat(
+        F.lit('{"summary": "Get '), i.cast("string"), F.lit('", "tags": ["'), "lang", F.when(i % 4 == 0, '", "More Of It').otherwise(""), F.lit('"], "deprecated": '), (i % 7 == 0).cast("string"),
+        F.when(i % 6 == 0, ', "description": "Long text", "security": [{"key": [], "token": []}, {"basic": []}]').otherwise(""),
+        F.lit(', "parameters": [{"name": "q", "in": "query", "schema": {"type": "string"}, "description": "what"}, {"name": "id", "in": "path", "required": true, "schema": '), schema, F.lit('}, {"name": "x", "in": "cookie"}]'),
+        F.when(i % 2 == 0, F.concat(F.lit(', "requestBody": {"content": {"application/json": {"schema": '), schema, F.lit("}}}"))).otherwise(""),
+        F.lit(', "responses": {"default": {"description": "else"}, "404": {"description": "none"}, "200": {"description": "ok", "content": {"application/json": {"schema": '), schema, F.lit("}}}}}"),
+    )
+    entry = F.struct(F.lpad(i.cast("string"), 9, "0").alias("at"), F.concat(F.lit('"/d/'), F.lpad(i.cast("string"), 9, "0"), F.when(i % 3 == 0, '": {"summary": "x", "post": ').otherwise('": {"get": '), shown, F.lit("}")).alias("text"))
+    rows = table(spark, sf_dir, "documents").withColumn("source", F.expr(DUMP)).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), ", ").alias("paths"))
+    tail = f', "components": {{"schemas": {json.dumps(SCHEMAS)}}}}}'
+    # what doesn't begin with a brace is read as YAML
+    raw = F.concat(F.when(F.col("source").rlike("5$"), "# as YAML\n").otherwise(""), F.lit('{"info": {"title": '), quoted("source"), F.lit(', "description": "About it"}, "security": [{"all": []}], "paths": {'), "paths", F.lit("}"), F.lit(tail))
+    return rows.select("source", raw.alias("raw"))
+
+
+_KIND = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {_literal(v[1])}" for k, v in KINDS.items()) + " END"
+_NL = "chr(10)"
+API_SQL = f"""WITH d AS (SELECT {DUMP} AS source, lang, doc_id, {_KIND} AS kind, '## ' || CASE WHEN doc_id % 3 = 0 THEN 'POST' ELSE 'GET' END || ' /d/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || CASE WHEN doc_id % 7 = 0 THEN ' ~~DEPRECATED~~' ELSE '' END || {_NL} || 'Get ' || doc_id || {_NL}
+ || CASE WHEN doc_id % 6 = 0 THEN {_NL} || 'Long text' || {_NL} || {_NL} || 'Auth: key, token | basic' ELSE {_NL} || 'Auth: all' END || {_NL} || {_NL} || '### Path params' || {_NL} || '- `id` (' || kind || ', required): ' || {_NL} || {_NL} || '### Query params' || {_NL} || '- `q` (string): what' || {_NL}
+ || CASE WHEN doc_id % 2 = 0 THEN {_NL} || '### Body: `' || kind || '`' || {_NL} ELSE '' END || {_NL} || '### Responses' || {_NL} || '- **200**: ok → `' || kind || '`' || {_NL} || '- **404**: none' || {_NL} || '- **default**: else' || {_NL} AS block FROM documents),
+t AS (SELECT source, doc_id, block, lang AS tag, 0 AS k FROM d UNION ALL SELECT source, doc_id, block, 'more-of-it', 1 FROM d WHERE doc_id % 4 = 0),
+g AS (SELECT source, tag, count(*) AS n, min({{'d': doc_id, 'k': k}}) AS first, string_agg(block, {_NL} ORDER BY doc_id) AS blocks FROM t GROUP BY source, tag)
+SELECT source, 'api/' || tag || '.md' AS path, '# ' || tag || {_NL} || {_NL} || blocks AS content FROM g
+UNION ALL SELECT source, 'api/overview.md', '# ' || source || {_NL} || {_NL} || 'About it' || {_NL} || {_NL} || 'Version: unknown (OpenAPI 3.x)' || {_NL} || {_NL} || '## Endpoint Groups' || {_NL} || {_NL} || string_agg('- **' || tag || '** — ' || n || ' endpoints', {_NL} ORDER BY first) FROM g GROUP BY source"""
+
+
+@query(API_SQL)
+def api_pages(spark, sf_dir):
+    from sheaf.operators import openapi
+
+    return openapi.api_pages(api_specs(spark, sf_dir))
