@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import publish, snapshot
+from sheaf.operators import chains, publish, snapshot
 from sheaf.plans.corpus import CONTENT, FILES, PATH, files, plain_files, table
 from sheaf.plans.index_queries import INDEX, PLAIN
 from sheaf.sources.workspace import shared_path
@@ -103,3 +103,20 @@ def index_incremental(spark, sf_dir):
     now = docs.select("source", F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"), F.col("doc_id").alias("ord"))
     store.apply(snapshot.compare(now.drop("ord"), before.drop("ord")).select("path", "change"), now)
     return store.rows()
+
+
+# --- a tree of sitemaps: an index of indexes of sitemaps with the pages of 500 ids each; every index names the first one again, every seventh sitemap failed
+@query("""SELECT DISTINCT 's' AS source, url || '#' || page_id AS url FROM pages WHERE page_id // 500 % 7 <> 3""")
+def sitemap_tree(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
+    leaf = F.floor(F.col("page_id") / 500)
+    name = lambda kind, n: F.concat(F.lit(f"https://h.example/{kind}-"), n.cast("string"), F.lit(".xml"))
+    loc = lambda url: F.concat(F.lit("<loc>"), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    joined = lambda c: F.array_join(F.collect_list(c), "")
+    leaves = pages.groupBy(leaf.alias("leaf")).agg(joined(loc(F.col("url"))).alias("body")).withColumn("body", F.when(F.col("leaf") % 7 != 3, F.col("body")))
+    mids = leaves.groupBy(F.floor(F.col("leaf") / 100).alias("mid")).agg(joined(loc(name("leaf", F.col("leaf")))).alias("body"))
+    root = mids.agg(joined(loc(name("mid", F.col("mid")))).alias("body")).withColumn("root", F.lit(0))
+    index = lambda df: df.withColumn("body", F.concat(F.lit("<sitemapindex>"), "body", loc(name("root", F.lit(0))), F.lit("</sitemapindex>")))
+    levels = [index(root).select(name("root", F.col("root")).alias("url"), "body"), index(mids).select(name("mid", F.col("mid")).alias("url"), "body"), leaves.select(name("leaf", F.col("leaf")).alias("url"), "body")]
+    responses = levels[0].unionByName(levels[1]).unionByName(levels[2]).select(F.lit("s").alias("source"), "url", "body")
+    return chains.sitemap_tree(responses, levels[0].select(F.lit("s").alias("source"), "url"))
