@@ -26,7 +26,7 @@ def with_title(title: Column, body: Column) -> Column:
 
 def mdx_title(text: Column | str) -> Column:
     head = F.regexp_extract(col(text), r"\A---\n([\s\S]*?)\n---", 1)
-    return trim(F.regexp_extract(head, r"""(?md)^title:\s*["']?(.*?)["']?\s*$""", 1))
+    return trim(F.regexp_extract(head, r"""(?md)^title:\s*["']?([^"'\n]+)["']?\s*$""", 1))
 
 
 def mdx_to_markdown(text: Column | str) -> Column:
@@ -125,13 +125,27 @@ def strip_css(text: Column | str) -> Column:
     return F.array_join(bind(F.struct(lines.alias("lines"), F.aggregate(marks, start, step, finish).alias("gone")), kept), "\n")
 
 
-def clean_markdown(text: Column | str, css: bool = True) -> Column:
-    out = col(text)
-    for pattern in BOILERPLATE:
-        out = replace(out, pattern)
-    out = strip_css(out) if css else out
-    for pattern in SITE_CHROME:
+#: What a text must hold for any of these patterns to be found: a text without it needs one pass for all of them.
+TRACES = (
+    r"Skip to content\]|Was this helpful\?|Edit page|Report issue|Copy page|\"BreadcrumbList\"",
+    r"Retrieved from \"| - PostgreSQL wiki|\| Docker Docs|Submit correction|If you see anything in the|Navigation menu|Page action|Personal tools|Jump to |Toolbox|In other languages",
+)
+CSS_TRACE = r"(?md)^[.#@][\w-]"
+
+
+def replaced_if(text: Column, trace: str, patterns: tuple[str, ...]) -> Column:
+    """text without what the patterns find, one after the other; none of them is tried where the trace isn't found."""
+    out = text
+    for pattern in patterns:
         out = replace(out, pattern)
+    return F.when(text.rlike(trace), out).otherwise(text)
+
+
+def clean_markdown(text: Column | str, css: bool = True) -> Column:
+    out = bind(col(text), lambda t: replaced_if(t, TRACES[0], BOILERPLATE))
+    if css:
+        out = bind(out, lambda t: F.when(t.rlike(CSS_TRACE), strip_css(t)).otherwise(t))
+    out = bind(out, lambda t: replaced_if(t, TRACES[1], SITE_CHROME))
     return trim(collapse_blank(out))
 
 

@@ -196,3 +196,29 @@ def test_responses_and_retry(spark):
     assert {r.url[-1] for r in rows.where(S.should_retry(0)).collect()} == {"b", "d"} and rows.where(S.should_retry(2)).count() == 0
     waits = spark.createDataFrame([("7",), ("9999",), ("Wed, 21 Oct 2015 07:28:00 GMT",), (None,)], "after string").select(S.retry_delay(1, "after").alias("s"))
     assert [r.s for r in waits.collect()] == [7.0, 300.0, 0.0, 2.0]
+
+
+def test_titles_with_quotes_inside_are_none(spark):
+    texts = ['---\ntitle: "A "b" c"\n---\nx', "---\ntitle: 'Plain'\n---\nx", "---\ntitle: It's\n---\nx", "---\ntitle:\nnext: y\n---\nx", '---\nkind: z\ntitle: "Quoted \n---\nx']
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.mdx_title("t").alias("t")).collect()
+    assert [r.t for r in got] == ["", "Plain", "", "next: y", "Quoted"]
+
+
+def test_traces_hold_for_every_pattern(spark):
+    """Texts with what each pattern removes, in other letters' company, are cleaned as pattern after pattern would."""
+    samples = [
+        "[Skip to content](#x) a", "Was this helpful?\nYesNo b", "[ Edit page ](u)", "[Report issue](u)", "[Copy page ](u)", "Copy page \n", '```json\n {"@type": "BreadcrumbList"}\n```', '{"@type":"BreadcrumbList"} ', 'Retrieved from "[https://wiki.x" ', "a - PostgreSQL wiki ",
+        "b| Docker Docs", "Submit correction", "If you see anything in the documentation that is not correct\nx documentation issue.", "Navigation menu", "Page actions", "Page action", "Personal tools", "Jump to navigation", "Jump to search", "Toolbox", "In other languages",
+        ".a{b}", ".a {\nb\n}\n", "@media {\n}\n", "```\n.a{b}\n```", "plain", "", "é\x85.x{}",
+    ]
+    texts = [*samples, *(f"{a}\n{b}\n\n\n\n{c}" for a, b, c in zip(samples, samples[3:], samples[7:], strict=False))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.col("t")
+    for pattern in N.BOILERPLATE:
+        whole = N.replace(whole, pattern)
+    whole = N.strip_css(whole)
+    for pattern in N.SITE_CHROME:
+        whole = N.replace(whole, pattern)
+    rows = df.select(N.clean_markdown("t").alias("a"), N.trim(N.collapse_blank(whole)).alias("b"), "t").collect()
+    assert [r.t for r in rows if r.a != r.b] == []
+    assert all(any(df.where(F.col("t").rlike(trace) & F.col("t").rlike(p)).count() for trace in N.TRACES) for p in (*N.BOILERPLATE, *N.SITE_CHROME))
