@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,19 +153,52 @@ def clean_markdown(text: Column | str, css: bool = True) -> Column:
 
 
 # --- routing
-def normalise(files: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Converter:
+    """A converter to markdown: its name, the formats of sources and the extensions of files it is for, what it makes of a text (null: it refuses), and the file name's end that becomes .md."""
+
+    name: str
+    formats: tuple[str, ...]
+    extensions: tuple[str, ...]
+    convert: Callable[[Column], Column]
+    ending: str
+
+    def takes_format(self, name: Column) -> Column:
+        return F.coalesce(name.isin(*self.formats), F.lit(False))
+
+    def takes_file(self, path: Column) -> Column:
+        return F.coalesce(extension(path).isin(*self.extensions), F.lit(False))
+
+
+CONVERTERS = (
+    Converter("mdx", ("mdx",), ("mdx",), mdx_to_markdown, r"\.mdx\z"),
+    Converter("html", ("html",), ("html",), lambda text: convert_html(text), r"\.html\z"),
+)
+
+
+def route(format_: Column, path: Column, converters: Sequence[Converter] = CONVERTERS) -> Column:
+    """The name of the first converter for the source's format, or, without one, of the first for the file's extension; empty without either."""
+    name = F.lit("")
+    for takes in ("takes_file", "takes_format"):
+        of = format_ if takes == "takes_format" else path
+        for c in reversed(converters):
+            name = F.when(getattr(c, takes)(of), c.name).otherwise(name)
+    return name
+
+
+def normalise(files: DataFrame, converters: Sequence[Converter] = CONVERTERS) -> DataFrame:
     """files(source, format, path, content, ord) -> the normalised files, one for each source and path (the last one wins).
 
-    The source's format chooses the converter; without one for it the file's extension does. Converted and other markdown files are
-    cleaned, all are sanitised.
+    A file that its converter refuses keeps its text and name. Markdown files, converted ones included, are cleaned; all are sanitised.
     """
-    ext = extension("path")
-    by_format = F.col("format").isin("html", "mdx")
-    kind = F.when(by_format, F.col("format")).when(ext.isin("html", "mdx"), ext).otherwise("")
-    rows = files.withColumn("__kind", kind).withColumn("__html", F.when(F.col("__kind") == "html", convert_html("content")))
-    content = F.when(F.col("__kind") == "mdx", mdx_to_markdown("content")).otherwise(F.coalesce("__html", "content"))
-    path = F.when(F.col("__kind") == "mdx", replace("path", r"\.mdx\z", ".md")).when(F.col("__html").isNotNull(), replace("path", r"\.html\z", ".md")).otherwise(F.col("path"))
-    rows = rows.withColumns({"content": content, "path": path})
+    rows = files.withColumn("__kind", route(F.col("format"), F.col("path"), converters))
+    made, named = F.lit(None).cast("string"), F.col("path")
+    for c in converters:
+        own = F.col("__kind") == c.name
+        made = F.when(own, c.convert(F.col("content"))).otherwise(made)
+        named = F.when(own, replace("path", c.ending, ".md")).otherwise(named)
+    rows = rows.withColumn("__made", made)
+    rows = rows.withColumns({"content": F.coalesce("__made", "content"), "path": F.when(F.col("__made").isNotNull(), named).otherwise(F.col("path"))})
     rows = rows.withColumn("content", F.when(extension("path") == "md", clean_markdown("content")).otherwise(F.col("content")))
     rows = rows.withColumns({"content": sanitise_content("content"), "path": sanitise_path("path")})
     return rows.groupBy("source", "path").agg(F.max_by("content", "ord").alias("content"))

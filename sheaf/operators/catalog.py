@@ -48,8 +48,25 @@ def coverage(files: DataFrame, index: DataFrame) -> DataFrame:
 
 def latest_versions(specs: DataFrame) -> DataFrame:
     """specs(service, version, path), version null for files right below the service -> the spec of each service's last version."""
-    last = F.row_number().over(Window.partitionBy("service").orderBy(F.desc_nulls_last("version"), "path"))
-    return specs.withColumn("__n", last).where("__n = 1").drop("__n")
+    # of each version the first path, then of each service the last version: both are aggregates that tasks begin
+    row = F.struct(*specs.columns)
+    per = specs.groupBy("service", "version").agg(F.min_by(row, "path").alias("row"))
+    last = per.groupBy("service").agg(F.max_by("row", F.struct(F.col("version").isNotNull(), "version")).alias("row"))
+    return last.select("row.*")
+
+
+def of_roots(roots: dict[str, DataFrame]) -> DataFrame:
+    """The files (source, path, content, root) of several roots; of a path that several have, the last root's file counts."""
+    frames = [df.select("source", "path", "content", F.lit(name).alias("root"), F.lit(k).alias("__k")) for k, (name, df) in enumerate(roots.items())]
+    rows = frames[0]
+    for df in frames[1:]:
+        rows = rows.unionByName(df)
+    if len(frames) == 1:
+        return rows.drop("__k")
+    # texts are shuffled only for paths that are in several roots
+    shared = rows.groupBy("source", "path").agg(F.max("__k").alias("__last"), F.count_distinct("__k").alias("__n")).where("__n > 1")
+    met = rows.join(shared.drop("__n"), ["source", "path"], "left")
+    return met.where(F.col("__last").isNull() | (F.col("__k") == F.col("__last"))).drop("__k", "__last")
 
 
 #: Least bytes of a usable page, and the part of the rendered page that a plain fetch has to give.
@@ -78,7 +95,9 @@ def shards(source: str, names: DataFrame, url: str) -> DataFrame:
 def invalid_sources(sources: DataFrame) -> DataFrame:
     """Catalogue rows that break its rules, with the reasons."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    again = F.count("*").over(Window.partitionBy("name")) > 1
+    taken = sources.groupBy("name").count().where("count > 1").select(F.col("name").alias("__name"), F.lit(True).alias("__taken"))
+    sources = sources.join(taken, F.col("name").eqNullSafe(F.col("__name")), "left")
+    again = F.coalesce("__taken", F.lit(False))
     found = F.array_compact(F.array(F.when(blank("name"), "blank name"), F.when(blank("url"), "blank url"), F.when(again, "name is taken"), F.when(~F.col("type").isin("git", "http"), "unknown type")))
     return sources.select("name", found.alias("problems")).where(F.size("problems") > 0)
 

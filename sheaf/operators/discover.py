@@ -23,6 +23,11 @@ ITEM_LINK = r"<link>\s*(?:<!\[CDATA\[)?\s*(https?://[^\s<\]]+?)\s*(?:\]\]>)?\s*<
 #: File types that are no pages.
 ASSETS = r"(?i)\.(css|js|json|xml|png|jpe?g|gif|svg|ico|woff2?|ttf|eot|zip|tar|gz|pdf)\z"
 LLMS_FILE = r"/llms(?:-full)?\.txt\z"
+#: What tells a page of content by its URL, the weights of the signs, and the pool of URLs that are compared.
+NO_CONTENT = r"(?i)\b(404|sitemap|robots|favicon|search|login|signup|home|index)\b"
+DOCS_LIKE = r"(?i)/(docs?|guide|reference|api|tutorial|how-?to|concept|manual)\b"
+SCORES = {"part": 2, "no content": -20, "root": -50, "slash": -3, "docs": 10, "host": 2}
+POOL, POOL_START = 50, 5
 
 
 def every(pattern: str, body: Column | str = "body") -> Column:
@@ -188,14 +193,13 @@ def best_url(urls: DataFrame, base_host: str) -> DataFrame:
     50 URLs from a little behind the start are compared; the first of equals wins.
     """
     path = replace("url", r"\Ahttps?://[^/]+")
-    # fixed values: the words and weights of the score
     parts = F.size(F.filter(F.split(path, "/"), lambda x: x != ""))
-    score = parts * 2 - F.when(F.col("url").rlike(r"(?i)\b(404|sitemap|robots|favicon|search|login|signup|home|index)\b"), 20).otherwise(0)
-    score = score - F.when(path.isin("", "/"), 50).otherwise(0) - F.when(F.col("url").endswith("/"), 3).otherwise(0)
-    score = score + F.when(F.col("url").rlike(r"(?i)/(docs?|guide|reference|api|tutorial|how-?to|concept|manual)\b"), 10).otherwise(0)
-    score = score + F.when(F.lower(F.regexp_extract("url", r"\Ahttps?://([^/:?#]+)", 1)).endswith(base_host), 2).otherwise(0)
-    n = F.count("*").over(Window.partitionBy("source"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1
-    pool = urls.select("source", "url", "ord", score.cast("int").alias("score"), place.alias("place"), F.least(F.lit(5), F.floor(n / 4)).alias("start"))
-    pool = pool.where("place >= start AND place < start + 50")
+    weight = lambda ok, name: F.when(ok, SCORES[name]).otherwise(0)
+    score = parts * SCORES["part"] + weight(F.col("url").rlike(NO_CONTENT), "no content") + weight(path.isin("", "/"), "root") + weight(F.col("url").endswith("/"), "slash")
+    score = score + weight(F.col("url").rlike(DOCS_LIKE), "docs") + weight(F.lower(F.regexp_extract("url", r"\Ahttps?://([^/:?#]+)", 1)).endswith(base_host), "host")
+    # the pool lies within the first places of a source, which each task cuts to before anything is shuffled; counts are one row for each source
+    place = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
+    first = urls.select("source", "url", "ord").withColumn("place", place).where(F.col("place") <= POOL + POOL_START).withColumn("place", F.col("place") - 1)
+    counts = urls.groupBy("source").agg(F.least(F.lit(POOL_START), F.floor(F.count("*") / 4)).alias("start"))
+    pool = first.join(counts, "source").where(F.col("place").between(F.col("start"), F.col("start") + POOL - 1)).withColumn("score", score.cast("int"))
     return pool.groupBy("source").agg(F.max_by("url", F.struct("score", -F.col("place"))).alias("url"), F.max("score").alias("score"))

@@ -101,5 +101,5 @@ def build_index(files: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """The index as tab-separated text."""
-    index.orderBy("path").write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
+    """The index as lines of tab-separated path, title and summary, which hold neither tabs nor line breaks, in order of path."""
+    index.orderBy("path").select(F.concat_ws("\t", *(F.coalesce(c, F.lit("")) for c in ("path", "title", "summary")))).write.mode("overwrite").text(path)

@@ -7,6 +7,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.sources.workspace import hadoop_path
+
 KEYS = ["source", "path"]
 REGRESSION, MAX_AGE = 0.5, 86_400
 
@@ -114,14 +116,29 @@ def merged_stamps(before: DataFrame, new: DataFrame, report: DataFrame) -> DataF
 
 
 def load_stamps(spark, path: str) -> DataFrame:
-    return load_snapshot(spark, path, STAMPS)
-
-
-def write_stamps(stamps: DataFrame, path: str) -> None:
-    """Write the merged stamps, one row per source, in place of the ones before: beside them first, since they may be read from there."""
-    spark, beside = stamps.sparkSession, f"{path}.new"
-    stamps.write.mode("overwrite").parquet(beside)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(hadoop(path), True)
-    system.rename(hadoop(beside), hadoop(path))
+    """The stamps written before; none if there are none. Those before them where a writer ended in between."""
+    return load_snapshot(spark, path if exists(spark, path) else f"{path}.old", STAMPS)
+
+
+def write_stamps(stamps: DataFrame, path: str, step=lambda name: None) -> None:
+    """Write the merged stamps, one row per source, in place of the ones before.
+
+    They are written beside them and then change places with them by renaming, so that at any moment load_stamps finds the ones before or the new
+    ones, whole. step is told the name of each step before it is done.
+    """
+    spark = stamps.sparkSession
+    step("write")
+    stamps.write.mode("overwrite").parquet(f"{path}.new")
+    system, place = hadoop_path(spark, path)
+    new, old = (hadoop_path(spark, f"{path}.{x}")[1] for x in ("new", "old"))
+    if system.exists(place):
+        step("clear")
+        system.delete(old, True)
+        step("aside")
+        if not system.rename(place, old):
+            raise OSError(f"{path} can't be renamed")
+    step("rename")
+    if not system.rename(new, place):
+        raise OSError(f"{path}.new can't be renamed")
+    step("done")
+    system.delete(old, True)

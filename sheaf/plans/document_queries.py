@@ -414,3 +414,26 @@ def api_pages(spark, sf_dir):
     from sheaf.operators import openapi
 
     return openapi.api_pages(api_specs(spark, sf_dir))
+
+
+# --- routing: the source's format, else the extension
+@query(f"""WITH f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'mdx' WHEN 2 THEN 'text' END AS format, {URL_PATH} || CASE WHEN page_id % 3 = 0 THEN '.mdx' WHEN page_id % 3 = 1 THEN '.html' ELSE '' END AS path FROM pages)
+SELECT page_id, CASE WHEN format IN ('html', 'mdx') THEN format WHEN ends_with(path, '.mdx') THEN 'mdx' WHEN ends_with(path, '.html') THEN 'html' ELSE '' END AS route FROM f""")
+def routed(spark, sf_dir):
+    i = F.col("page_id")
+    base = F.regexp_extract("url", r"\A(https?://[^/]*)", 1)
+    path = F.concat(X.url_to_path("url", base), F.when(i % 3 == 0, ".mdx").when(i % 3 == 1, ".html").otherwise(""))
+    kind = F.when(i % 4 == 0, "html").when(i % 4 == 1, "mdx").when(i % 4 == 2, "text")
+    return table(spark, sf_dir, "pages").select("page_id", N.route(kind, path).alias("route"))
+
+
+# --- several roots of one source: a path that both have is the second one's
+@query("""WITH a AS (SELECT source, 'd/' || doc_id AS path, text AS content, 'one' AS root FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT source, 'd/' || doc_id AS path, upper(lang) AS content, 'two' AS root FROM documents WHERE doc_id % 2 = 0)
+SELECT source, path, md5(content) AS digest, root FROM (SELECT * FROM b UNION ALL SELECT * FROM a WHERE (source, path) NOT IN (SELECT (source, path) FROM b))""")
+def files_of_roots(spark, sf_dir):
+    from sheaf.operators.catalog import of_roots
+
+    docs, path = table(spark, sf_dir, "documents"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path")
+    one = docs.where("doc_id % 3 <> 0").select("source", path, F.col("text").alias("content"))
+    two = docs.where("doc_id % 2 = 0").select("source", path, F.upper("lang").alias("content"))
+    return of_roots({"one": one, "two": two}).select("source", "path", F.md5(F.col("content").cast("binary")).alias("digest"), "root")
