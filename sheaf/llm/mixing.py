@@ -4,9 +4,9 @@ Every source has a target in words; its documents share it in proportion, so eac
 floor(c) copies are sure; the fractions are rounded together. Two fractional documents play: mass moves
 from one to the other, at random but fair in expectation, until one of them is integral (0 or 1), and the other goes on with the rest.
 Mass is counted in words, so the words taken from a source differ from its target by less than one document.
-Documents of 1 / HEADS of their source or more play first, among themselves; what the last of them gains or
-loses by its own fair draw is moved to all other documents of the source in equal parts of their words (as far as chances
-stay within 0 and 1), so the final difference is that of a short document.
+Long documents play first, among themselves: those of 1 / HEADS[0] of their source or more, then those of 1 / HEADS[1], and so on. What the last of
+such a class gains or loses by its own fair draw is moved to all shorter documents of the source in equal parts of their words. So the final difference
+is that of a document of the last class that a source has (as far as shorter documents hold enough to take what is moved: their chances stay within 0 and 1).
 
 The games form a reduction tree. Documents fall by hash into blocks of about BLOCK per source; each block is folded to
 one residual by an array aggregate; residuals are blocks of the next, 32 times smaller level. The depth is logarithmic and
@@ -27,8 +27,8 @@ from pyspark.sql import Window
 
 from sheaf.llm.common import SEED, WORD, cut, fresh, read
 
-#: HEADS: a document of 1 / HEADS of its source or more is settled first; a source has HEADS of them at most.
-WEIGHTS, MOST, BLOCK, HEADS = (5, 2, 1), 3, 32, 32
+#: HEADS: documents of 1 / HEADS[0] of their source or more are settled first, then those of 1 / HEADS[1], ...; a source has so many of them at most.
+WEIGHTS, MOST, BLOCK, HEADS = (5, 2, 1), 3, 32, (32, 256, 2048)
 
 
 def key_of(source: Column) -> Column:
@@ -107,9 +107,9 @@ def rounded(units: DataFrame, most_units: int, seed: int = SEED, block: int = BL
     return out.select("s", "unit.doc_id", "unit.size", "unit.m", "unit.base", "unit.p")
 
 
-def settle_heads(units: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """units(s, ..., p, source_size) -> (the head documents with p rounded, the others with p shifted by what the heads leave)."""
-    head = F.col("w") * HEADS >= F.col("source_size")
+def settle_heads(units: DataFrame, share: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """units(s, ..., p, source_size) -> (documents of 1 / share of their source or more with p rounded, the others with p shifted by what these leave)."""
+    head = F.col("w") * share >= F.col("source_size")
     pack = F.struct((-F.col("size")).alias("o"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"), "doc_id", "size", "m", "base", "w", "p").cast(UNIT)
     heads = units.where(head).select(F.concat_ws(" ", F.lit("h"), "s").alias("block"), "s", pack.alias("unit"))
     folded = cut(heads.groupBy("block").agg(F.first("s").alias("s"), F.array_sort(F.collect_list("unit")).alias("units")).select("s", fold(seed).alias("f")))
@@ -137,8 +137,13 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     open_ = (F.col("p") > 0) & (F.col("w") > 0)
     sure = rows.where(~open_).select("s", "doc_id", "size", "m", "base", F.lit(0.0).alias("p"))
     most_units = plan.agg(F.max("units")).first()[0] or 0
-    settled, others = settle_heads(rows.where(open_), seed)
-    both = rounded(others, most_units, seed).unionByName(settled).unionByName(sure)
+    others, both = rows.where(open_), sure
+    for share in HEADS:
+        settled, others = settle_heads(others, share, seed)
+        both = both.unionByName(settled)
+    # a shift may have made chances whole
+    whole = F.col("p").isin(0.0, 1.0)
+    both = both.unionByName(others.where(whole).select("s", "doc_id", "size", "m", "base", "p")).unionByName(rounded(others.where(~whole), most_units, seed))
     return both.select("s", "doc_id", "size", "m", (F.col("base") + F.col("p")).cast("long").alias("copies")).join(plan.drop("units"), "s")
 
 
