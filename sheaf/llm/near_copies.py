@@ -130,10 +130,11 @@ def near_parts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id), without null ids; an id's class is the smallest id it is connected with."""
     known = stored(sketches(docs.where("doc_id IS NOT NULL")), "sketches")
-    nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    n = known.count()
+    nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     # an id that comes with several sets joins them
     several = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
     again = known.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     parts = joined(near_parts(docs, nodes), again)
-    classes = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
+    classes = stored(nodes.join(parts, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id")), "classes", n)
+    return join_by(known.select("doc_id", "digest"), classes, ["digest"], "copies", n).select("doc_id", "component_id")

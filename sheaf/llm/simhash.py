@@ -179,15 +179,17 @@ def linker(tau: int, m: int):
 def near_duplicates(docs: DataFrame, tau: int = TAU, m: int = M, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """docs(doc_id, text) -> one row per document: doc_id, fp, component_id."""
     fps = stored(fingerprints(docs, shingle), "simhash")
-    nodes = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    named = fps.where("doc_id IS NOT NULL")
+    n = named.count()
+    nodes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), n)
     # an id that comes with several fingerprints joins them
-    same = fps.where("doc_id IS NOT NULL").distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("lo")).where("n > 1")
-    again = fps.join(same, "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = near_links(nodes, tau, m, group).unionByName(again)
-    parts = connected_components(links)
-    classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    known = fps.join(classes, "fp", "left")
-    return known.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    same = named.distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    again = fps.join(same, "doc_id").join(nodes.drop("n"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    parts = connected_components(near_links(nodes.drop("n"), tau, m, group).unionByName(again))
+    classes = stored(nodes.join(parts, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")), "classes", n)
+    # a fingerprint that very many documents have (none of whose texts has a word, say) meets them where they are
+    known = join_by(named, classes, ["fp"], "n", n).select("doc_id", "fp", "component_id")
+    return known.unionByName(fps.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
