@@ -6,7 +6,8 @@ position may move without missing an occurrence; where the shift is 0, the hash
 end here, and they are compared word by word.
 
 Tables are compiled for blocks of about `BLOCK_WINDOWS` pairs of a window and an item that has it, each broadcast to all tasks: their size is bounded by
-that parameter, however many items share a window, and more pairs mean more passes over the documents, not larger tables.
+that parameter, however many items share a window, and more pairs mean more passes over the documents, not larger tables. Each pass writes what it has
+found, by the text's SHA-256, before the next one's tables are made.
 
 Defined cases: null and empty texts have no words; an item without words has no window; null item ids mark hits but aren't
 listed; repeated items and repeated windows count once per id; repeated documents are each reported.
@@ -19,11 +20,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import ALNUM, cut, read, releasing, text_steps
+from sheaf.llm.common import ALNUM, cut, fresh, marked, read, releasing, stored, text_steps
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -102,53 +103,91 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     pairs = cut(windows_of(items, window).distinct())
     n = pairs.count()
     blocks = max(1, -(-n // block_windows))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<bigint>"), "item_ids": F.array().cast("array<string>")})
+    if blocks == 1:
+        schema = T.StructType([*docs.schema.fields, *FOUND.fields])
+        return docs.mapInArrow(releasing(scanner(tables_of(pairs, 0, 1), schema)), schema)
+    # block after block: what is found is written before the next block's tables are made, so no task ever holds two of them
+    held, parts = fresh(docs, "__digest"), None
     for k in range(blocks):
-        ids_of: dict = defaultdict(list)
-        for row in pairs.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == k).toLocalIterator():
-            ids_of[tuple(bytes(x) for x in row.window)] += [row.item_id] if row.item_id is not None else []
-        by_length: dict = defaultdict(list)
-        for p in ids_of:
-            by_length[len(p)].append(p)
-        tables = spark.sparkContext.broadcast(([WuManber(x) for x in by_length.values()], dict(ids_of)))
-        out = out.mapInArrow(releasing(scanner(tables, schema)), schema)
-    return out
+        tables = tables_of(pairs, k, blocks)
+        found = docs.select("text").mapInArrow(releasing(finder(tables)), "digest binary, hits array<long>, item_ids array<string>")
+        found = stored(found.groupBy("digest").agg(F.first("hits").alias("hits"), F.first("item_ids").alias("item_ids")), "hits")
+        tables.destroy()
+        parts = found if parts is None else parts.unionByName(found)
+    merged = stored(parts.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")), "found")
+    merged = merged.withColumnsRenamed({"digest": held})
+    some, others = marked(docs.withColumn(held, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))), merged, [held])
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("n_words")
+    none = [F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("item_ids")]
+    met = some.join(merged, held, "left").select(*docs.columns, n_words, joined_ranges(F.coalesce("hits", F.array().cast("array<bigint>"))).alias("hits"), F.coalesce("item_ids", none[1]).alias("item_ids"))
+    return met.unionByName(others.select(*docs.columns, n_words, *none))
+
+
+#: A word as a Java pattern, upper case included.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+
+
+def joined_ranges(ends: Column) -> Column:
+    """[first, end, first, end, ...] of ranges in any order -> the same of their union."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(ends) - 2, F.lit(2)), lambda k: F.struct(F.get(ends, k).alias("a"), F.get(ends, k + 1).alias("b"))))
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when((F.size(acc) > 0) & (r["a"] <= last), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.greatest(last, r["b"])))).otherwise(F.concat(acc, F.array(r["a"], r["b"])))
+
+    return F.when(F.size(ends) == 0, ends).otherwise(F.aggregate(pairs, F.array().cast("array<bigint>"), lambda acc, r: F.when(F.size(acc) == 0, F.array(r["a"], r["b"])).otherwise(step(acc, r))))
+
+
+def tables_of(pairs: DataFrame, k: int, blocks: int):
+    """The search tables of block k of pairs(item_id, window), as a broadcast: (machines by length, items of each window)."""
+    ids_of: dict = defaultdict(list)
+    for row in pairs.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == k).toLocalIterator():
+        ids_of[tuple(bytes(x) for x in row.window)] += [row.item_id] if row.item_id is not None else []
+    by_length: dict = defaultdict(list)
+    for p in ids_of:
+        by_length[len(p)].append(p)
+    return pairs.sparkSession.sparkContext.broadcast(([WuManber(x) for x in by_length.values()], dict(ids_of)))
+
+
+def search(text: bytes, machines, ids_of) -> tuple[int, list[int], list[str]]:
+    """(number of words, ends of the ranges of hit words, items found) of a text."""
+    words = words_of(text)
+    spans = [(s, p) for x in machines if len(words) >= x.m for s, p in x.find(words)]
+    if not spans:
+        return len(words), [], []
+    marked_, found = np.zeros(len(words) + 1, np.int8), set()
+    for s, p in spans:
+        marked_[s : s + len(p)] = 1
+        found.update(ids_of[p])
+    edge = np.diff(np.concatenate(([0], marked_)))
+    return len(words), np.sort(np.concatenate((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))).tolist(), sorted(found)
 
 
 def scanner(tables, schema: T.StructType):
-    names = schema.names
-    at = {c: names.index(c) for c in ("text", "n_words", "hits", "item_ids")}
+    """Batches of docs -> the same with FOUND."""
+
+    def scan(batches):
+        machines, ids_of = tables.value
+        for batch in batches:
+            found = [search(text, machines, ids_of) for _, texts in text_steps(batch, "text") for text in texts]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return scan
+
+
+def finder(tables):
+    """Batches of texts -> (digest of the text, hits, item_ids) of those with a hit."""
 
     def scan(batches):
         machines, ids_of = tables.value
         for batch in batches:
-            counts, hits, items = [], [], []
-            before_hits, before_items = batch.column(at["hits"]).to_pylist(), batch.column(at["item_ids"]).to_pylist()
-            row = 0
             for _, texts in text_steps(batch, "text"):
-                for text in texts:
-                    words = words_of(text)
-                    marked, found = np.zeros(0, bool), set(before_items[row])
-                    spans = [(s, p) for x in machines if len(words) >= x.m for s, p in x.find(words)]
-                    if spans or before_hits[row]:
-                        marked = np.zeros(len(words) + 2, np.int8)
-                        for a, b in zip(before_hits[row][::2], before_hits[row][1::2], strict=True):
-                            marked[a:b] = 1
-                        for s, p in spans:
-                            marked[s : s + len(p)] = 1
-                            found.update(ids_of[p])
-                        edge = np.diff(np.concatenate(([0], marked)))
-                        marked = np.sort(np.concatenate((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))))
-                    counts.append(len(words))
-                    hits.append(marked.tolist())
-                    items.append(sorted(found))
-                    row += 1
-            columns = list(batch.columns)
-            columns[at["n_words"]] = pa.array(counts, pa.int64())
-            columns[at["hits"]] = pa.array(hits, pa.list_(pa.int64()))
-            columns[at["item_ids"]] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                found = [(hashlib.sha256(text).digest(), *search(text, machines, ids_of)[1:]) for text in texts]
+                found = [f for f in found if f[1]]
+                columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "hits", "item_ids"])
 
     return scan
 
