@@ -8,7 +8,8 @@ Counter: a transducer over bytes that reads one pre-token from its first state.
 so a transition carries the change of the count: after the last byte the sum is the number of tokens. The tokens of a prefix
 are unique, and a token may follow another one if the two, joined, are encoded as these two. A state
 stands for the suffixes of what was read that may still become tokens and, for each, the count up to there and which of its longer tokens may follow
-what stands before it; suffixes that nothing allowed extends are left out, so most histories meet in few states. States are made when a text first needs them and dropped together when STATES are in use, so memory is bounded.
+what stands before it; suffixes that nothing allowed extends are left out, so most histories meet in few states. States are made when a text first needs them and dropped together when STATES are in use, so memory is bounded. Long pre-tokens are cut into chunks as texts are:
+all of a pre-token's chunks advance together, each from the state that a few bytes before it lead to, and the chunk maps compose.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from sheaf.llm.common import steps
 PIECE = 2 << 20
 #: FEW: up to so many tokens with a common beginning, it is told apart which of them may follow.
 STATES, CHUNK, FEW = 60_000, 256, 100
+#: Pre-tokens of more than LONG bytes are counted in chunks; bytes read before one to guess the state it begins in.
+LONG, LONG_CHUNK, WARM = 4096, 1024, 64
 
 # --- splitter -----------------------------------------------------------------------------------------------------------------
 # classes of code points; letters that can stand in 's 't 're 've 'm 'll 'd are classes of their own
@@ -281,10 +284,20 @@ class Counter:
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token data[start:end]."""
-        out = np.zeros(len(starts), np.int64)
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            out, short = np.zeros(len(starts), np.int64), np.setdiff1d(np.arange(len(starts)), long)
+            out[short] = self.count(data, starts[short], ends[short])
+            out[long] = [self.count_long(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            return out
+        ran = self.run(data, starts, ends, np.zeros(len(starts), np.int32))
+        return self.again(data, starts, ends) if ran is None else ran[0]
+
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(what each of data[start:end] adds to the count, the state after it), from a state for each; all advance together. None if there is no room for new states."""
         order = np.argsort(starts - ends, kind="stable")  # longest first
         at, lengths = starts[order], (ends - starts)[order]
-        totals, state = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        totals, state = np.zeros(len(order), np.int64), states[order].astype(np.int32)
         live = len(order)
         for t in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths[:live], -t, side="left"))
@@ -294,13 +307,43 @@ class Counter:
             if (new := np.flatnonzero(to < 0)).size:
                 missing = np.unique(key[new])
                 if len(self.info) + len(missing) > self.most and len(self.info) > 1:
-                    return self.again(data, starts, ends)
+                    return None
                 for x in missing.tolist():
                     self.make(x >> 8, x & 255)
                 to[new] = self.next.ravel()[key[new]]
             totals[:live] += self.change.ravel()[key]
             state[:live] = to
-        out[order] = totals
+        out, last = np.zeros(len(order), np.int64), np.zeros(len(order), np.int32)
+        out[order], last[order] = totals, state
+        return out, last
+
+    def count_long(self, data: np.ndarray) -> int:
+        """Tokens of one long pre-token, by chunks whose state maps compose.
+
+        A chunk's map is made for the state that WARM bytes before it lead to from the beginning of a pre-token, which nearly always is the true one: then maps
+        compose as they are. Where the state that comes in is another one, the chunk's map is made for that, too.
+        """
+        cuts = np.append(np.arange(0, len(data), LONG_CHUNK), len(data))
+        first = np.zeros(len(cuts) - 1, np.int32)
+        warm = self.run(data, np.maximum(cuts[1:-1] - WARM, 0), cuts[1:-1], first[1:])
+        if warm is not None:
+            first[1:] = warm[1]
+            if (maps := self.run(data, cuts[:-1], cuts[1:], first)) is not None:
+                totals, last = maps
+                for k in range(1, len(first)):
+                    if last[k - 1] == first[k]:
+                        continue
+                    own = self.run(data, cuts[k : k + 1], cuts[k + 1 : k + 2], last[k - 1 : k])
+                    if own is None:
+                        break
+                    totals[k], last[k], first[k] = own[0][0], own[1][0], last[k - 1]
+                else:
+                    return int(totals.sum())
+        # no room for the states: with those of this pre-token alone
+        self.reset()
+        self.most, most = 1 << 62, self.most
+        out = self.count_long(data)
+        self.most = most
         return out
 
     def again(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -141,3 +141,22 @@ def test_sources_of_many_documents_come_within_a_hundredth(spark):
     for s in {r.s for r in found}:
         own = [r for r in found if r.s == s]
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 0.01 * own[0].target, s
+
+
+def test_long_pre_tokens_are_counted_by_chunk_maps(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from sheaf.llm import token_count, transducer
+
+    path = P.path(token_count.VOCABULARY)
+    tok, rng = Tokenizer.from_file(path), random.Random(6)
+    texts = ["a" * 9000, "".join(rng.choice("ab") for _ in range(9001)), "".join("ab"[i.bit_count() & 1] for i in range(1 << 14)), "".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "é" * 5000 + "日本" * 3000, "-=" * 4097 + "!" * 5000]
+    texts += ["the" * 3000 + " " + "xq" * 2500 + " short words", " " * 6000 + "x", "1234567890" * 1000]
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for long, chunk, warm in ((4096, 1024, 64), (16, 7, 0), (16, 50, 3)):
+        monkeypatch.setattr(transducer, "LONG", long)
+        monkeypatch.setattr(transducer, "LONG_CHUNK", chunk)
+        monkeypatch.setattr(transducer, "WARM", warm)
+        c = transducer.Counter(transducer.counter(path).v)
+        assert transducer.count_tokens([t.encode() for t in texts], c).tolist() == want
+        assert transducer.count_tokens([t.encode() for t in texts], transducer.Counter(c.v, most=300)).tolist() == want
