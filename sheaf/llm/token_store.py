@@ -232,6 +232,35 @@ def blocks_of(batch: pa.RecordBatch):
         yield row, rans.Block(sum(row["lengths"]), row["lanes"], row["words"], list(zip(row["places"], row["states"], strict=True)), row["checksum"])
 
 
+def sections(block: rans.Block, table: rans.Table):
+    """The ids of a block, from checkpoint to checkpoint: each section is decoded on its own."""
+    for k in range(len(block.checkpoints)):
+        yield rans.decode(block, table, k, k + 1).astype("<u4")
+
+
+def checksums(parts, lengths: list[int], whole: int, kept: list | None = None) -> list[int]:
+    """crc32 of the ids of each document of a block, of which parts come one by one; an error if the block's own isn't `whole`."""
+    out, crc, total, k, left = [], 0, 0, 0, lengths[0] if lengths else 0
+    for ids in parts:
+        if kept is not None:
+            kept.append(ids.astype(np.int64))
+        raw, at = memoryview(ids.tobytes()), 0
+        total = zlib.crc32(raw, total)
+        while k < len(lengths) and (left <= (len(raw) - at) // 4):
+            crc = zlib.crc32(raw[at : at + 4 * left], crc)
+            at += 4 * left
+            out.append(crc)
+            k, crc = k + 1, 0
+            left = lengths[k] if k < len(lengths) else 0
+        if at < len(raw):
+            crc = zlib.crc32(raw[at:], crc)
+            left -= (len(raw) - at) // 4
+    out += [0] * (len(lengths) - len(out))  # documents without ids at the end
+    if total != whole:
+        raise ValueError("checksum of a block of ids doesn't match")
+    return out
+
+
 def write_corpus(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = END_ID) -> rans.Table:
     """Encode docs(doc_id, text) with the tokenizer file and write the block files to path. -> the shared frequency table"""
     spark = docs.sparkSession
@@ -264,14 +293,14 @@ def read_corpus(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         table = shared.value
         for batch in batches:
             for row, block in blocks_of(batch):
-                ids = rans.decode(block, table).astype("<u4")
+                kept = [] if with_ids else None
+                crc = checksums(sections(block, table), row["lengths"], block.checksum, kept)
                 n = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(n)
-                raw = memoryview(ids.tobytes())
-                crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 out = [pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * len(n), pa.int64()), pa.array(row["offset"] + ends - n), pa.array(n), pa.array(crc, pa.int64())]
                 if with_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int64))))
+                    ids = np.concatenate([np.zeros(0, np.int64), *kept])
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["doc_id", "part", "within", "n_tokens", "ids_crc32"] + ["ids"] * with_ids

@@ -160,3 +160,21 @@ def test_long_pre_tokens_are_counted_by_chunk_maps(monkeypatch):
         c = transducer.Counter(transducer.counter(path).v)
         assert transducer.count_tokens([t.encode() for t in texts], c).tolist() == want
         assert transducer.count_tokens([t.encode() for t in texts], transducer.Counter(c.v, most=300)).tolist() == want
+
+
+def test_blocks_are_read_from_checkpoint_to_checkpoint(monkeypatch):
+    from sheaf.llm import rans, token_store
+
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(rans, "CHECK", 4)
+    for lengths in ([0, 5000, 1, 0, 0, 700, 3, 0], [1], [0], [], [9000], [64] * 100):
+        ids = rng.zipf(1.4, sum(lengths)).clip(1, 499).astype(np.uint32)
+        table = rans.Table.of(np.bincount(ids, minlength=500) + 1)
+        block = rans.encode(ids, table)
+        kept = []
+        got = token_store.checksums(token_store.sections(block, table), lengths, block.checksum, kept)
+        ends = np.cumsum(lengths).astype(int)
+        assert got == [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
+        assert np.array_equal(np.concatenate([np.zeros(0, np.int64), *kept]), ids) and (len(ids) < 5000 or len(kept) > 3)
+        with pytest.raises(ValueError):
+            token_store.checksums(token_store.sections(block, table), lengths, block.checksum ^ 1)
