@@ -31,8 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     bounded_batches(spark)
-    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    new = ("n_words", "hits", "item_ids")
+    held = {c: fresh(docs, f"__{c}") for c in docs.columns if c.lower() in new}
+    found = decontaminate.decontaminate(docs.withColumnsRenamed(held), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.where(F.size("hits") == 0).drop(*new).withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
