@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,15 +80,17 @@ def read_spec(raw: str) -> str | None:
         return None
 
 
-@F.pandas_udf(T.StringType())
-def spec_json(raw: pd.Series) -> pd.Series:
-    return raw.map(read_spec, na_action="ignore").astype("object")
+@F.arrow_udf(T.StringType())
+def spec_json(raw: pa.Array) -> pa.Array:
+    # one specification at a time: batches of large ones stay as they are in memory
+    return pa.array((read_spec(x.as_py()) if x.is_valid else None for x in raw), pa.string(), size=len(raw))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def schema_types(schemas: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def schema_types(schemas: pa.Array) -> pa.Array:
     """The type names of an array of schemas; null where there is none."""
-    return schemas.map(lambda row: [None if s is None else type_name(json.loads(s)) for s in row], na_action="ignore").astype("object")
+    named = ([None if s is None else type_name(json.loads(s)) for s in row.as_py()] if row.is_valid else None for row in schemas)
+    return pa.array(named, pa.list_(pa.string()), size=len(schemas))
 
 
 def json_schema(content: Column) -> Column:
@@ -215,16 +217,19 @@ def api_operations(specs: DataFrame) -> DataFrame:
 def api_pages(specs: DataFrame) -> DataFrame:
     """specs(source, raw) -> files(source, path, content): api/overview.md with the groups of endpoints, and api/<tag>.md for each group."""
     rows = api_operations(specs).select("source", "info", "old", "path_at", "method_at", "block", F.posexplode("tags").alias("tag_at", "tag"))
-    blocks = F.array_sort(F.collect_list(F.struct("path_at", "method_at", "tag_at", "block")))
-    tags = rows.groupBy("source", "tag").agg(blocks.alias("blocks"))
-    pages = tags.select("source", F.concat(F.lit("api/"), "tag", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "tag", F.lit("\n\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n")).alias("content"))
-    counts = rows.groupBy("source", "tag").agg(F.count("*").alias("n"), F.min(F.struct("path_at", "method_at", "tag_at")).alias("at"), F.first("info").alias("info"), F.first("old").alias("old"))
-    entry = F.struct("at", F.format_string("- **%s** — %d endpoints", "tag", "n").alias("line"))
-    heads = counts.groupBy("source").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.first("info").alias("info"), F.first("old").alias("old"))
+    # a specification's pages come together, as the specification did
+    at = F.struct("path_at", "method_at", "tag_at")
+    tags = rows.groupBy("source", "tag").agg(F.array_sort(F.collect_list(F.struct("path_at", "method_at", "tag_at", "block"))).alias("blocks"), F.min(at).alias("at"), F.first("info").alias("info"), F.first("old").alias("old"))
+    content = F.concat(F.lit("# "), "tag", F.lit("\n\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n"))
+    group = F.struct("at", "tag", F.size("blocks").alias("n"), content.alias("content"))
+    per = tags.groupBy("source").agg(F.array_sort(F.collect_list(group)).alias("groups"), F.first("info").alias("info"), F.first("old").alias("old"))
     version = F.format_string("\nVersion: %s (%s)\n\n## Endpoint Groups\n", F.coalesce("info.version", F.lit("unknown")), F.when(F.col("old"), "Swagger 2.0").otherwise("OpenAPI 3.x"))
     about = F.when(F.col("info.description") != "", F.concat(F.lit("\n"), F.col("info.description")))
-    overview = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("info.title", F.lit("API Reference"))), about, version, F.array_join(F.transform("entries", lambda x: x["line"]), "\n"))
-    return heads.select("source", F.lit("api/overview.md").alias("path"), overview.alias("content")).unionByName(pages)
+    entries = F.transform("groups", lambda g: F.concat(F.lit("- **"), g["tag"], F.lit("** — "), g["n"].cast("string"), F.lit(" endpoints")))
+    overview = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("info.title", F.lit("API Reference"))), about, version, F.array_join(entries, "\n"))
+    page = lambda g: F.struct(F.concat(F.lit("api/"), g["tag"], F.lit(".md")).alias("path"), g["content"].alias("content"))
+    files = F.concat(F.array(F.struct(F.lit("api/overview.md").alias("path"), overview.alias("content"))), F.transform("groups", page))
+    return per.select("source", F.inline(files))
 
 
 def latest(specs: DataFrame) -> DataFrame:
