@@ -50,11 +50,11 @@ def test_mdx(spark):
 
 
 def test_html(spark):
-    page = "<html><head><title>Guide | Site</title></head><body><nav>no</nav><main id=m><h2>A</h2><p>x <b>y</b> &amp; z<ul><li>i</ul><pre>p  q</pre></main><footer>no</footer></body></html>"
-    assert one(spark, N.convert_html("t"), t=page) == "# Guide\n\n## A\n\nx **y** & z\n\n- i\n\n```\np  q\n```"
+    page = "<html><head><title>Guide | Site</title></head><body><nav>no</nav><main id=m><h2>A</h2><p>x <b>y</b> &amp; z<ul><li>i</ul><pre><code>p  q</code></pre></main><footer>no</footer></body></html>"
+    assert one(spark, N.convert_html("t"), t=page) == "# Guide\n\n## A\n\nx **y** & z\n\n-   i\n\n```\np  q\n```"
     assert one(spark, N.html_title("t"), t="<title>Self-hosted - Site</title>") == "Self-hosted"
     assert one(spark, N.convert_html("t"), t="<script>" + "x" * 2000 + "</script>") is None
-    assert markdown("<ol><li>a<ul><li>b</ul><li>c</ol>") == "1. a\n    - b\n2. c"
+    assert markdown("<ol><li>a<ul><li>b</ul><li>c</ol>") == "1.  a\n    -   b\n2.  c"
 
 
 def test_cleaner(spark):
@@ -222,3 +222,29 @@ def test_traces_hold_for_every_pattern(spark):
     rows = df.select(N.clean_markdown("t").alias("a"), N.trim(N.collapse_blank(whole)).alias("b"), "t").collect()
     assert [r.t for r in rows if r.a != r.b] == []
     assert all(any(df.where(F.col("t").rlike(trace) & F.col("t").rlike(p)).count() for trace in N.TRACES) for p in (*N.BOILERPLATE, *N.SITE_CHROME))
+
+
+def test_pages_as_markdown():
+    cases = {
+        "<pre><code class='x language-sql'>SELECT 1;\n\n  x\n</code></pre>": "```sql\nSELECT 1;\n\n  x\n```", "<pre><code>a\n```\nb</code></pre>": "````\na\n```\nb\n````",
+        "<p>a <b> b </b>c<i>d</i></p><p>x<br>y</p><hr>": "a **b** c_d_\n\nx  \ny\n\n* * *", "<blockquote><p>q</p><p>r</p></blockquote>": "> q\n> \n> r", "<h3>A <code>b`c</code></h3>": "### A ``b`c``",
+        "<ul><li><p>one</p></li><li>two <a href='/u(1)' title='t\"q'>l</a></li></ul>": '-   one\n-   two [l](/u\\(1\\) "t\\"q")', "<ol start='3'><li>x</li>\n<li>y</li></ol>": "3.  x\n4.  y",
+        "<p>1. x_y *z* [k] \\</p><p># no</p><p>- d</p>": "1\\. x\\_y \\*z\\* \\[k\\] \\\\\n\n\\# no\n\n\\- d", "<table><tr><th>A<td>B<tr><td>C</table>": "A\n\nB\n\nC", "<p>one<p>two<div>three": "one\n\ntwo\n\nthree",
+        "<p>  a\n b  <span> c </span>  d</p>": "a b c d", "<em> </em><p></p><a></a>": "", "<img src='s' alt='a' title='t'><img>": '![a](s "t")', "&lt;b&gt; &amp; &eacute;": "<b> & é", "<p>a</b></p></div>b": "a\n\nb", "": "", "plain": "plain",
+    }
+    for html, want in cases.items():
+        assert markdown(html) == want, html
+    assert markdown("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep" and markdown("<ul><li>" * 100 + "x").endswith("x")
+
+
+def test_normalised_pages(spark):
+    """What the normaliser makes of whole pages: noise and site names go, the main part stays, titles aren't repeated."""
+    shell = "<!DOCTYPE html><html><body><div hidden></div><script>" + "x" * 1300 + "</script></body></html>"
+    cases = {
+        "<nav><a href='/'>Home</a></nav><main><h1>Content</h1></main><script>alert(1)</script>": "# Content", "<header><h1>Site</h1></header><main><h2>Real</h2><p>Body.</p></main><footer>(c)</footer>": "## Real\n\nBody.",
+        "<style>.red { color: red; }</style><h1>Styled</h1>": "# Styled", "<nav>N</nav><article><h1>Only</h1><p>C.</p></article><footer>F</footer>": "# Only\n\nC.", "<main class='c' id='m'><h1>Main</h1></main>": "# Main",
+        "<html><head><title>Replication | wiki</title></head><body><p>About it.</p></body></html>": "# Replication\n\nAbout it.", "<html><head><title>Guide</title></head><body><h1>Guide</h1><p>C.</p></body></html>": "# Guide\n\nC.",
+        "<title>Self-hosted - Site</title>": "# Self-hosted\n\nSelf-hosted - Site", shell: None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", N.convert_html("t").alias("m")).collect()
+    assert {r.i: r.m for r in rows} == dict(enumerate(cases.values()))
