@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,23 @@ def invalid_sources(sources: DataFrame) -> DataFrame:
     return sources.select("name", found.alias("problems")).where(F.size("problems") > 0)
 
 
+#: The catalogue: how each source is found, what is taken of it, and its tags.
+CATALOGUE = "name string, type string, format string, url string, paths array<string>, urls array<string>, root_path string, discovery string, discovery_url string, url_pattern string, url_exclude string, url_suffix string, tags array<string>, description string"
+
+
+def load_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A catalogue written as JSON (a list, or an object on each line) -> (its valid sources, those with problems: name, problems).
+
+    Missing lists are empty, a missing type is `http`, one of discovery `none` where there are no URLs of its own. Entries that are no objects have no name and are told as such.
+    """
+    raw = spark.read.schema(CATALOGUE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    none = F.array().cast("array<string>")
+    rows = raw.withColumns({c: F.coalesce(c, none) for c in ("paths", "urls", "tags")} | {"type": F.coalesce("type", F.lit("http"))})
+    rows = rows.withColumn("discovery", F.coalesce("discovery", F.when(F.size("urls") == 0, "none")))
+    problems = invalid_sources(rows)
+    return rows.join(problems.select(F.col("name").alias("__bad")).distinct(), F.col("name").eqNullSafe(F.col("__bad")), "left_anti"), problems
+
+
 def invalid_files(files: DataFrame) -> DataFrame:
     """Files whose path is blank or begins with a slash."""
     return files.where((F.trim(F.coalesce("path", F.lit(""))) == "") | F.col("path").startswith("/"))

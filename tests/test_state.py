@@ -83,3 +83,20 @@ def test_roots_and_versions(spark):
     assert sorted((r.source, r.path, str(r.content), r.root) for r in got) == [("s", "p", "4", "y"), ("s", "p", "5", "y"), ("s", "q", "2", "x"), ("t", "p", "3", "x"), ("u", "p", "None", "z")]
     specs = spark.createDataFrame([("a", "1", "x"), ("a", "2", "z"), ("a", "2", "y"), ("a", None, "w"), ("b", None, "2"), ("b", None, "1"), (None, "1", "n")], "service string, version string, path string")
     assert sorted(map(str, map(tuple, catalog.latest_versions(specs).collect()))) == sorted(map(str, [("a", "2", "y"), ("b", None, "1"), (None, "1", "n")]))
+
+
+def test_a_catalogue_is_loaded_with_its_types(spark, tmp_path):
+    import json
+
+    rows = [{"name": "a", "type": "git", "url": "https://a", "paths": ["docs"], "tags": ["x"]}, {"name": "b", "url": "https://b", "urls": ["https://b/1"]}, {"name": "c", "url": " "}, {"name": "d", "url": "https://d", "type": "ftp"}, {"name": "e", "url": "u"}, {"name": "e", "url": "v"}, {"url": "https://n"}]
+    for k, text in enumerate((json.dumps(rows), "\n".join(map(json.dumps, rows)))):
+        (tmp_path / str(k)).mkdir()
+        path = tmp_path / str(k) / "sources.json"
+        path.write_text(text)
+        if k:  # an object on each line
+            [(tmp_path / str(k) / f"{i}.json").write_text(json.dumps(r)) for i, r in enumerate(rows)]
+            path.unlink()
+        sources, problems = catalog.load_sources(spark, str(tmp_path / str(k)))
+        found = {r.name: (r.type, r.paths, r.urls, r.discovery) for r in sources.collect()}
+        assert found == {"a": ("git", ["docs"], [], "none"), "b": ("http", [], ["https://b/1"], None)}
+        assert sorted((str(r.name), tuple(r.problems)) for r in problems.collect()) == [("None", ("blank name",)), ("c", ("blank url",)), ("d", ("unknown type",)), ("e", ("name is taken",)), ("e", ("name is taken",))]
