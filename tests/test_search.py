@@ -133,3 +133,43 @@ def test_search_evaluates_the_index_once(spark):
     assert [r.path for r in found.collect()] == sorted(f"s/{i}.md" for i in range(40))[:15] and {r.total for r in found.collect()} == {40}
     files = spark.createDataFrame([("s", "s/1.md", "needle", 1)], SHAPE)
     assert {r.via for r in retrieve.search(index, files, "title 3").collect()} == {"index"} and [r.via for r in retrieve.search(index, files, "needle").collect()] == ["content"]
+
+
+def holds(formula, grams):
+    if not isinstance(formula, tuple):
+        return formula in grams
+    return (all if formula[0] == "and" else any)(holds(p, grams) for p in formula[1])
+
+
+def random_pattern(rng, depth=3):
+    """A pattern of literals, classes, groups, alternatives and repeats, and a text that it matches."""
+    kind = rng.random()
+    if depth == 0 or kind < 0.35:
+        word = "".join(rng.choice("abcdéK") for _ in range(rng.randrange(1, 6)))
+        return word, word.swapcase() if rng.random() < 0.3 else word
+    if kind < 0.45:
+        return rng.choice([("[a-c]", "b"), ("[^x]", "y"), (".", "z"), ("[aé]", "É"), (r"\w", "q"), (r"\d+", "42"), ("[a-z0-9]", "k"), (r"\x61", "A"), (r"\b", "")])
+    if kind < 0.65:
+        ways = [random_pattern(rng, depth - 1) for _ in range(rng.randrange(2, 4))]
+        return "(" + "|".join(p for p, _ in ways) + ")", rng.choice(ways)[1]
+    if kind < 0.8:
+        p, t = random_pattern(rng, depth - 1)
+        low, high, sign = rng.choice([(0, 1, "?"), (0, 3, "*"), (1, 3, "+"), (2, 3, "{2,3}"), (0, 2, "{0,2}"), (1, 1, "{1}")])
+        return f"(?:{p}){sign}", t * rng.randrange(low, high + 1)
+    parts = [random_pattern(rng, depth - 1) for _ in range(rng.randrange(2, 4))]
+    return "".join(p for p, _ in parts), "".join(t for _, t in parts)
+
+
+def test_required_trigrams_hold_wherever_a_pattern_matches():
+    import re
+
+    rng, asked = random.Random(8), 0
+    for _ in range(6000):
+        pattern, text = random_pattern(rng)
+        around = "".join(rng.choice("abx ") for _ in range(3))
+        line = around + text + around
+        if re.search(pattern, line, re.IGNORECASE):
+            formula = trigram.required(pattern)
+            asked += formula != trigram.ANY
+            assert holds(formula, set(trigram.grams_of(line).tolist())), (pattern, line, formula)
+    assert asked > 1500
