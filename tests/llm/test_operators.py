@@ -400,10 +400,20 @@ def test_held_out_languages(spark, sf, least):
 
 
 # --- the queries and the pipeline
+CONTRACT = {
+    1: "page_id", 2: "doc_id held_out score predicted", 3: "doc_id n_bytes n_tokens over_limit", 4: "query_id rank vec_id score", 5: "doc_id n_words n_hit n_items items_sha256 contaminated", 6: "doc_id n_words n_removed kept_sha256",
+    7: "doc_id start n_tokens ids_crc32", 8: "doc_id fingerprint component_id", 9: "doc_id size source_size target taken", 10: "doc_id held_out lang_pred score", 11: "vec_id component n deviation whitened explained identity_error",
+    12: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", 13: "doc_id n_shingles component_id kept",
+}
+
+
 def test_contract_columns(spark):
+    rows = lambda table: spark.read.parquet(f"{SF}/{table}.parquet")
+    expected = {1: rows("pages").count(), 4: 10 * 5, 11: rows("embeddings").count() * 16, 12: rows("conversations").select("conv_id").distinct().count()}
     for name, f in QUERIES.items():
-        df = f(spark, SF)
-        assert df.count() == (10 * 5 if name.startswith("op4") else spark.read.parquet(f"{SF}/{'pages' if name.startswith('op1_') else 'documents'}.parquet").count()), name
+        df, n = f(spark, SF), int(re.match(r"op(\d+)_", name)[1])
+        assert set(CONTRACT[n].split()) <= set(df.columns), name
+        assert df.count() == expected.get(n, rows("documents").count()), name
 
 
 def test_pipeline(spark, tricky, tmp_path):
