@@ -26,7 +26,7 @@ BLOCK_BYTES = 64 << 20
 #: Strings that a part of a pattern may stand for before it is cut; trigrams asked for at once; files of candidates that are joined by broadcast.
 MOST_STRINGS, MOST_GRAMS, MOST_FILES = 64, 24, 1 << 20
 #: Entries of postings that a task holds.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Syntax that Java and Python read differently, or that changes what follows.
 DIFFERENT = re.compile(r"&&|\[[^\]]*\[|\\0|\\N|\\v|\(\?[a-zA-Z]*x|\\Q|\\h|\\k")
 
@@ -264,9 +264,13 @@ def postings(texts: DataFrame) -> DataFrame:
     """texts(block, place, content) -> gram, block, places: what a task has of each trigram, HELD entries at a time."""
 
     def given(held):
-        gram, block, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((place, block, gram))
-        gram, block, place = gram[order], block[order], place[order]
+        gram = np.concatenate([own for own, _, _ in held])
+        sizes = [len(own) for own, _, _ in held]
+        # texts come in order of block and place, which a stable sort keeps
+        order = np.argsort(gram, kind="stable")
+        gram = gram[order]
+        block = np.repeat(np.array([b for _, b, _ in held], np.int32), sizes)[order]
+        place = np.repeat(np.array([p for _, _, p in held], np.int64), sizes)[order]
         edge = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1]))))
         for a in range(0, len(edge), 1 << 14):
             own = edge[a : a + (1 << 14)]
@@ -277,14 +281,15 @@ def postings(texts: DataFrame) -> DataFrame:
     def scan(batches):
         held, size = [], 0
         for batch in batches:
-            for block, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = grams_of(text or "")
-                held.append((own, np.full(len(own), block, np.int32), np.full(len(own), place, np.int64)))
-                size += len(own)
+            for block, place, text in zip(*batch.columns, strict=True):
+                own = grams_of(text.as_py() or "")
+                if len(own):
+                    held.append((own, block.as_py(), place.as_py()))
+                    size += len(own)
                 if size > HELD:
                     yield from given(held)
                     held, size = [], 0
-        if size:
+        if held:
             yield from given(held)
 
     return texts.select("block", "place", "content").mapInArrow(scan, GRAMS)
