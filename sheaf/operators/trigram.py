@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 64 << 20
 #: Strings that a part of a pattern may stand for before it is cut; trigrams asked for at once; files of candidates that are joined by broadcast.
 MOST_STRINGS, MOST_GRAMS, MOST_FILES = 64, 24, 1 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 #: Entries of postings that a task holds.
 HELD = 1 << 20
 #: Syntax that Java and Python read differently, or that changes what follows.
@@ -255,8 +256,13 @@ def write_store(files: DataFrame, root: str, block_bytes: int = BLOCK_BYTES) ->
     store = TextStore(spark, root)
     texts = store.texts()
     texts.groupBy("block").agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n_bytes")).write.mode("overwrite").parquet(f"{root}/blocks")
-    grams = postings(texts)
-    grams.repartitionByRange("gram").sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(f"{root}/grams")
+    # texts are handed to Python workers a few MB at a time; the session's own setting comes back
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        postings(texts).repartitionByRange("gram").sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(f"{root}/grams")
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return store
 
 
