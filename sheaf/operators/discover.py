@@ -117,16 +117,17 @@ def mediawiki(responses: DataFrame, base_url: str) -> DataFrame:
 
 
 def llms_txt(responses: DataFrame) -> DataFrame:
-    """Absolute URLs, then markdown links made absolute; not the list itself nor other lists."""
+    """Absolute URLs, then markdown links made absolute; not the list itself nor other lists, which take no place where their URLs are absolute."""
+    full = F.filter(every(ABSOLUTE), lambda u: ~u.rlike(LLMS_FILE) & (u != F.col("url")))
     relative = F.filter(every(MARKDOWN_LINK), lambda u: ~u.rlike(r"\A(?i)(?:https?:|mailto:|#)"))
-    found = exploded(responses, F.array_distinct(F.concat(every(ABSOLUTE), relative)))
+    found = exploded(responses, F.concat(full, relative))
     found = found.withColumn("url", absolute(F.col("url"), F.col("base"))).where("url IS NOT NULL")
     return ordered_distinct(found.where(~F.col("url").rlike(LLMS_FILE) & (F.col("url") != F.col("base"))).select("source", "url", "ord"))
 
 
 def llms_index(responses: DataFrame, url_pattern: str = "") -> DataFrame:
     """Child lists of a list of lists, those with a keyword of the pattern if it has keywords (there is no falling back to all)."""
-    found = exploded(responses, F.array_distinct(every(ABSOLUTE)))
+    found = exploded(responses, every(ABSOLUTE))
     found = found.where(F.col("url").endswith("/llms.txt") & (F.col("url") != F.col("base")))
     words = keywords_of(url_pattern)
     return ordered_distinct((found.where(has_keyword(F.col("url"), words)) if words else found).select("source", "url", "ord"))

@@ -251,9 +251,7 @@ def llms_links(spark, sf_dir):
     rows = listed(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u"))
     line = lambda x, i: F.concat(F.lit("- [t]("), x["url"], F.lit("): about\n- [r](/rel/"), i.cast("string"), F.lit(".md)"))
     body = F.concat(F.array_join(F.transform("u", line), "\n"), F.lit("\n[full](https://h.example/llms-full.txt) [self](https://h.example/llms.txt)"))
-    found = discover.discover("llms-txt", rows.select("source", F.lit("https://h.example/llms.txt").alias("url"), body.alias("body")))
-    order = F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1
-    return found.withColumn("ord", order)
+    return discover.discover("llms-txt", rows.select("source", F.lit("https://h.example/llms.txt").alias("url"), body.alias("body")))
 
 
 @query(f"SELECT source, 'https://' || regexp_extract(url, '://([^/]*)', 1) || '/' || lower(regexp_extract(url, '/([a-z]+)/', 1)) || '/llms.txt' AS url, CAST(min(ord) AS INTEGER) AS ord FROM ({FIRST}) WHERE regexp_matches(url, '/(en|de)/') GROUP BY ALL")

@@ -110,6 +110,27 @@ def test_discovery(spark):
     assert urls(discover.discover("unknown", kids)) == []
 
 
+def test_repeated_links_keep_their_first_places(spark):
+    body = "https://h/a.md https://h/llms.txt https://h/a.md https://h/b.md [r](/r.md) [r](/r.md) [s](/s.md)"
+    found = {r.url: r.ord for r in discover.llms_txt(responses(spark, body, "https://h/llms.txt")).collect()}
+    assert found == {"https://h/a.md": 0, "https://h/b.md": 2, "https://h/r.md": 3, "https://h/s.md": 5}
+    lists = responses(spark, "https://a/x/llms.txt https://a/x/llms.txt https://a/y/llms.txt", "https://a/llms.txt")
+    assert {r.url: r.ord for r in discover.llms_index(lists).collect()} == {"https://a/x/llms.txt": 0, "https://a/y/llms.txt": 2}
+
+
+def test_llms_links_with_repeated_urls_are_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from sheaf.plans.document_queries import QUERIES, SQL
+
+    rows = [(i, f"https://h{i % 2}.example/en/{i // 2 % 7}") for i in range(230)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(map(tuple, QUERIES["llms_links"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert found == sorted(con.execute(SQL["llms_links"]).fetchall())
+
+
 def test_plan_urls(spark):
     rows = spark.createDataFrame([("s", u, i) for i, u in enumerate(["https://h/a/", "https://h/a", "https://h/blog/b", "https://o/c"])], "source string, url string, ord int")
     assert urls(discover.plan_urls(rows, "https://h/", "blog", ".md")) == ["https://h/a.md"]
