@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.operators.trigram import BATCH_BYTES, BATCH_SETTING
+
 FRONTMATTER = """CASE
  WHEN doc_id % 40 = 10 THEN concat('---', chr(10), 'title: Never closed ', CAST(doc_id AS STRING), chr(10))
  WHEN doc_id % 40 = 25 THEN concat('---', chr(10), 'title: Cut ', CAST(doc_id AS STRING), chr(10), '## Early ', lang, chr(10))
@@ -28,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python workers batches of BATCH_BYTES, where the session has Spark's own default of 64 MB. The setting stays, as the plans that queries return run later."""
+    if spark.conf.get(BATCH_SETTING).rstrip("bB") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("source", F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"), F.col("doc_id").alias("ord"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import normalise as N
 from sheaf.functions import text as X
 from sheaf.operators import discover, split
-from sheaf.plans.corpus import FILES, files, page_files, table
+from sheaf.plans.corpus import FILES, bounded_batches, files, page_files, table
 
 QUERIES, SQL = {}, {}
 
@@ -59,6 +59,7 @@ def html_main(spark, sf_dir):
 
 @query()
 def html_to_markdown(spark, sf_dir):
+    bounded_batches(spark)
     return table(spark, sf_dir, "pages").select("page_id", N.convert_html("html").alias("content"))
 
 
@@ -71,6 +72,7 @@ def safety_guard(spark, sf_dir):
 
 @query()
 def normalise_pages(spark, sf_dir):
+    bounded_batches(spark)
     return N.normalise(page_files(spark, sf_dir))
 
 

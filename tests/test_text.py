@@ -131,6 +131,22 @@ def test_llms_links_with_repeated_urls_are_as_in_sql(spark, tmp_path):
         assert found == sorted(con.execute(SQL["llms_links"]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["html_to_markdown", "normalise_pages"])
+def test_pages_reach_the_converter_a_few_mb_at_a_time(spark, tmp_path, name):
+    from sheaf.plans.document_queries import QUERIES
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.createDataFrame([(1, "https://h/en/1", "<p>a</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    try:
+        for given, used in ((64 << 20, 2 << 20), (1 << 20, 1 << 20)):
+            spark.conf.set(setting, str(given))
+            rows = QUERIES[name](spark, str(tmp_path))
+            assert [r.content for r in rows.collect()] == ["a"] and int(spark.conf.get(setting).rstrip("bB")) == used
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_plan_urls(spark):
     rows = spark.createDataFrame([("s", u, i) for i, u in enumerate(["https://h/a/", "https://h/a", "https://h/blog/b", "https://o/c"])], "source string, url string, ord int")
     assert urls(discover.plan_urls(rows, "https://h/", "blog", ".md")) == ["https://h/a.md"]
