@@ -37,7 +37,7 @@ BEYOND = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(
 LATIN = f"A-Za-z{BEYOND}"
 UNUSUAL = re.compile(f"[^\\x00-\\x7f{LATIN}]")
 #: The pre-tokens of PLAIN_SPLIT in lower-cased text of such letters and ASCII.
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\t-\\r 0-9{LATIN}]+|\\n")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\t-\\r 0-9{LATIN}]+")
 #: The settings of the vocabulary file that the pre-tokens above follow from.
 PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
@@ -46,6 +46,11 @@ PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
 PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
+#: How the library's byte-level models spell bytes, by their number: printable ones of Latin-1 as themselves, the others by the letters from U+0100 on.
+OWN_LETTERS = frozenset((*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)))
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in OWN_LETTERS)}
+
+
 @functools.cache
 def library(path: str):
     import os
@@ -56,87 +61,61 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-class Recent:
-    """What is known of the keys asked for lately: when half of `most` are new, those not asked for since the last such time go."""
+class Recent(dict):
+    """Keys -> make(key), kept for the keys asked for lately: when half of `most` are held, those not asked for since the last such turn go."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.before, self.half = make, {}, most // 2
 
-    def __init__(self, most: int):
-        self.now, self.before, self.half = {}, {}, most // 2
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
-    def missing(self, keys: set) -> set:
-        """Those of keys that aren't known; the others are in `now`, where the values of the missing ones belong too."""
-        new = keys.difference(self.now)
-        if len(self.now) + len(new) > self.half:
-            self.before, self.now, new = self.now, {}, keys
-        if self.before:
-            find = self.before.get
-            again = {k: v for k in new if (v := find(k)) is not None}
-            self.now.update(again)
-            new = new.difference(again)
-        return new
+    def turn(self) -> None:
+        """To be called between lookups."""
+        if len(self) > self.half:
+            self.before = dict(self)
+            self.clear()
 
 
 class Pieces:
     """Words between white space -> their ids, as bytes of the array type `kind`.
 
     Words that aren't known and have only ASCII and Latin letters are lower-cased and cut into the vocabulary's own pre-tokens, of which few are different;
-    the library encodes each one that isn't known, and any other word as it is.
+    the library's model encodes each one that isn't known, and the library any other word as it is.
     """
 
     def __init__(self, path: str, kind: str, most: int = CACHE):
         self.library, self.kind = library(path), kind
+        self.tokenize = self.library.model.tokenize
         settings = json.load(open(path, encoding="utf-8"))
         self.plain = settings["pre_tokenizer"] == PLAIN_SPLIT and settings["normalizer"] == PLAIN_NORMALIZER
-        #: stands for the line breaks between words; no id is so large
-        self.mark = array(kind, [(1 << 8 * array(kind).itemsize) - 1]).tobytes()
-        self.words, self.parts = Recent(most), Recent(most // 2)
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(texts), 4096):
-            out += [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
-        return out
+        self.words, self.parts = Recent(self.word, most), Recent(self.part, most // 2)
 
-    def by_library_joined(self, parts: list[str]) -> list[bytes]:
-        """Like by_library for pre-tokens of letters or of marks: many in one text with a digit, a pre-token and a token of its own, between them."""
-        digit = self.by_library(["0"])[0]
-        if len(digit) != len(self.mark) or any(p.isdigit() for p in parts):
-            return self.by_library(parts)
-        width, out = len(digit), []
-        for e in self.library.encode_batch_fast(["0".join(parts[a : a + 1024]) for a in range(0, len(parts), 1024)], add_special_tokens=False):
-            ids = array(self.kind, e.ids).tobytes()
-            at = (np.flatnonzero(np.frombuffer(ids, f"u{width}") == np.frombuffer(digit, f"u{width}")[0]) * width).tolist()
-            out += [ids[a:b] for a, b in zip([0, *(e + width for e in at)], [*at, len(ids)], strict=True)]
-        return out
+    def part(self, part: str) -> bytes:
+        """The ids of a pre-token of PLAIN_SPLIT, which goes to the model as it is, spelled in BYTE_LETTERS."""
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.kind, [t.id for t in self.tokenize(part)]).tobytes()
 
-    def add(self, new: list[bytes]) -> None:
-        joined = b"\n".join(new).decode()
-        if not self.plain or "<|" in joined or UNUSUAL.search(joined):
-            odd = [w for w in new if not self.plain or b"<|" in w or UNUSUAL.search(w.decode())]
-            self.words.now.update(zip(odd, self.by_library([w.decode() for w in odd]), strict=True))
-            new = list(set(new).difference(odd))
-            joined = b"\n".join(new).decode()
-        if not new:
-            return
-        pieces = PIECE.findall(joined.lower())
-        unknown = self.parts.missing(set(pieces) - {"\n"})
-        parts = self.parts.now
-        parts["\n"] = self.mark
-        digits = [p for p in unknown if p.isdigit()]
-        parts.update(zip(digits, self.by_library(digits), strict=True))
-        unknown = [p for p in unknown if p not in parts]
-        parts.update(zip(unknown, self.by_library_joined(unknown), strict=True))
-        ids = b"".join(map(parts.__getitem__, pieces))
-        width = len(self.mark)
-        ends = (np.flatnonzero(np.frombuffer(ids, f"u{width}") == (1 << 8 * width) - 1) * width).tolist()
-        self.words.now.update(zip(new, [ids[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.plain or "<|" in text or UNUSUAL.search(text):
+            return array(self.kind, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        text = text.lower()
+        return self.parts[text] if text.isalpha() else b"".join(map(self.parts.__getitem__, PIECE.findall(text)))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = self.words.missing(set().union(*split))
-        if new:
-            self.add(list(new))
-        find = self.words.now.__getitem__
-        return [b"".join(map(find, x)) + end for x in split]
+        out, find = [], self.words.__getitem__
+        for text in texts:
+            out.append(b"".join(map(find, text.split())) + end)
+            self.words.turn()
+            self.parts.turn()
+        return out
 
 
 @functools.cache

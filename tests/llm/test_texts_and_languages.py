@@ -21,6 +21,32 @@ def test_every_letter_is_encoded_as_the_library_does():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == ids
 
 
+def test_pre_tokens_reach_the_model_once_while_they_are_known():
+    path, asked = P.path(token_store.VOCABULARY), []
+    known = token_store.library(path)
+
+    class Counting:
+        """The library, telling what it is asked for."""
+
+        model = known.model
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return known.encode_batch_fast(texts, **options)
+
+    texts = ["Don't  stop, it's 1234 caf\u00e9s!", "x\x00y \x7f\xad z''s '' 'Ll", "\u00c9COLE \u00e9cole na\u00efve-ish \u00ff\u0100", "a_b.c/d?e=f&g", "", " \t\n"] + [f"w{i}q Word{chr(97 + i % 26) * (1 + i % 9)}," for i in range(300)]
+    plain = [t for t in texts if not token_store.UNUSUAL.search(t)]
+    odd = ["<|endoftext|> a", "\u6f22\u5b57 x", "e\u0301t\u00e9"]
+    for most in (8, 1 << 10):  # tables that turn all the time, and ones that don't
+        coder = token_store.Pieces(path, "H", most)
+        coder.library = Counting()
+        want = [np.array(e.ids, "<u2").tobytes() + b"\1\0" for e in known.encode_batch(plain + odd, add_special_tokens=False)]
+        assert coder.encode([t.encode() for t in plain], b"\1\0") == want[: len(plain)] and not asked
+        assert coder.encode([t.encode() for t in odd], b"\1\0") == want[len(plain) :] and asked == ["<|endoftext|>", "\u6f22\u5b57", "e\u0301t\u00e9"]
+        asked.clear()
+    assert len(token_store.Pieces(path, "H", 8).words) == 0 and len(coder.words) <= 1 << 9
+
+
 def test_parts_hold_all_words():
     rng = random.Random(1)
     text = b"".join(rng.choice([b"ab", b"c", b" ", b"\n", "é".encode() * 9]) for _ in range(4000))
