@@ -1,7 +1,7 @@
 """Token-ID output: documents as token ids in rANS-coded block files, in ascending order of id, and the way back.
 
 1. Each text is encoded by the tokenizers library. Texts are cut at ASCII white space, over which no token of this
-   kind of tokenizer reaches, and the pieces are looked up in a bounded table; the library encodes each piece that isn't there.
+   kind of tokenizer reaches, and the different pieces of a few MB of text are looked up in bounded tables; the library encodes each piece that isn't there.
 2. The ids are counted over the whole corpus; the counts (a row for each id of the vocabulary) become the shared frequency table.
 3. Documents are range-partitioned and sorted by id, and runs of whole documents with about BLOCK_IDS ids become blocks:
    interleaved rANS streams with checkpoints and a checksum (see rans.py). The files are Parquet containers of blocks, so any store that Spark reaches can hold them.
@@ -15,29 +15,34 @@ each other, in order of a hash of their ids; an empty table gives no files and n
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm import rans
-from sheaf.llm.common import read, releasing, shared_path, stored, text_steps
+from sheaf.llm.common import read, releasing, shared_path, steps, stored
 
 BLOCK_IDS, CACHE = 1 << 19, 600_000
+#: Bytes of text that are encoded at once; pre-tokens that the model gets at once, and the characters of the longest of them.
+ENCODE_BYTES, CALL, SHORT = 8 << 20, 1024, 64
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
 #: Latin letters beyond ASCII, up to U+024F, that lower-case to one letter of this range: the closed set that the pre-tokens below are right for.
 BEYOND = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and 0xC0 <= ord(c.lower()) < 0x250)
 LATIN = f"A-Za-z{BEYOND}"
 UNUSUAL = re.compile(f"[^\\x00-\\x7f{LATIN}]")
 #: The pre-tokens of PLAIN_SPLIT in lower-cased text of such letters and ASCII.
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\t-\\r 0-9{LATIN}]+")
+PIECE = f"('s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\t-\\r 0-9{LATIN}]+)"
+#: Words that go to the library whole.
+OTHER = f"{UNUSUAL.pattern}|<\\|"
 #: The settings of the vocabulary file that the pre-tokens above follow from.
 PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
@@ -46,9 +51,14 @@ PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
 PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
-#: How the library's byte-level models spell bytes, by their number: printable ones of Latin-1 as themselves, the others by the letters from U+0100 on.
+#: How the library's byte-level models spell bytes, by their number: printable ones of Latin-1 as themselves, the others by the letters from U+0100 on. A space parts words.
 OWN_LETTERS = frozenset((*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)))
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in OWN_LETTERS)}
+SPELLED = np.array([b if b == 0x20 else BYTE_LETTERS.get(b, b) for b in range(256)], "<u2")
+
+
+def spelled(text: str) -> str:
+    return SPELLED[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
 
 
 @functools.cache
@@ -62,60 +72,103 @@ def library(path: str):
 
 
 class Recent(dict):
-    """Keys -> make(key), kept for the keys asked for lately: when half of `most` are held, those not asked for since the last such turn go."""
+    """Keys -> values, which make(keys) gives, kept for the keys asked for lately: when half of `most` are held, those not asked for since the last such turn go."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.before, self.half = make, {}, most // 2
 
-    def __missing__(self, key):
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def turn(self) -> None:
-        """To be called between lookups."""
+    def of(self, keys: list[str]) -> list[bytes]:
+        """The values of different keys."""
         if len(self) > self.half:
             self.before = dict(self)
             self.clear()
+        values = list(map(self.get, keys))
+        lacking = [i for i, v in enumerate(values) if v is None]
+        for i in lacking:
+            values[i] = self.before.get(keys[i])
+        new = [i for i in lacking if values[i] is None]
+        for i, v in zip(new, self.make([keys[i] for i in new]), strict=True):
+            values[i] = v
+        self.update((keys[i], values[i]) for i in lacking)
+        return values
+
+
+def joined(values: pa.BinaryArray, ends: np.ndarray) -> pa.BinaryArray:
+    """Runs of values, each joined to one: run k ends before value ends[k + 1], and ends[0] is 0."""
+    at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends]), values.buffers()[2] or pa.py_buffer(b"")])
+
+
+def listed(words: pa.StringArray) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class Pieces:
-    """Words between white space -> their ids, as bytes of the array type `kind`.
+    """Texts -> their ids, as bytes of the array type `kind`.
 
-    Words that aren't known and have only ASCII and Latin letters are lower-cased and cut into the vocabulary's own pre-tokens, of which few are different;
-    the library's model encodes each one that isn't known, and the library any other word as it is.
+    The different words between white space of the texts that are given at once are worked on. Those that have only ASCII and Latin letters are lower-cased
+    and cut into the vocabulary's own pre-tokens, of which few are different; the library's model encodes those that aren't known, many at a time, and the library
+    any other word as it is.
     """
 
     def __init__(self, path: str, kind: str, most: int = CACHE):
-        self.library, self.kind = library(path), kind
-        self.tokenize = self.library.model.tokenize
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.kind = library(path), np.dtype(kind).newbyteorder("<")
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         settings = json.load(open(path, encoding="utf-8"))
         self.plain = settings["pre_tokenizer"] == PLAIN_SPLIT and settings["normalizer"] == PLAIN_NORMALIZER
-        self.words, self.parts = Recent(self.word, most), Recent(self.part, most // 2)
-
-    def part(self, part: str) -> bytes:
-        """The ids of a pre-token of PLAIN_SPLIT, which goes to the model as it is, spelled in BYTE_LETTERS."""
-        if not (part.isascii() and part.isprintable()):
-            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array(self.kind, [t.id for t in self.tokenize(part)]).tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if not self.plain or "<|" in text or UNUSUAL.search(text):
-            return array(self.kind, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        text = text.lower()
-        return self.parts[text] if text.isalpha() else b"".join(map(self.parts.__getitem__, PIECE.findall(text)))
+        self.words, self.parts = Recent(self.by_library, most), Recent(self.by_model, most)
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        return [np.array(self.library.encode_batch_fast([w], add_special_tokens=False)[0].ids, self.kind).tobytes() for w in words]
+
+    def by_model(self, parts: list[str]) -> list[bytes]:
+        """The ids of pre-tokens of PLAIN_SPLIT, which go to the model as they are, spelled in BYTE_LETTERS: short ones many at a time, long ones alone."""
+        short, out = [p for p in parts if 0 < len(p) <= SHORT], []
+        for k in range(0, len(short), CALL):
+            some = short[k : k + CALL]
+            found = self.model.encode(spelled(" ".join(some)), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind).tobytes()
+            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))) * self.kind.itemsize
+            out += [ids[i:j] for i, j in itertools.pairwise((0, *ends.tolist()))]
+        each, tokenize = iter(out), self.library.model.tokenize
+        return [b"" if not p else next(each) if len(p) <= SHORT else np.array([t.id for t in tokenize(spelled(p))], self.kind).tobytes() for p in parts]
+
+    def plain_ids(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The ids of words of ASCII and Latin letters."""
+        words = pc.utf8_lower(words)
+        mixed = pc.invert(pc.utf8_is_alpha(words))
+        cut = pc.split_pattern(pc.replace_with_mask(words, mixed, pc.replace_substring_regex(words.filter(mixed), PIECE, "\\1 ")), " ")
+        parts = cut.values.dictionary_encode()
+        ids = pa.array(self.parts.of(listed(parts.dictionary)), pa.binary()).take(parts.indices)
+        return joined(ids, cut.offsets.to_numpy())
+
+    def ids_of(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The ids of different words."""
+        other = pc.match_substring_regex(words, OTHER) if self.plain else pa.array(np.ones(len(words), bool))
+        odd = words.filter(other)
+        if not len(odd):
+            return self.plain_ids(words)
+        ids = [pa.array(self.words.of(listed(odd)), pa.binary())]
+        if len(odd) < len(words):
+            ids.append(self.plain_ids(words.filter(pc.invert(other))))
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(~other.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(words))
+        return pa.concat_arrays(ids).take(pa.array(place))
+
+    def encode_column(self, texts: pa.StringArray, end: bytes) -> pa.BinaryArray:
+        """The ids of each text, and `end` after them."""
+        cut = pc.ascii_split_whitespace(texts)
+        words, ends = cut.values.dictionary_encode(), cut.offsets.to_numpy()
+        ids = pa.concat_arrays([self.ids_of(words.dictionary), pa.array([end], pa.binary())])
+        places = np.insert(words.indices.to_numpy(), ends[1:], len(ids) - 1)
+        return joined(ids.take(pa.array(places)), ends + np.arange(len(ends)))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        out, find = [], self.words.__getitem__
-        for text in texts:
-            out.append(b"".join(map(find, text.split())) + end)
-            self.words.turn()
-            self.parts.turn()
-        return out
+        return self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()), end).to_pylist()
 
 
 @functools.cache
@@ -123,6 +176,22 @@ def pieces(path: str, kind: str) -> Pieces:
     return Pieces(path, kind)
 
 
+def runs_of_texts(batches, most: int = ENCODE_BYTES):
+    """Batches of doc_id and text -> (ids, texts, null as empty) of about `most` bytes of text, whatever the batches' sizes are."""
+    held, size = [], 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        sizes = pc.binary_length(texts).to_numpy()
+        for i, j in steps(sizes, most):
+            held.append((batch.column(0).slice(i, j - i), texts.slice(i, j - i)))
+            size += int(sizes[i:j].sum())
+            if size >= most:
+                yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> tuple[DataFrame, str, int]:
     """docs(doc_id, text) -> (rows (doc_id long, ids binary), numpy type of the ids, size of the vocabulary)."""
     size = library(path).get_vocab_size(with_added_tokens=True)
@@ -135,9 +204,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = END_ID) -> tuple[D
 
     def scan(batches):
         coder = pieces(path, code)
-        for batch in batches:
-            for i, texts in text_steps(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(coder.encode(texts, end), pa.binary())], names=["doc_id", "ids"])
+        for docs, texts in runs_of_texts(batches):
+            ids = coder.encode_column(texts, end)
+            for i, j in steps(pc.binary_length(ids).to_numpy(), 1 << 20):
+                yield pa.RecordBatch.from_arrays([docs.slice(i, j - i), ids.slice(i, j - i)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(scan), "doc_id long, ids binary"), kind, size
 

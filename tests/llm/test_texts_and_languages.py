@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import re
 import resource
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,35 @@ def test_pre_tokens_reach_the_model_once_while_they_are_known():
     assert len(token_store.Pieces(path, "H", 8).words) == 0 and len(coder.words) <= 1 << 9
 
 
+def test_short_pre_tokens_reach_the_model_many_at_a_time():
+    path, rng, calls = P.path(token_store.VOCABULARY), random.Random(8), []
+    texts = [" ".join("".join(rng.choice("etaoinéß") for _ in range(rng.randrange(1, 12))) + rng.choice(["", ",", "'s", "###"]) for _ in range(400)) for _ in range(20)] + ["ab" * 100]
+    want = [np.array(e.ids, "<u2").tobytes() for e in token_store.library(path).encode_batch(texts, add_special_tokens=False)]
+    coder, raw = token_store.Pieces(path, "H"), [t.encode() for t in texts]
+    sys.setprofile(lambda _, event, called: calls.append(called.__name__) if event == "c_call" else None)
+    try:
+        got = coder.encode(raw, b"")
+    finally:
+        sys.setprofile(None)
+    assert got == want
+    different = len({w for t in texts for w in re.findall("[a-zéß]+", t)})
+    assert calls.count("tokenize") == 1 and different > 5000  # the long one
+    assert sum(calls.count(x) for x in ("encode", "encode_batch", "encode_batch_fast")) < different / 100
+
+
+def test_strange_texts_in_runs_of_any_size_are_encoded_as_the_library_does():
+    path, rng = P.path(token_store.VOCABULARY), random.Random(3)
+    pool = ["a", "B", "é", "É", "ß", "1", "'", "s", "'s", "'LL", "<", "|", "<|", "endoftext", "|>", " ", "\n", "\v", "\f", "\r", "\0", "\x1c", "\x7f", "\x85", "\xa0", "\u3000", "\u0301", "\u6f22", "\u0436", "</w>", "\u0120", "\u0130", "\u01c5", "a" * 70, "-" * 200]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(1500)] + ["", " \n ", "é" * 3000 + " " + "ab1" * 3000]
+    want = [[*e.ids, 1] for e in token_store.library(path).encode_batch(texts, add_special_tokens=False)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, j), pa.int64()), pa.array([t or None for t in texts[i:j]], pa.string())], names=["doc_id", "text"]) for i, j in ((0, 0), (0, 7), (7, 1400), (1400, len(texts)))]
+    for most in (1, 1000, 1 << 20):
+        coder, runs = token_store.Pieces(path, "H", 500), list(token_store.runs_of_texts(batches, most))
+        assert [i for docs, _ in runs for i in docs.to_pylist()] == list(range(len(texts)))
+        assert len(runs) == 1 or all(len(docs) == 1 or sum(len(t) for t in found.cast(pa.binary()).to_pylist()[:-1]) <= 2 * most for docs, found in runs)
+        assert [np.frombuffer(x, "<u2").tolist() for _, found in runs for x in coder.encode_column(found, b"\1\0").to_pylist()] == want
+
+
 def test_parts_hold_all_words():
     rng = random.Random(1)
     text = b"".join(rng.choice([b"ab", b"c", b" ", b"\n", "é".encode() * 9]) for _ in range(4000))
